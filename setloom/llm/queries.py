@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from setloom.llm import langid
+from setloom.llm import decontaminate, langid
 from setloom.llm.common import table
 
 
@@ -14,9 +14,13 @@ def op8_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.lang_id(table(spark, sf_dir, "documents"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_lang_id": op8_lang_id}
+    return {f.__name__: f for f in (op8_lang_id, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_decontaminate": decontaminate.SQL}
