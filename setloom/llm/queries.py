@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from setloom.llm import decontaminate, langid
+from setloom.llm import decontaminate, langid, licenses, quality_rules
 from setloom.llm.common import table
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.rules_report(table(spark, sf_dir, "documents"))
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
 def op8_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.lang_id(table(spark, sf_dir, "documents"))
 
@@ -19,8 +27,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_lang_id, op10_decontaminate)}
+    return {f.__name__: f for f in (op5_quality_rules, op7_licenses, op8_lang_id, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontaminate": decontaminate.SQL}
+    return {"op5_quality_rules": quality_rules.SQL, "op10_decontaminate": decontaminate.SQL}
