@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from setloom.llm import decontaminate, langid, licenses, quality_rules
+from setloom.llm import decontaminate, langid, licenses, quality_rules, simhash
 from setloom.llm.common import table
 
 
@@ -22,12 +22,16 @@ def op8_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.lang_id(table(spark, sf_dir, "documents"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_quality_rules, op7_licenses, op8_lang_id, op10_decontaminate)}
+    return {f.__name__: f for f in (op5_quality_rules, op7_licenses, op8_lang_id, op9_simhash, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
