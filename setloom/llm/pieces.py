@@ -37,19 +37,24 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NEVER = -1e18
 #: Chunks whose matrices are multiplied in one group.
 GROUP = 256
-CACHE = 300_000
+#: Words remembered, twice: those in use and those used before.
+CACHE = 400_000
 
 
 class Memo(dict):
-    """A bounded memory of a function of short strings."""
+    """A bounded memory of a function of short strings: what was used since the memory last filled stays."""
 
     def __init__(self, f) -> None:
         self.f = f
+        self.old: dict = {}
 
     def __missing__(self, u: str):
-        out = self.f(u)
+        out = self.old.get(u)
+        if out is None:
+            out = self.f(u)
         if len(u) <= 64:
             if len(self) >= CACHE:
+                self.old = dict(self)
                 self.clear()
             self[u] = out
         return out
