@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from setloom.llm import decontaminate, langid, licenses, pieces, quality_rules, simhash
+from setloom.llm import decontaminate, langid, licenses, pieces, quality_rules, simhash, toxicity
 from setloom.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.tokenize(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rules_report(table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_sentencepiece, op5_quality_rules, op7_licenses, op8_lang_id, op9_simhash, op10_decontaminate)}
+    return {f.__name__: f for f in (op3_sentencepiece, op4_toxicity, op5_quality_rules, op7_licenses, op8_lang_id, op9_simhash, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
