@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from setloom.llm import decontaminate, html_text, langid, licenses, pieces, quality_rules, simhash, toxicity
+from setloom.llm import decontaminate, html_text, langid, licenses, pieces, quality_rules, simhash, suffix_dedup, toxicity
 from setloom.llm.common import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -43,7 +47,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_html_text, op3_sentencepiece, op4_toxicity, op5_quality_rules, op7_licenses, op8_lang_id, op9_simhash, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_html_text, op3_sentencepiece, op4_toxicity, op5_quality_rules, op7_licenses, op8_lang_id, op9_simhash, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
