@@ -205,33 +205,38 @@ def states(mats: list[np.ndarray], start: int, end: int) -> list[int]:
     return out[::-1]
 
 
+#: Vocabularies of this Python worker by model file; a worker that is used again keeps its words.
+_LOADED: dict[int, Pieces] = {}
+
+
 class Shared:
     """Makes the vocabulary once in each Python worker, from the broadcast bytes."""
 
     def __init__(self, spark, model: str) -> None:
         with open(model, "rb") as f:
-            self.raw = spark.sparkContext.broadcast(f.read())
-        self._own = None
-
-    def __getstate__(self):
-        return {"raw": self.raw, "_own": None}
+            raw = f.read()
+        self.raw, self.key = spark.sparkContext.broadcast(raw), hash(raw)
 
     def get(self) -> Pieces:
-        if self._own is None:
-            self._own = Pieces(self.raw.value)
-        return self._own
+        if self.key not in _LOADED:
+            _LOADED.clear()
+            _LOADED[self.key] = Pieces(self.raw.value)
+        return _LOADED[self.key]
 
 
 _ROW = "_row"
 
 
-def _encode_rows(batches: Iterator[pa.RecordBatch], shared: Shared) -> Iterator[pa.RecordBatch]:
+def _id_lists(rows: list[bytes]) -> pa.Array:
+    ends = np.cumsum([0, *(len(x) // 4 for x in rows)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(rows), np.int32)))
+
+
+def _encode_rows(batches: Iterator[pa.RecordBatch], shared: Shared, keep: list[str]) -> Iterator[pa.RecordBatch]:
     p = shared.get()
     for b in batches:
-        rows = [p.encode(t.as_py()) for t in b.column("text")]
-        ends = np.cumsum([0, *(len(x) // 4 for x in rows)])
-        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(rows), np.int32)))
-        yield pa.RecordBatch.from_arrays([b.column(_ROW), ids], [_ROW, "ids"])
+        ids = _id_lists([p.encode(t.as_py()) for t in b.column("text")])
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), ids], [*keep, "ids"])
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], chunk: int, reach: int) -> Iterator[pa.RecordBatch]:
@@ -299,15 +304,17 @@ def encode_giants(rows: DataFrame, shared: Shared, *, chunk: int, reach: int) ->
     return joined.select(_ROW, F.flatten(F.transform("x", lambda x: x["ids"])).alias("ids"))
 
 
-def encode(docs: DataFrame, *, model: str = MODEL, giant: int = 65_536, chunk: int = 16_384) -> DataFrame:
-    """(_row, ids) for every row of ``docs``, whose _row (see ``with_row_id``) and text it reads."""
+def encode(docs: DataFrame, keep: list[str], *, model: str = MODEL, giant: int = 65_536, chunk: int = 16_384) -> DataFrame:
+    """The columns ``keep`` and ids of every row. Only giant texts move between tasks."""
     shared = Shared(docs.sparkSession, model)
     reach = shared.get().longest - 1
-    rows = docs.select(_ROW, "text")
+    rows = with_row_id(docs.select(*keep, *({"text"} - set(keep))))
     small = rows.where(F.coalesce(F.length("text") <= giant, F.lit(True)))
     large = rows.where(F.length("text") > giant)
-    out = small.mapInArrow(lambda it: _encode_rows(it, shared), f"{_ROW} long, ids array<int>")
-    return out.unionByName(encode_giants(large, shared, chunk=max(chunk, 2 * reach), reach=reach))
+    schema = T.StructType([*rows.select(*keep).schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    out = small.mapInArrow(lambda it: _encode_rows(it, shared, keep), schema)
+    ids = encode_giants(large.select(_ROW, "text"), shared, chunk=max(chunk, 2 * reach), reach=reach)
+    return out.unionByName(large.select(*keep, _ROW).join(ids, _ROW).select(*keep, "ids"))
 
 
 def decode(encoded: DataFrame, *, model: str = MODEL) -> DataFrame:
@@ -326,12 +333,10 @@ def decode(encoded: DataFrame, *, model: str = MODEL) -> DataFrame:
     return encoded.mapInArrow(run, schema)
 
 
-def tokenize(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, ids, n_pieces, n_chars and decoded_sha256 (of the decoded text's bytes) of every row."""
-    ids = with_row_id(docs.select("doc_id", "text")).select("doc_id", _ROW)
-    encoded = decode(encode(with_row_id(docs.select("text")), **options), **{k: v for k, v in options.items() if k == "model"})
-    slim = encoded.select(_ROW, "ids", F.size("ids").cast("long").alias("n_pieces"), F.length("decoded").cast("long").alias("n_chars"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
-    return ids.join(slim, _ROW).drop(_ROW)
+def tokenize(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), *, model: str = MODEL, **options) -> DataFrame:
+    """``keep``, ids, n_pieces, n_chars and decoded_sha256 (of the decoded text's bytes) of every row."""
+    back = decode(encode(docs, list(keep), model=model, **options), model=model)
+    return back.select(*keep, "ids", F.size("ids").cast("long").alias("n_pieces"), F.length("decoded").cast("long").alias("n_chars"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def as_unigram(model: bytes) -> bytes:

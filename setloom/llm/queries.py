@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from setloom.llm import decontaminate, html_text, langid, licenses, pieces, quality_rules, simhash, suffix_dedup, toxicity
+from setloom.llm import decontaminate, html_text, langid, licenses, perplexity, pieces, quality_rules, simhash, suffix_dedup, toxicity
 from setloom.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rules_report(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_html_text, op3_sentencepiece, op4_toxicity, op5_quality_rules, op7_licenses, op8_lang_id, op9_simhash, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_html_text, op3_sentencepiece, op4_toxicity, op5_quality_rules, op6_quality_classifier, op7_licenses, op8_lang_id, op9_simhash, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
