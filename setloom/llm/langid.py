@@ -75,7 +75,7 @@ def block_sums(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tupl
 
 def _count_rows(batches: Iterator[pa.RecordBatch], segment: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out: dict[str, list] = {"lang": [], "part": [], "buckets": [], "weights": []}
+        out: dict[str, list] = {"lang": [], "part": [], "u": [], "buckets": [], "weights": []}
         langs, keys = b.column("lang").to_pylist(), b.column("u").to_pylist()
         for i, text in enumerate(b.column("text").to_pylist()):
             raw = (text or "").encode()
@@ -86,13 +86,14 @@ def _count_rows(batches: Iterator[pa.RecordBatch], segment: int) -> Iterator[pa.
                 if len(ids):
                     out["lang"].append(langs[i])
                     out["part"].append(part)
+                    out["u"].append(keys[i])
                     out["buckets"].append(ids.astype(np.int32))
                     out["weights"].append((n / n.sum()).astype(np.float32))
-        yield pa.RecordBatch.from_arrays([pa.array(out["lang"], pa.string()), pa.array(out["part"], pa.int32()), pa.array(out["buckets"], pa.list_(pa.int32())), pa.array(out["weights"], pa.list_(pa.float32()))], ["lang", "part", "buckets", "weights"])
+        yield pa.RecordBatch.from_arrays([pa.array(out["lang"], pa.string()), pa.array(out["part"], pa.int32()), pa.array(out["u"], pa.float64()), pa.array(out["buckets"], pa.list_(pa.int32())), pa.array(out["weights"], pa.list_(pa.float32()))], ["lang", "part", "u", "buckets", "weights"])
 
 
 def train(labelled: DataFrame, *, max_train_docs: int = 1600, segment: int = 80, dim: int = 16, epochs: int = 12, rate: float = 1.0, false_reject: float = 0.001, max_langs: int = 500, seed: int = 8) -> LangModel | None:
-    """Learns from rows (text, lang, u), u uniform in [0, 1) by row. At most ``max_train_docs`` rows reach the driver.
+    """Learns from rows (text, lang, u), u uniform in [0, 1) by row. ``max_train_docs`` rows, in expectation, reach the driver.
 
     Of each sampled row two examples are made, the whole text and a piece of ``segment`` bytes, so that short
     texts are learned too. ``max_langs`` bounds the labels (the most frequent stay).
@@ -101,11 +102,12 @@ def train(labelled: DataFrame, *, max_train_docs: int = 1600, segment: int = 80,
     freq = {r[0]: r[1] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
     if not freq:
         return None
-    weight = F.create_map(*[x for k, v in freq.items() for x in (F.lit(k), F.lit(float(v)))])
-    sample = labelled.withColumn("_k", F.col("u") * weight[F.col("lang")]).where("_k is not null").orderBy("_k").limit(max_train_docs)
-    rows = sample.select("text", "lang", "u").mapInArrow(lambda it: _count_rows(it, segment), "lang string, part int, buckets array<int>, weights array<float>").toArrow()
+    # The rate of a language makes its expected rows an equal share of max_train_docs; no sort, no single task.
+    rate_of = F.create_map(*[x for k, v in freq.items() for x in (F.lit(k), F.lit(max_train_docs / len(freq) / v))])
+    rows = labelled.where(F.col("u") < rate_of[F.col("lang")]).select("text", "lang", "u").mapInArrow(lambda it: _count_rows(it, segment), "lang string, part int, u double, buckets array<int>, weights array<float>").toArrow()
     if not rows.num_rows:
         return None
+    rows = rows.sort_by([("part", "ascending"), ("u", "ascending"), ("lang", "ascending")])
     langs = sorted(freq)
     y = np.array([langs.index(x) for x in rows["lang"].to_pylist()])
     ids = [np.asarray(x.values) for x in rows["buckets"]]
