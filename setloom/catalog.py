@@ -1,9 +1,17 @@
-"""The queries of the engine and their reference SQL."""
+"""The queries of the engine and their reference SQL: importing the modules registers them."""
+
+from __future__ import annotations
+
+from setloom.operators import corpus, graph, library, probe, screening, series  # noqa: F401
+from setloom.plans import paths, planner  # noqa: F401
+from setloom.registry import ORACLES, QUERIES
+from setloom.sources import tables  # noqa: F401
+from setloom.streaming import sessions  # noqa: F401
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(ORACLES)
