@@ -35,7 +35,7 @@ def arc_target(arc: Column, p: Column) -> Column:
 
 def energy_fit(target: Column, energy: Column) -> Column:
     """1 at the target, 0 half away or more; a half for unknown energy."""
-    return F.coalesce(F.greatest(F.lit(0.0), 1 - 2 * F.abs(target - energy)), F.lit(0.5))
+    return F.when(energy.isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), 1 - 2 * F.abs(target - energy)))
 
 
 def lane_value(lane: Column, x: Column) -> Column:

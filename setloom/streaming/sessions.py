@@ -84,7 +84,8 @@ def gaps(events: DataFrame, least: float = 3600.0) -> DataFrame:
                     out.append((key[0], pd.Timestamp(last), (now - last) / 1e9))
                 last = now if last is None else max(last, now)
         state.update((last,))
-        yield pd.DataFrame(out, columns=["user_id", "gap_start", "seconds"]).astype({"user_id": "int64", "gap_start": "datetime64[ns]", "seconds": "float64"})
+        if out:
+            yield pd.DataFrame(out, columns=["user_id", "gap_start", "seconds"])
 
     return events.select("user_id", "ts").groupBy("user_id").applyInPandasWithState(step, "user_id long, gap_start timestamp, seconds double", "last long", "append", GroupStateTimeout.NoTimeout)
 
