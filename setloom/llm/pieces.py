@@ -18,6 +18,7 @@ are told apart by their place in the input, not by id; extra columns stay where
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import struct
@@ -38,7 +39,7 @@ NEVER = -1e18
 #: Chunks whose matrices are multiplied in one group.
 GROUP = 256
 #: Words remembered, twice: those in use and those used before.
-CACHE = 400_000
+CACHE = 250_000
 
 
 class Memo(dict):
@@ -232,11 +233,31 @@ def _id_lists(rows: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(rows), np.int32)))
 
 
-def _encode_rows(batches: Iterator[pa.RecordBatch], shared: Shared, keep: list[str]) -> Iterator[pa.RecordBatch]:
+def _encode_rows(batches: Iterator[pa.RecordBatch], shared: Shared, keep: list[str], digest: bool) -> Iterator[pa.RecordBatch]:
+    p = shared.get()
+    for b in (x.slice(at, SLICE) for x in batches for at in range(0, x.num_rows, SLICE)):
+        rows = [p.encode(t.as_py()) for t in b.column("text")]
+        more = _digests(p, rows) if digest else []
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), _id_lists(rows), *more], [*keep, "ids", *(_DIGESTS if digest else [])])
+
+
+#: Rows of an Arrow batch that are encoded at once.
+SLICE = 1000
+_DIGESTS = ("n_pieces", "n_chars", "decoded_sha256")
+
+
+def _digests(p: Pieces, rows: list) -> list[pa.Array]:
+    """Number of pieces, and of the decoded text its characters and hash."""
+    back = [p.decode(x) for x in rows]
+    size = [len(x) // 4 if isinstance(x, bytes) else len(x) for x in rows]
+    return [pa.array(size, pa.int64()), pa.array(list(map(len, back)), pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back])]
+
+
+def _digest_rows(batches: Iterator[pa.RecordBatch], shared: Shared) -> Iterator[pa.RecordBatch]:
     p = shared.get()
     for b in batches:
-        ids = _id_lists([p.encode(t.as_py()) for t in b.column("text")])
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), ids], [*keep, "ids"])
+        rows = [x.as_py() for x in b.column("ids")]
+        yield pa.RecordBatch.from_arrays([*b.columns, *_digests(p, rows)], [*b.schema.names, *_DIGESTS])
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], chunk: int, reach: int) -> Iterator[pa.RecordBatch]:
@@ -304,17 +325,22 @@ def encode_giants(rows: DataFrame, shared: Shared, *, chunk: int, reach: int) ->
     return joined.select(_ROW, F.flatten(F.transform("x", lambda x: x["ids"])).alias("ids"))
 
 
-def encode(docs: DataFrame, keep: list[str], *, model: str = MODEL, giant: int = 65_536, chunk: int = 16_384) -> DataFrame:
-    """The columns ``keep`` and ids of every row. Only giant texts move between tasks."""
+_DIGEST_FIELDS = [T.StructField("n_pieces", T.LongType()), T.StructField("n_chars", T.LongType()), T.StructField("decoded_sha256", T.StringType())]
+
+
+def encode(docs: DataFrame, keep: list[str], *, model: str = MODEL, giant: int = 65_536, chunk: int = 16_384, digest: bool = False) -> DataFrame:
+    """The columns ``keep`` and ids of every row, with ``digest`` also what they decode to. Only giant texts move between tasks."""
     shared = Shared(docs.sparkSession, model)
     reach = shared.get().longest - 1
     rows = with_row_id(docs.select(*keep, *({"text"} - set(keep))))
     small = rows.where(F.coalesce(F.length("text") <= giant, F.lit(True)))
     large = rows.where(F.length("text") > giant)
-    schema = T.StructType([*rows.select(*keep).schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    out = small.mapInArrow(lambda it: _encode_rows(it, shared, keep), schema)
+    plain = T.StructType([*rows.select(*keep).schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([*plain.fields, *_DIGEST_FIELDS]) if digest else plain
+    out = small.mapInArrow(lambda it: _encode_rows(it, shared, keep, digest), schema)
     ids = encode_giants(large.select(_ROW, "text"), shared, chunk=max(chunk, 2 * reach), reach=reach)
-    return out.unionByName(large.select(*keep, _ROW).join(ids, _ROW).select(*keep, "ids"))
+    giants = large.select(*keep, _ROW).join(ids, _ROW).select(*keep, "ids")
+    return out.unionByName(giants.mapInArrow(lambda it: _digest_rows(it, shared), schema) if digest else giants)
 
 
 def decode(encoded: DataFrame, *, model: str = MODEL) -> DataFrame:
@@ -333,10 +359,9 @@ def decode(encoded: DataFrame, *, model: str = MODEL) -> DataFrame:
     return encoded.mapInArrow(run, schema)
 
 
-def tokenize(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), *, model: str = MODEL, **options) -> DataFrame:
+def tokenize(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), **options) -> DataFrame:
     """``keep``, ids, n_pieces, n_chars and decoded_sha256 (of the decoded text's bytes) of every row."""
-    back = decode(encode(docs, list(keep), model=model, **options), model=model)
-    return back.select(*keep, "ids", F.size("ids").cast("long").alias("n_pieces"), F.length("decoded").cast("long").alias("n_chars"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return encode(docs, list(keep), digest=True, **options)
 
 
 def as_unigram(model: bytes) -> bytes:
