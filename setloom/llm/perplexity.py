@@ -29,7 +29,10 @@ from pyspark.sql import functions as F
 from setloom.llm.common import checkpoint, stage, text_blocks, with_row_id
 
 ORDER = 5
-BLOCK = 8 << 20
+#: Bytes of text in a block: large, since a block asks for each of its distinct n-grams once.
+BLOCK = 32 << 20
+#: Positions whose n-grams are made at once.
+PIECE = 1 << 20
 BOS = 0xFF
 #: Symbols of the uniform model below unigrams.
 SYMBOLS = 256.0
@@ -37,24 +40,32 @@ SYMBOLS = 256.0
 BROADCAST_IDS = 1_000_000
 
 
-def grams(data: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> np.ndarray:
-    """The n-gram that ends at each byte, as one integer; begin-of-text symbols stand before each row."""
-    n, pad = len(data), order - 1
-    rows = len(offsets) - 1
-    x = np.full(n + pad * rows, BOS, np.int64)
-    to = np.arange(n) + pad * (1 + np.repeat(np.arange(rows), np.diff(offsets)))
-    x[to] = data
-    out = np.zeros(n, np.int64)
-    for j in range(order):
-        out |= x[to - j] << (8 * j)
-    return out
+def grams(data: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> Iterator[tuple[int, np.ndarray]]:
+    """The n-gram that ends at each byte, as one integer, in pieces (first position, n-grams).
+
+    Begin-of-text symbols stand before each row.
+    """
+    for a in range(0, len(data), PIECE):
+        at = np.arange(a, min(a + PIECE, len(data)))
+        into = at - offsets[np.searchsorted(offsets, at, side="right") - 1]
+        out = np.zeros(len(at), np.int64)
+        for j in range(order):
+            out |= np.where(into >= j, data[np.maximum(at - j, 0)], BOS).astype(np.int64) << (8 * j)
+        yield a, out
+
+
+def distinct_grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    return np.unique(np.concatenate([*(np.unique(g) for _, g in grams(data, offsets)), np.zeros(0, np.int64)]))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for _, _, data, offsets in text_blocks(b.column("text"), BLOCK):
-            g, n = np.unique(grams(data, offsets), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n.astype(np.int64))], ["g", "a"])
+            got = [np.unique(g, return_counts=True) for _, g in grams(data, offsets)]
+            if got:
+                g, back = np.unique(np.concatenate([x for x, _ in got]), return_inverse=True)
+                n = np.bincount(back, np.concatenate([y for _, y in got]))
+                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n.astype(np.int64))], ["g", "a"])
 
 
 def _discounts(table: DataFrame) -> tuple[float, float, float]:
@@ -115,7 +126,7 @@ def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seq = 0
     for b in batches:
         for block, _, _, data, offsets in _blocks(b, seq):
-            g = np.unique(grams(data, offsets))
+            g = distinct_grams(data, offsets)
             seq += 1
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), block)), pa.array(g)], ["block", "g"])
 
@@ -138,12 +149,13 @@ def _answer(texts: pa.Table, table: pa.Table) -> pa.Table:
     for blob, offsets, ids in zip(texts["blob"], texts["offsets"], texts["rows"], strict=True):
         data = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob.as_py()), np.uint8) if len(blob.as_py()) else np.zeros(0, np.uint8)
         offs = np.asarray(offsets.as_py(), np.int64)
-        at = np.searchsorted(g, grams(data, offs))
-        c = np.zeros(len(data) + 1)
-        if len(data):
-            np.cumsum(lp[at], out=c[1:])
+        sums = np.zeros(len(offs) - 1)
+        for first, x in grams(data, offs):
+            c = np.concatenate([[0.0], np.cumsum(lp[np.searchsorted(g, x)])])
+            lo, hi = np.clip(offs[:-1] - first, 0, len(x)), np.clip(offs[1:] - first, 0, len(x))
+            sums += c[hi] - c[lo]
         rows += ids.as_py()
-        total.append(c[offs[1:]] - c[offs[:-1]])
+        total.append(sums)
         size.append(np.diff(offs))
     return pa.table({"_row": pa.array(rows, pa.int64()), "lp": np.concatenate([*total, np.zeros(0)]), "n_bytes": np.concatenate([*size, np.zeros(0, np.int64)])})
 
