@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from setloom.operators import graph, library, probe, screening
+from setloom.operators import features, graph, library, probe, screening
 from setloom.plans import paths, planner
 from setloom.sources import tables
 from setloom.sources.views import Views
@@ -143,3 +143,21 @@ def test_empty_library(spark):
     t = Views(spark, SF)["tracks"].where("false")
     assert library.grade(t).count() == 0
     assert screening.best_files(Views(spark, SF)["candidates"].where("false")).count() == 0
+
+
+def test_change_points_and_tempo_of_synthetic_series():
+    steps = np.concatenate([np.full(12, 120.0), np.full(12, 126.0), np.full(10, 122.0)])
+    assert features.change_points(steps) == [11, 23]  # the first of equal shifts: two of three windows are new
+    assert features.change_points(np.full(30, 128.0)) == [] and features.change_points(np.array([1.0, 2.0])) == []
+    rate, bpm = 43.0, 128.0
+    t = np.arange(int(60 * rate))
+    onsets = (np.abs((t * bpm / 60 / rate) % 1 - 0.5) > 0.45).astype(float)
+    got, trust = features.autocorrelation_tempo(onsets, rate)
+    assert abs(got - bpm) < 0.5 and trust > 0.5
+    assert features.autocorrelation_tempo(np.zeros(50), rate) == (0.0, 0.0)
+
+
+def test_profiles_are_their_own_keys(spark):
+    rows = [(m * 12 + r, p, prof[(p - r) % 12]) for m, prof in ((0, features.MAJOR), (1, features.MINOR)) for r in range(12) for p in range(12)]
+    got = {x.id: (x.root, x.minor, x.confidence) for x in features.detect_keys(spark.createDataFrame(rows, "id long, pos long, value double")).collect()}
+    assert got == {m * 12 + r: (r, m, 1.0) for m in range(2) for r in range(12)}
