@@ -41,7 +41,7 @@ GRAM = 128
 SEGMENT = 512
 #: Bytes of one text that are cut into segments at once; below 2**24.
 PIECE = 1 << 22
-SHARD = 1 << 21
+SHARD = 1 << 19
 STOP = 0xFF  # never a byte of UTF-8
 _NONE = np.zeros(0, np.int64)
 
