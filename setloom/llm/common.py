@@ -58,7 +58,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def with_row_id(df: DataFrame, name: str = "_row") -> DataFrame:
+def with_row_id(df: DataFrame, name: str = "_sl_row") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 

@@ -199,7 +199,8 @@ def contaminated():
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, with the columns they came with."""
-    return matches(docs, benchmark).where(~contaminated()).select(*docs.columns)
+    packed = docs.select(F.struct(*docs.columns).alias("doc"), "text")
+    return matches(packed, benchmark).where(~contaminated()).select("doc.*")
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -203,4 +203,6 @@ def lang_id(docs: DataFrame, **options) -> DataFrame:
 def keep_identified(docs: DataFrame, **options) -> DataFrame:
     """Pipeline stage: the documents that language ID doesn't reject, with the columns they came with."""
     model = fit_documents(docs, **options)
-    return identify(docs, model).where(~F.col("lang_rejected")).select(*docs.columns)
+    # The row travels as one struct, so that no name of its columns can clash.
+    packed = docs.select(F.struct(*docs.columns).alias("doc"), "text")
+    return identify(packed, model).where(~F.col("lang_rejected")).select("doc.*")

@@ -137,7 +137,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, a, to, data, offsets in _blocks(b, seq):
             seq += 1
             blob = zstandard.ZstdCompressor(3).compress(data.tobytes())
-            cols = [pa.array([block]), pa.array([blob], pa.binary()), pa.array([offsets.tolist()], pa.list_(pa.int64())), pa.array([b.column("_row")[a:to].to_pylist()], pa.list_(pa.int64()))]
+            cols = [pa.array([block]), pa.array([blob], pa.binary()), pa.array([offsets.tolist()], pa.list_(pa.int64())), pa.array([b.column("_sl_row")[a:to].to_pylist()], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, ["block", "blob", "offsets", "rows"])
 
 
@@ -157,20 +157,20 @@ def _answer(texts: pa.Table, table: pa.Table) -> pa.Table:
         rows += ids.as_py()
         total.append(sums)
         size.append(np.diff(offs))
-    return pa.table({"_row": pa.array(rows, pa.int64()), "lp": np.concatenate([*total, np.zeros(0)]), "n_bytes": np.concatenate([*size, np.zeros(0, np.int64)])})
+    return pa.table({"_sl_row": pa.array(rows, pa.int64()), "lp": np.concatenate([*total, np.zeros(0)]), "n_bytes": np.concatenate([*size, np.zeros(0, np.int64)])})
 
 
 def score(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """(_row, n_bytes, log_perplexity) of every row of ``docs`` (_row, text), by a model of the texts of ``trusted``."""
-    slim = docs.select("_row", "text")
+    """(_sl_row, n_bytes, log_perplexity) of every row of ``docs`` (_sl_row, text), by a model of the texts of ``trusted``."""
+    slim = docs.select("_sl_row", "text")
     asked = slim.select("text").mapInArrow(_ask, "block long, g long")
     # The distinct ones of all blocks; each gets its probability once, and goes back to the blocks that asked.
     wanted = stage(asked.select("g").distinct(), "ngrams-wanted")
     known = probabilities(counts(trusted), wanted)
     answers = asked.join(known, "g").select("block", "g", "lp")
     packed = slim.mapInArrow(_pack, "block long, blob binary, offsets array<long>, rows array<long>")
-    found = packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_answer, "_row long, lp double, n_bytes long")
-    return found.select("_row", "n_bytes", F.when(F.col("n_bytes") > 0, -F.col("lp") / F.col("n_bytes")).alias("log_perplexity"))
+    found = packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_answer, "_sl_row long, lp double, n_bytes long")
+    return found.select("_sl_row", "n_bytes", F.when(F.col("n_bytes") > 0, -F.col("lp") / F.col("n_bytes")).alias("log_perplexity"))
 
 
 def thresholds(scored: DataFrame, quantile: float, min_trusted: int) -> DataFrame:
@@ -194,7 +194,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, quantile: float = 0.999, min
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     trusted = rows.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
     scored = stage(score(rows, trusted), "perplexity")
-    named = rows.select("_row", "doc_id", "lang").join(scored, "_row")
+    named = rows.select("_sl_row", "doc_id", "lang").join(scored, "_sl_row")
     limits = thresholds(named.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("lang", "log_perplexity"), quantile, min_trusted)
     # One row a language, and one for all; the languages of a corpus are few, and a join bears any number.
     every = limits.where("lang is null").select(F.col("limit").alias("limit_all"))

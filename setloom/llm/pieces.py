@@ -225,7 +225,7 @@ class Shared:
         return _LOADED[self.key]
 
 
-_ROW = "_row"
+_ROW = "_sl_row"
 
 
 def _id_lists(rows: list[bytes]) -> pa.Array:
@@ -312,7 +312,7 @@ def _backtrace(batches: Iterator[pa.RecordBatch], shared: Shared) -> Iterator[pa
 
 
 def encode_giants(rows: DataFrame, shared: Shared, *, chunk: int, reach: int) -> DataFrame:
-    """(_row, ids) of rows (_row, text) through the parallel scan."""
+    """(_sl_row, ids) of rows (_sl_row, text) through the parallel scan."""
     cut = rows.where("text <> ''").mapInArrow(lambda it: _chunks(it, chunk, reach), f"{_ROW} long, k long, before string, chunk string")
     cut = stage(cut.repartition(F.col(_ROW), F.col("k")), "pieces-chunks")
     mats = cut.mapInArrow(lambda it: _matrices(it, shared), f"{_ROW} long, k long, m binary").withColumn("g", F.floor(F.col("k") / GROUP))

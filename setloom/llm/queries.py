@@ -55,4 +55,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": quality_rules.SQL, "op10_decontaminate": decontaminate.SQL}
+    return {"op1_suffix_dedup": suffix_dedup.SQL, "op5_quality_rules": quality_rules.SQL, "op10_decontaminate": decontaminate.SQL}

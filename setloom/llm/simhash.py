@@ -79,15 +79,15 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, *, shingle: int = 3) -> DataFrame:
-    """doc_id, _row and fp (the fingerprint as a signed long) of every row."""
+    """doc_id, _sl_row and fp (the fingerprint as a signed long) of every row."""
     slim = with_row_id(docs.select("doc_id", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column("text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_row"), pa.array(fp)], ["doc_id", "_row", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_sl_row"), pa.array(fp)], ["doc_id", "_sl_row", "fp"])
 
-    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, _row long, fp long")
+    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, _sl_row long, fp long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -221,29 +221,29 @@ def _clusters(prints: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 3) -> DataFrame:
-    """The op9 result: doc_id, fingerprint, component_id, and the row's _row."""
+    """The op9 result: doc_id, fingerprint, component_id, and the row's _sl_row."""
     prints = stage(fingerprints(docs, shingle=shingle), "simhash")
     roots = _clusters(prints)
     # Least ids by fingerprint first, then by component: no text and no hot key is gathered.
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("m")).join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = least.groupBy("root").agg(F.min("m").alias("component_id"))
     labels = least.join(ids, "root").select("fp", "component_id")
-    return prints.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "_row")
+    return prints.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "_sl_row")
 
 
 def report(docs: DataFrame) -> DataFrame:
-    return near_duplicates(docs).drop("_row")
+    return near_duplicates(docs).drop("_sl_row")
 
 
 def drop_near_duplicates(docs: DataFrame, *, shingle: int = 3) -> DataFrame:
     """One row of each component stays: the least doc_id (nulls last), of equal ids the first row."""
     prints = stage(fingerprints(docs, shingle=shingle), "simhash")
     roots = _clusters(prints)
-    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("_row").alias("c"))
+    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("_sl_row").alias("c"))
     least = prints.groupBy("fp").agg(F.min(order).alias("m")).join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    firsts = least.groupBy("root").agg(F.min("m")["c"].alias("_row")).select("_row")
-    gone = prints.select("_row").join(firsts, "_row", "left_anti")
-    return with_row_id(docs).join(gone, "_row", "left_anti").select(*docs.columns)
+    firsts = least.groupBy("root").agg(F.min("m")["c"].alias("_sl_row")).select("_sl_row")
+    gone = prints.select("_sl_row").join(firsts, "_sl_row", "left_anti")
+    return with_row_id(docs).join(gone, "_sl_row", "left_anti").select(*docs.columns)
 
 
 def brute_force(rows: pd.DataFrame, shingle: int = 3, most: int = 2) -> dict:

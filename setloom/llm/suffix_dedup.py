@@ -181,9 +181,9 @@ def runs(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _segment_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    names = ["h", "c", "_row", "start", "size", "n"]
+    names = ["h", "c", "_sl_row", "start", "size", "n"]
     for b in batches:
-        ids = b.column("_row").to_numpy(zero_copy_only=False)
+        ids = b.column("_sl_row").to_numpy(zero_copy_only=False)
         for a, to, data, offsets in text_blocks(b.column("text")):
             row, start, size, h, c, again = segments(data, offsets, length, gram)
             cols = [h.view(np.int64), c.view(np.int64), ids[a:to][row], start, size.astype(np.int32), 1 + again.astype(np.int32)]
@@ -192,15 +192,15 @@ def _segment_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int) ->
 
 def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """The context bytes of each wanted segment of a document."""
-    names = ["h", "_row", "start", "size", "single", "bytes"]
+    names = ["h", "_sl_row", "start", "size", "single", "bytes"]
     for b in batches:
         out: dict[str, list] = {k: [] for k in names}
-        for row, text, wanted in zip(b.column("_row").to_pylist(), b.column("text"), b.column("wanted").to_pylist(), strict=True):
+        for row, text, wanted in zip(b.column("_sl_row").to_pylist(), b.column("text"), b.column("wanted").to_pylist(), strict=True):
             raw = text.as_buffer()
             for w in wanted:
                 for k in ("h", "start", "size", "single"):
                     out[k].append(w[k])
-                out["_row"].append(row)
+                out["_sl_row"].append(row)
                 out["bytes"].append(raw[w["start"] : w["start"] + w["size"] + length - 1].to_pybytes())
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in zip(names, kinds, strict=True)], names)
@@ -219,10 +219,10 @@ def _shards(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
                     rows.append(row)
                     start.append(at + a)
                     end.append(at + b + length - 1)
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (rows, start, end)], ["_row", "start", "end"])
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (rows, start, end)], ["_sl_row", "start", "end"])
 
     for b in batches:
-        for x in zip(*(b.column(c).to_pylist() for c in ("h", "_row", "start", "size", "single", "bytes")), strict=True):
+        for x in zip(*(b.column(c).to_pylist() for c in ("h", "_sl_row", "start", "size", "single", "bytes")), strict=True):
             if held and size >= SHARD and x[0] != held[-1][0]:
                 yield flush()
                 held, size = [], 0
@@ -235,7 +235,7 @@ def _shards(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
 def _window_digests(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Two independent 64-bit digests of every window of a context."""
     for b in batches:
-        for row, start, size, single, raw in zip(*(b.column(c).to_pylist() for c in ("_row", "start", "size", "single", "bytes")), strict=True):
+        for row, start, size, single, raw in zip(*(b.column(c).to_pylist() for c in ("_sl_row", "start", "size", "single", "bytes")), strict=True):
             data = np.frombuffer(raw, np.uint8)
             _, down = powers(len(data) + 1)
             d = []
@@ -244,32 +244,32 @@ def _window_digests(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[
                 p = prefix_hash(x)
                 to = length - len(d)
                 d.append(mix64((p[to : to + size] - p[:size]) * down[:size]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(d[0]), pa.array(d[1]), pa.array(np.full(size, row)), pa.array(start + np.arange(size)), pa.array(np.full(size, 1 if single else 2, np.int32))], ["d1", "d2", "_row", "start", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(d[0]), pa.array(d[1]), pa.array(np.full(size, row)), pa.array(start + np.arange(size)), pa.array(np.full(size, 1 if single else 2, np.int32))], ["d1", "d2", "_sl_row", "start", "n"])
 
 
 def spans(rows: DataFrame, *, length: int = LENGTH, gram: int = GRAM, max_group: int = 4096) -> DataFrame:
-    """(_row, start, end): byte spans, which may overlap, whose union is what repeats. Reads _row and text."""
-    rows = rows.select("_row", "text").where(F.octet_length("text") >= length)
-    found = stage(rows.mapInArrow(lambda it: _segment_rows(it, length, gram), "h long, c long, _row long, start long, size int, n int"), "suffix-segments")
+    """(_sl_row, start, end): byte spans, which may overlap, whose union is what repeats. Reads _sl_row and text."""
+    rows = rows.select("_sl_row", "text").where(F.octet_length("text") >= length)
+    found = stage(rows.mapInArrow(lambda it: _segment_rows(it, length, gram), "h long, c long, _sl_row long, start long, size int, n int"), "suffix-segments")
     # One row for each distinct context, with one place of it; then what each group holds.
-    contexts = found.groupBy("h", "c").agg(F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.min(F.struct("_row", "start", "size")).alias("at"))
+    contexts = found.groupBy("h", "c").agg(F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.min(F.struct("_sl_row", "start", "size")).alias("at"))
     groups = contexts.groupBy("h").agg(F.count(F.lit(1)).alias("distinct"), F.max("n").alias("recurs")).where("distinct > 1 or recurs > 1")
-    open_ = stage(contexts.join(groups, "h").select("h", F.col("at._row").alias("_row"), F.col("at.start").alias("start"), F.col("at.size").alias("size"), (F.col("copies") == 1).alias("single"), (F.col("distinct") > max_group).alias("hot")), "suffix-contexts")
+    open_ = stage(contexts.join(groups, "h").select("h", F.col("at._sl_row").alias("_sl_row"), F.col("at.start").alias("start"), F.col("at.size").alias("size"), (F.col("copies") == 1).alias("single"), (F.col("distinct") > max_group).alias("hot")), "suffix-contexts")
     copies = contexts.where("copies > 1").select("h", "c")
-    whole = found.join(copies, ["h", "c"], "left_semi").select("_row", "start", (F.col("start") + F.col("size") + length - 1).alias("end"))
-    wanted = open_.groupBy("_row").agg(F.collect_list(F.struct("h", "start", "size", "single", "hot")).alias("wanted"))
+    whole = found.join(copies, ["h", "c"], "left_semi").select("_sl_row", "start", (F.col("start") + F.col("size") + length - 1).alias("end"))
+    wanted = open_.groupBy("_sl_row").agg(F.collect_list(F.struct("h", "start", "size", "single", "hot")).alias("wanted"))
 
     def bytes_of(hot: bool) -> DataFrame:
         own = wanted.withColumn("wanted", F.filter("wanted", lambda w: w["hot"] if hot else ~w["hot"])).where(F.size("wanted") > 0)
-        return rows.join(own, "_row").mapInArrow(lambda it: _contexts(it, length), "h long, _row long, start long, size int, single boolean, bytes binary")
+        return rows.join(own, "_sl_row").mapInArrow(lambda it: _contexts(it, length), "h long, _sl_row long, start long, size int, single boolean, bytes binary")
 
-    calm = bytes_of(False).repartition(F.col("h")).sortWithinPartitions("h").mapInArrow(lambda it: _shards(it, length), "_row long, start long, end long")
+    calm = bytes_of(False).repartition(F.col("h")).sortWithinPartitions("h").mapInArrow(lambda it: _shards(it, length), "_sl_row long, start long, end long")
     out = whole.unionByName(calm)
     if open_.where("hot").limit(1).count():
-        digests = bytes_of(True).mapInArrow(lambda it: _window_digests(it, length), "d1 long, d2 long, _row long, start long, n int")
+        digests = bytes_of(True).mapInArrow(lambda it: _window_digests(it, length), "d1 long, d2 long, _sl_row long, start long, n int")
         again = digests.groupBy("d1", "d2").agg(F.sum("n").alias("n")).where("n > 1").select("d1", "d2")
         single = digests.where("n = 1").join(again, ["d1", "d2"], "left_semi")
-        out = out.unionByName(single.select("_row", "start", (F.col("start") + length).alias("end")))
+        out = out.unionByName(single.select("_sl_row", "start", (F.col("start") + length).alias("end")))
     return out
 
 
@@ -290,8 +290,8 @@ def _kept(raw: bytes, gone: list[tuple[int, int]]) -> bytes:
 
 def _with_spans(docs: DataFrame, **options) -> DataFrame:
     rows = with_row_id(docs)
-    found = spans(rows, **options).groupBy("_row").agg(F.collect_list(F.struct("start", "end")).alias("_gone"))
-    return rows.join(found, "_row", "left")
+    found = spans(rows, **options).groupBy("_sl_row").agg(F.collect_list(F.struct("start", "end")).alias("_sl_gone"))
+    return rows.join(found, "_sl_row", "left")
 
 
 def _spans_of(x: list[dict] | None) -> list[tuple[int, int]]:
@@ -304,7 +304,7 @@ def report(docs: DataFrame, **options) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for text, gone in zip(b.column("text"), b.column("_gone").to_pylist(), strict=True):
+            for text, gone in zip(b.column("text"), b.column("_sl_gone").to_pylist(), strict=True):
                 raw = (text.as_py() or "").encode()
                 s = _spans_of(gone)
                 out.append((len(raw), sum(y - x for x, y in s), len(s), hashlib.sha256(_kept(raw, s)).hexdigest()))
@@ -312,7 +312,7 @@ def report(docs: DataFrame, **options) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(list(c), pa.int64()) for c in cols[:3]), pa.array(list(cols[3]), pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _with_spans(docs.select("doc_id", "text"), **options).drop("_row").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_spans(docs.select("doc_id", "text"), **options).drop("_sl_row").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def dedup(docs: DataFrame, **options) -> DataFrame:
@@ -322,11 +322,11 @@ def dedup(docs: DataFrame, **options) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
-            for text, gone in zip(b.column("text").to_pylist(), b.column("_gone").to_pylist(), strict=True):
+            for text, gone in zip(b.column("text").to_pylist(), b.column("_sl_gone").to_pylist(), strict=True):
                 texts.append(_kept(text.encode(), _spans_of(gone)).decode("utf-8", "ignore") if gone and text is not None else text)
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in names], names)
 
-    out = _with_spans(docs, **options).select(*names, "_gone").mapInArrow(run, schema)
+    out = _with_spans(docs, **options).select(*names, "_sl_gone").mapInArrow(run, schema)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in names else out
 
 
@@ -343,3 +343,18 @@ def brute_force(texts: list[str | None], length: int = LENGTH) -> list[tuple[int
         s = merge([(i, i + length) for i in range(len(r) - length + 1) if seen[r[i : i + length]] > 1])
         out.append((len(r), sum(b - a for a, b in s), len(s), hashlib.sha256(_kept(r, s)).hexdigest()))
     return out
+
+
+#: The same rows in DuckDB, over all windows of all texts (in hexadecimal).
+SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+w AS (SELECT r, i, md5(substr(hx, 2 * i + 1, 800)) AS m FROM (SELECT r, hx, unnest(range(0, CAST(length(hx) / 2 - 399 AS BIGINT))) AS i FROM d WHERE length(hx) >= 800)),
+m AS (SELECT m FROM w GROUP BY m HAVING count(*) > 1),
+rep AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 400 THEN 0 ELSE 1 END AS fresh FROM w WHERE m IN (SELECT m FROM m)),
+sp AS (SELECT r, min(i) AS a, max(i) + 400 AS b FROM (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS g FROM rep) GROUP BY r, g),
+gap AS (SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS s, a AS e FROM sp UNION ALL SELECT r, max(b), NULL FROM sp GROUP BY r),
+kept AS (SELECT g.r, string_agg(CASE WHEN e IS NULL THEN substr(hx, 2 * s + 1) ELSE substr(hx, 2 * s + 1, 2 * (e - s)) END, '' ORDER BY s) AS hx FROM gap g JOIN d ON g.r = d.r GROUP BY g.r),
+n AS (SELECT r, sum(b - a) AS gone, count(*) AS spans FROM sp GROUP BY r)
+SELECT doc_id, CAST(length(d.hx) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept.hx, d.hx))) AS kept_sha256
+FROM d LEFT JOIN n ON d.r = n.r LEFT JOIN kept ON d.r = kept.r
+"""
