@@ -116,19 +116,18 @@ def median_filter(v, half: int = 2) -> DataFrame:
 
 
 def change_points(values: np.ndarray, share: float = 0.006, k: int = 3) -> list[int]:
-    """Places where the median of the k before and of the k after differ by over ``share``: local peaks, k apart at least."""
-    n = len(values)
-    if n < 2 * k + 2:
+    """Places where the medians of the k values ahead and behind differ by over ``share``: peaks within k, k apart at least."""
+    if len(values) < 2 * k + 2:
         return []
-    shift = np.zeros(n)
-    for i in range(k, n - k + 1):
-        before = np.median(values[i - k : i])
-        shift[i] = abs(np.median(values[i : i + k]) - before) / before if before > 0 else 0.0
-    out: list[int] = []
-    for i in np.flatnonzero(shift > share).tolist():
-        if shift[i] >= shift[max(0, i - k) : i + k + 1].max() - 1e-12 and (not out or i - out[-1] >= k):
-            out.append(i)
-    return out
+    medians = np.median(np.lib.stride_tricks.sliding_window_view(values, k), axis=1)
+    behind, ahead = medians[:-k], medians[k:]
+    step = np.pad(np.divide(np.abs(ahead - behind), behind, out=np.zeros_like(behind), where=behind > 0), (k, k - 1))
+    highest = np.lib.stride_tricks.sliding_window_view(np.pad(step, k), 2 * k + 1).max(axis=1)
+    kept = [-k]
+    for place in np.flatnonzero((step > share) & (step >= highest - 1e-12)).tolist():
+        if place >= kept[-1] + k:
+            kept.append(place)
+    return kept[1:]
 
 
 def split_series(rows: DataFrame) -> DataFrame:
