@@ -37,7 +37,16 @@ def match_sql(a: str, b: str) -> str:
 def pairs(sources: DataFrame, tracks: DataFrame) -> DataFrame:
     """Each source with every other track, as structs a and b. Sources are the query set; the tracks stream past them."""
     a = sources.select(F.struct("*").alias("a"))
-    return tracks.select(F.struct("*").alias("b")).join(a, F.col("a.track_id") != F.col("b.track_id"))
+    spread = tracks.repartition(tracks.sparkSession.sparkContext.defaultParallelism, "track_id")
+    return spread.select(F.struct("*").alias("b")).join(a, F.col("a.track_id") != F.col("b.track_id"))
+
+
+def key_table(spark) -> DataFrame:
+    """(na, ma, nb, mb, base, shifted, n): scores and best shifts of all pairs of keys, 576 rows, worked out once."""
+    codes = spark.range(1, 13).withColumn("m", F.explode(F.array(F.lit("A"), F.lit("B"))))
+    both = codes.toDF("na", "ma").crossJoin(codes.toDF("nb", "mb"))
+    args = [F.col(c) for c in ("na", "ma", "nb", "mb")]
+    return both.withColumn("s", best_shift(*args)).select("na", "ma", "nb", "mb", key_compatibility(*args).alias("base"), F.col("s.score").alias("shifted"), F.col("s.n").alias("n"))
 
 
 def key_score():
@@ -195,10 +204,11 @@ def compat_edges(v, top_n: int = 10) -> DataFrame:
     """The ten best edges of each source: key score, with the shift that helps if its cost leaves it better, tempo and cue similarity."""
     tracks = v["tracks"].select("track_id", "bpm", "key_num", "mode")
     sims = best_cue_pair(v).select(F.col("src"), F.col("dst"), "similarity")
-    both = pairs(tracks.where(SOURCES), tracks).withColumn("s", best_shift(F.col("a.key_num"), F.col("a.mode"), F.col("b.key_num"), F.col("b.mode")))
-    paid = F.col("s.score") - SHIFT_PENALTY * F.abs("s.n")
-    better = F.coalesce(paid > key_score(), F.lit(False))
-    rows = both.select(F.col("a.track_id").alias("src"), F.col("b.track_id").alias("dst"), F.round(F.when(better, paid).otherwise(key_score()), 3).alias("harmonic"), tempo_score().alias("rhythm"), F.when(better, F.col("s.n")).otherwise(F.lit(0).cast("long")).alias("key_shift"))
+    keys = F.broadcast(key_table(v.spark))
+    both = pairs(tracks.where(SOURCES), tracks).select(F.col("a.track_id").alias("src"), F.col("b.track_id").alias("dst"), tempo_score().alias("rhythm"), F.col("a.key_num").alias("na"), F.col("a.mode").alias("ma"), F.col("b.key_num").alias("nb"), F.col("b.mode").alias("mb")).join(keys, ["na", "ma", "nb", "mb"])
+    paid = F.col("shifted") - SHIFT_PENALTY * F.abs("n")
+    better = F.coalesce(paid > F.col("base"), F.lit(False))
+    rows = both.select("src", "dst", F.round(F.when(better, paid).otherwise(F.col("base")), 3).alias("harmonic"), "rhythm", F.when(better, F.col("n")).otherwise(F.lit(0).cast("long")).alias("key_shift"))
     rows = rows.join(sims, ["src", "dst"], "left")
     score = F.when(F.col("similarity").isNull(), 0.6 * F.col("harmonic") + 0.4 * F.col("rhythm")).otherwise(0.4 * F.col("harmonic") + 0.3 * F.col("rhythm") + 0.3 * F.greatest(F.lit(0.0), F.col("similarity")))
     ranked = rows.withColumn("score", F.round(score, 3)).withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("score"), "dst")).cast("long"))
