@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from setloom.shipping import ship
+
 U64 = np.uint64
 #: Odd base of the polynomial hashes over bytes, and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
@@ -30,6 +32,7 @@ BLOCK_BYTES = 1 << 21
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -47,6 +50,7 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/setloom/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -59,6 +63,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def with_row_id(df: DataFrame, name: str = "_sl_row") -> DataFrame:
+    ship(df.sparkSession)
     return df.withColumn(name, F.monotonically_increasing_id())
 
 

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from setloom.llm.common import ALNUM_SEP, LOWER, gram_hash, text_blocks, words_of
+from setloom.shipping import ship
 
 GATE_WORDS = 3
 GATE_BITS = 20
@@ -160,6 +161,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, block_by
     """Adds to every row: bench_words (its number of words), bench_spans (word spans of verbatim matches of at
     least a window, joined, the longest first to last) and bench_items (ids of the items that match)."""
     spark = docs.sparkSession
+    ship(spark)
     docs = docs.drop(*_ADDED.names)
     names, schema = docs.columns, T.StructType([*docs.schema.fields, *_ADDED.fields])
     size = benchmark.select(F.sum(F.octet_length("text"))).first()[0] or 0

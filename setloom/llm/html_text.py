@@ -25,6 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from setloom.shipping import ship
+
 _TOKEN = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*+>|</[^a-zA-Z][^>]*+>|<([a-zA-Z/!?])")
 _ATTR = re.compile(r"([^\s=/>\"']++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?+")
 _SPACE = re.compile(r"\s+")
@@ -227,6 +229,7 @@ def main_blocks(page: str | None) -> list[str]:
 
 def extract(pages: DataFrame, *, column: str = "html") -> DataFrame:
     """page_id, url, text and n_chars (code points) of every page."""
+    ship(pages.sparkSession)
     slim = pages.select("page_id", "url", column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from setloom.llm.common import bucket_of, text_blocks
+from setloom.shipping import ship
 
 BUCKET_BITS = 15
 SIZES = (2, 3, 4)
@@ -98,6 +99,7 @@ def train(labelled: DataFrame, *, max_train_docs: int = 1600, segment: int = 80,
     Of each sampled row two examples are made, the whole text and a piece of ``segment`` bytes, so that short
     texts are learned too. ``max_langs`` bounds the labels (the most frequent stay).
     """
+    ship(labelled.sparkSession)
     labelled = labelled.where("lang is not null and text is not null")
     freq = {r[0]: r[1] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
     if not freq:
@@ -174,6 +176,7 @@ def predict_texts(col: pa.Array, model: LangModel | None) -> tuple[list, np.ndar
 def identify(docs: DataFrame, model: LangModel | None, *, text: str = "text") -> DataFrame:
     """Adds lang_pred, lang_score and lang_rejected to every row of ``docs``; all other columns stay as they are."""
     spark = docs.sparkSession
+    ship(spark)
     shared = spark.sparkContext.broadcast(model)
     added = ("lang_pred", "lang_score", "lang_rejected")
     docs = docs.drop(*added)

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from setloom.llm.common import ALNUM_SEP, LOWER, text_blocks, words_of
+from setloom.shipping import ship
 
 BASE_PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 WORD = re.compile(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -210,6 +211,7 @@ _ADDED = T.StructType([
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, word counts, base places and labels, and the detections that stay (label, word interval, priority)."""
+    ship(docs.sparkSession)
     slim = docs.select("doc_id", "text")
     schema = T.StructType([slim.schema["doc_id"], *_ADDED.fields])
 

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from setloom.llm.common import stage, with_row_id
+from setloom.shipping import ship
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NEVER = -1e18
@@ -346,6 +347,7 @@ def encode(docs: DataFrame, keep: list[str], *, model: str = MODEL, giant: int =
 def decode(encoded: DataFrame, *, model: str = MODEL) -> DataFrame:
     """Adds ``decoded``, the text of each row's ``ids``; null ids decode to null."""
     shared = Shared(encoded.sparkSession, model)
+    ship(encoded.sparkSession)
     schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

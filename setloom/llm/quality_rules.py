@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from setloom.llm.common import SPACE_SEP, gram_hash, mix64, per_row, separators, text_blocks, words_of
+from setloom.shipping import ship
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_exclaim", "n_stutter")
 REPEAT_WINDOW = 8
@@ -127,6 +128,7 @@ def measure(docs: DataFrame) -> DataFrame:
             cols = [np.concatenate([p[m] for p in parts]) if parts else np.zeros(0, np.int64) for m in MEASURES]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c.astype(np.int64)) for c in cols)], ["doc_id", *MEASURES])
 
+    ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{m} long" for m in MEASURES))
 

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from setloom.llm.common import ALNUM_SEP, LOWER, bucket_of, mix64, powers, prefix_hash, text_blocks, words_of
+from setloom.shipping import ship
 
 BITS = 18
 PREFIXES = (3, 4, 5, 6, 7, 8)
@@ -258,6 +259,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_train_docs: int = 3000, max
 
 def score(docs: DataFrame, model: ToxicModel | None, *, with_spans: bool = True) -> DataFrame:
     """doc_id, toxicity and toxic_spans (start, end in characters, largest marginal) of every row."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
