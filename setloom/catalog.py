@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from setloom.operators import corpus, features, graph, library, probe, screening, series  # noqa: F401
+from setloom.operators import corpus, features, graph, library, probe, screening, series, signal  # noqa: F401
 from setloom.plans import paths, planner  # noqa: F401
 from setloom.registry import ORACLES, QUERIES
 from setloom.sources import tables  # noqa: F401

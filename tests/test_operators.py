@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from setloom.operators import features, graph, library, probe, screening
+from setloom.operators import features, graph, library, probe, screening, signal
 from setloom.plans import paths, planner
 from setloom.sources import tables
 from setloom.sources.views import Views
@@ -161,3 +161,48 @@ def test_profiles_are_their_own_keys(spark):
     rows = [(m * 12 + r, p, prof[(p - r) % 12]) for m, prof in ((0, features.MAJOR), (1, features.MINOR)) for r in range(12) for p in range(12)]
     got = {x.id: (x.root, x.minor, x.confidence) for x in features.detect_keys(spark.createDataFrame(rows, "id long, pos long, value double")).collect()}
     assert got == {m * 12 + r: (r, m, 1.0) for m in range(2) for r in range(12)}
+
+
+def test_limited_peaks_stay_under_the_ceiling():
+    rng = np.random.default_rng(7)
+    level = rng.random(300) * 2
+    gain = signal.limit_series(level)
+    assert (level * gain <= 0.95 + 1e-9).all() and (gain <= 1).all()
+    assert np.allclose(signal.limit_series(np.full(20, 0.5)), 1.0) and len(signal.limit_series(np.zeros(0))) == 0
+    calm = signal.limit_series(np.r_[2.0, np.zeros(60)])
+    assert (np.diff(calm) >= 0).all() and calm[-1] > 0.99
+
+
+def test_splices_go_farthest_first():
+    rng = np.random.default_rng(8)
+    for _ in range(20):
+        n = int(rng.integers(1, 9))
+        energy, x = rng.random(n), rng.normal(size=(n, 5))
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        want = [int(energy.argmax())]
+        while len(want) < n:
+            rest = [i for i in range(n) if i not in want]
+            want.append(min(rest, key=lambda i: max(unit[i] @ unit[j] for j in want)))
+        assert signal.splice_order(energy, x) == want
+
+
+def test_spectra_find_a_tone_and_shelves_their_gain(spark):
+    t = np.arange(4096)
+    assert (signal.spectra(np.sin(2 * np.pi * t * 32 / 256)).argmax(1) == 32).all() and signal.spectra(np.zeros(10)).shape == (0, 129)
+    for high in (False, True):
+        c = spark.range(1).select(*[x.alias(k) for k, x in signal.shelf(F.lit(44100.0), F.lit(1000.0), F.lit(-6.0), high=high).items()]).first()
+        at = lambda z, c=c: abs((c.b0 + c.b1 * z + c.b2 * z * z) / (1 + c.a1 * z + c.a2 * z * z))
+        low, top = at(1.0), at(-1.0)
+        assert abs((top if high else low) - 10 ** (-6 / 20)) < 1e-9 and abs((low if high else top) - 1) < 1e-9
+
+
+def test_json_lists_at_their_edges(spark):
+    raws = ["[]", "{}", "nope", None, '[{"t": 1, "title": ""}, {"title": "x"}, {"t": 2, "artist": "A"}]', '{"tracks": [{"t": 3, "title": "B"}]}', '{"tracklist": [{"t": 4, "title": "C", "extra": 1}]}']
+    got = signal.json_entries(spark.createDataFrame(list(enumerate(raws)), "list_id long, raw string")).collect()
+    assert sorted((r.list_id, r.pos, r.t, r.artist, r.title) for r in got) == [(4, 2, 2.0, "A", None), (5, 0, 3.0, None, "B"), (6, 0, 4.0, None, "C")]
+
+
+def test_next_tracks_relax_when_nothing_is_left(spark):
+    edges = spark.createDataFrame([(1, 2, 1), (1, 3, 2), (4, 5, 1)], "src long, dst long, rank long")
+    recent = spark.createDataFrame([(1, 2), (4, 5)], "src long, dst long")
+    assert {r.src: r.next_track for r in signal.next_tracks(edges, recent).collect()} == {1: 3, 4: 5}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
+from setloom.operators import signal
 from setloom.streaming import sessions
 from setloom.sources.views import Views
 
@@ -50,3 +51,18 @@ def test_gaps_and_chunks_carry_state_over_batches(spark, tmp_path):
 def test_heartbeats_never_go_back(spark):
     beats = spark.createDataFrame(pd.DataFrame({"user_id": [1, 1, 1, 2], "value": [5.0, -3.0, float("nan"), float("inf")]}))
     assert {r.user_id: r.played for r in sessions.heartbeat(beats).collect()} == {1: 5.0}
+
+
+def test_scheduler_keeps_its_state_between_batches(spark, tmp_path):
+    schema = "session long, seq long, pos double, bar double, played double, cue_ts double, cue_confidence double, done boolean, least double, most double"
+    row = lambda seq, pos, played, cue=None, conf=None, done=False: (1, seq, pos, 2.0, played, cue, conf, done, 4.0, 24.0)
+    batches = [
+        [row(0, 0.0, 0.0, 10.0, 0.9), row(1, 8.0, 4.0, 30.0, 0.9)],  # too early; then a cue eleven bars ahead
+        [row(2, 16.0, 8.0, 30.0, 0.9), row(3, 18.0, 9.0, 30.0, 0.9)],  # fires; then it mixes
+        [row(4, 40.0, 0.0, done=True), row(5, 90.0, 25.0), row(6, 92.0, 26.0)],  # ends; the most dwell; mixes again
+    ]
+    for i, b in enumerate(batches):
+        spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "ticks"))
+    stream = sessions.read_events(spark, str(tmp_path / "ticks"), spark.createDataFrame([], schema).schema)
+    got = _run(spark, signal.schedule(stream), "decisions", "append").sort_values("pos")
+    assert list(zip(got.pos, got.fires, strict=True)) == [(0.0, False), (8.0, False), (16.0, True), (90.0, True)]
