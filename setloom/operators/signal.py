@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from setloom.functions.text import licence_code
-from setloom.registry import query, sql_query
+from setloom.operators.graph import compat_edges
+from setloom.registry import ORACLES, query, sql_query
 
 
 def shelf(rate: Column, corner: Column, gain_db: Column, *, high: bool, slope: float = 0.7) -> dict[str, Column]:
@@ -170,11 +171,10 @@ def next_tracks(edges: DataFrame, recent: DataFrame) -> DataFrame:
     return kept.groupBy("src").agg(F.min(F.struct("relaxed", "rank", "dst"))["dst"].alias("next_track"))
 
 
-@query("next_track")
+@query("next_track", f"SELECT src, arg_min(dst, CASE WHEN rank <= 2 THEN 100 + rank ELSE rank END) AS next_track FROM ({ORACLES['compat_edges']}) GROUP BY src")
 def next_track(v) -> DataFrame:
-    from setloom.operators.graph import compat_edges
-
-    edges = compat_edges(v).select("src", "dst", "rank").cache()
+    """What each source plays next when its two best edges were played lately."""
+    edges = compat_edges(v).select("src", "dst", "rank")
     recent = edges.where("rank <= 2").select("src", "dst")
     return next_tracks(edges, recent)
 
