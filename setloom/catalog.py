@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from setloom.operators import corpus, features, graph, library, probe, screening, series, signal  # noqa: F401
-from setloom.plans import paths, planner, sets  # noqa: F401
+from setloom.plans import collage, paths, planner, sets  # noqa: F401
 from setloom.registry import ORACLES, QUERIES
 from setloom.sources import tables  # noqa: F401
 from setloom.streaming import sessions  # noqa: F401

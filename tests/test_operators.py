@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from setloom.operators import features, graph, library, probe, screening, signal
-from setloom.plans import paths, planner
+from setloom.plans import collage, paths, planner
 from setloom.sources import tables
 from setloom.sources.views import Views
 
@@ -206,3 +206,15 @@ def test_next_tracks_relax_when_nothing_is_left(spark):
     edges = spark.createDataFrame([(1, 2, 1), (1, 3, 2), (4, 5, 1)], "src long, dst long, rank long")
     recent = spark.createDataFrame([(1, 2), (4, 5)], "src long, dst long")
     assert {r.src: r.next_track for r in signal.next_tracks(edges, recent).collect()} == {1: 3, 4: 5}
+
+
+def test_collages_are_seeded_bounded_and_full(spark):
+    pool = pd.DataFrame({"track_id": range(40), "section": 0, "sub": 0})
+    a, b, c = collage.place(pool, 1), collage.place(pool, 1), collage.place(pool, 2, chaos=1.0)
+    assert a.equals(b) and not a.equals(c) and collage.place(pool.iloc[:0], 1).empty
+    for x in (a, c):
+        assert x.out_start.is_monotonic_increasing and x.out_start.iloc[-1] >= 500
+        layers = [((x.out_start <= t) & (t < x.out_end)).sum() for t in x.out_start]
+        assert max(layers) <= collage.LAYERS
+    assert (c["mode"] == "weave").mean() > (a["mode"] == "weave").mean()
+    assert abs(spark.range(1).select(planner.seeded_unit(F.lit(3), F.lit("x"))).first()[0] - collage.draw(3, "x")) < 1e-15
