@@ -67,6 +67,13 @@ def with_row_id(df: DataFrame, name: str = "_sl_row") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def packed_rows(docs: DataFrame, text: str = "text") -> tuple[DataFrame, list[Column]]:
+    """The text beside one struct of all other columns, whose names then clash with nothing; and the columns that undo it."""
+    others = [c for c in docs.columns if c != text]
+    packed = docs.select(F.struct(F.lit(0).alias("_sl_none"), *others).alias("_sl_doc"), text)
+    return packed, [F.col(text) if c == text else F.col("_sl_doc").getField(c).alias(c) for c in docs.columns]
+
+
 def id_text(doc_id: str = "doc_id") -> Column:
     return F.col(doc_id).cast("string")
 

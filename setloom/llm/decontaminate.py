@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from setloom.llm.common import ALNUM_SEP, LOWER, gram_hash, text_blocks, words_of
+from setloom.llm.common import ALNUM_SEP, LOWER, gram_hash, packed_rows, text_blocks, words_of
 from setloom.shipping import ship
 
 GATE_WORDS = 3
@@ -201,8 +201,8 @@ def contaminated():
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, with the columns they came with."""
-    packed = docs.select(F.struct(*docs.columns).alias("doc"), "text")
-    return matches(packed, benchmark).where(~contaminated()).select("doc.*")
+    packed, unpack = packed_rows(docs)
+    return matches(packed, benchmark).where(~contaminated()).select(*unpack)
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -26,13 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from setloom.llm.common import bucket_of, text_blocks
+from setloom.llm.common import bucket_of, packed_rows, per_row, separators, text_blocks
 from setloom.shipping import ship
 
 BUCKET_BITS = 15
 SIZES = (2, 3, 4)
 UND = "und"
 _LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER = separators([*range(65, 91), *range(97, 123)])
 #: ASCII bytes that are no letter become a space; bytes of other characters stay.
 _FOLD = np.array([b + 32 if 65 <= b < 91 else b if 97 <= b < 123 or b >= 128 else 32 for b in range(256)], np.uint32)
 
@@ -159,7 +160,9 @@ def predict_texts(col: pa.Array, model: LangModel | None) -> tuple[list, np.ndar
     lang, score, rejected = np.full(n, UND, object), np.zeros(n), np.ones(n, bool)
     if model is None:
         return list(lang), score, rejected
+    lettered = np.zeros(n, bool)  # with an ASCII letter; the others are looked at one by one
     for a, b, data, offsets in text_blocks(col):
+        lettered[a:b] = per_row(_ASCII_LETTER[data], offsets) > 0
         sums, counts = block_sums(data, offsets, model.table)
         p = _softmax((sums / np.maximum(counts, 1)[:, None] + model.bias) / model.temperature)
         best = p.argmax(1)
@@ -167,8 +170,8 @@ def predict_texts(col: pa.Array, model: LangModel | None) -> tuple[list, np.ndar
         score[a:b] = p[np.arange(b - a), best]
     score = np.clip(score, 0.0, 1.0)
     rejected = score < model.threshold
-    for i, text in enumerate(col.to_pylist()):
-        if text is None or not _LETTER.search(text):
+    for i in np.flatnonzero(~lettered).tolist():
+        if not _LETTER.search(col[i].as_py() or ""):
             lang[i], score[i], rejected[i] = UND, 0.0, True
     return list(lang), score, rejected
 
@@ -206,6 +209,5 @@ def lang_id(docs: DataFrame, **options) -> DataFrame:
 def keep_identified(docs: DataFrame, **options) -> DataFrame:
     """Pipeline stage: the documents that language ID doesn't reject, with the columns they came with."""
     model = fit_documents(docs, **options)
-    # The row travels as one struct, so that no name of its columns can clash.
-    packed = docs.select(F.struct(*docs.columns).alias("doc"), "text")
-    return identify(packed, model).where(~F.col("lang_rejected")).select("doc.*")
+    packed, unpack = packed_rows(docs)
+    return identify(packed, model).where(~F.col("lang_rejected")).select(*unpack)
