@@ -28,7 +28,7 @@ U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15
 BASE_INV = pow(BASE, -1, 1 << 64)
 #: Bytes of text that the vectorised scans take at once (a longer text is a block of its own).
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -164,7 +164,7 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i for i below n at least, modulo 2**64."""
-    size = 1 << max(12, int(n).bit_length())
+    size = 1 << max(12, int(n - 1).bit_length())
     if size not in _powers:
         up, down = np.empty(size, U64), np.empty(size, U64)
         for out, base in ((up, BASE), (down, BASE_INV)):

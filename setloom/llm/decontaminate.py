@@ -32,6 +32,8 @@ from setloom.shipping import ship
 
 GATE_WORDS = 3
 GATE_BITS = 20
+#: Bytes of text of a shard.
+SHARD = 1 << 20
 
 
 @dataclass
@@ -174,7 +176,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, block_by
         def run(batches: Iterator[pa.RecordBatch], shared=shared, first=block == 0) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 n_words, spans, items = [], [], []
-                for at, to, data, offsets in text_blocks(b.column("text")):
+                for at, to, data, offsets in text_blocks(b.column("text"), SHARD):
                     n, hits, ids = block_hits(data, offsets, shared.value)
                     own: list[list[tuple[int, int]]] = [[] for _ in range(to - at)]
                     for r, w, k in hits:
