@@ -4,7 +4,8 @@ Every text is the average of the embeddings of its hashed byte n-grams (2 to 4 b
 lower-cased and everything that is no letter made a space); a linear layer and a softmax give the language.
 The model is trained by stochastic gradient descent in numpy on the driver, over a bounded sample of labelled
 rows (``max_train_docs``, drawn by hash, about evenly by language), whose n-gram counts are made on executors.
-A temperature and a rejection threshold are fitted on a part of the sample that training leaves out.
+A temperature and a rejection threshold (the score below which ``false_reject`` of the rightly named examples lie) are
+fitted on a part of the sample that training leaves out.
 
 At prediction embedding and linear layer fold into one table (bucket x language), so that a text costs one
 lookup per n-gram; the work is a map over the rows, with no shuffle.
@@ -142,7 +143,7 @@ def train(labelled: DataFrame, *, max_train_docs: int = 1600, segment: int = 80,
     p = _softmax(z / best[1])
     right = np.sort(p.max(1)[p.argmax(1) == t])
     low = float(np.quantile(right, false_reject)) if len(right) else 1.0
-    return LangModel(langs, folded, bias, float(best[1]), min(low, 1.0 / n + 0.05))
+    return LangModel(langs, folded, bias, float(best[1]), low)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
