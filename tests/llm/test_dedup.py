@@ -27,18 +27,26 @@ def test_shards_find_every_repeat():
         n = rng.choice([3, 5, 8])
         contexts = [bytes(rng.choice(b"ab" if trial % 2 else b"abcd") for _ in range(rng.randint(n, 40))) for _ in range(rng.randint(1, 6))]
         count = Counter(c[i : i + n] for c in contexts for i in range(len(c) - n + 1))
-        got = suffix_dedup.repeated(contexts, [len(c) - n + 1 for c in contexts], n)
-        for c, flags in zip(contexts, got, strict=True):
+        k, owners = n - 2, [rng.randint(0, 2) for _ in contexts]
+        homes = {}
+        for c, o in zip(contexts, owners, strict=True):
+            for i in range(len(c) - k + 1):
+                homes.setdefault(c[i : i + k], set()).add(o)
+        got = suffix_dedup.repeated(contexts, [len(c) for c in contexts], n, k, [(o, o) for o in owners])
+        for c, (flags, far) in zip(contexts, got, strict=True):
             assert flags.tolist() == [count[c[i : i + n]] > 1 for i in range(len(c) - n + 1)]
+            assert far.tolist() == [len(homes[c[i : i + k]]) > 1 for i in range(len(c) - k + 1)]
 
 
 @pytest.mark.parametrize("max_group", [4096, 1, 0])
-def test_suffix_dedup_equals_brute_force(spark, max_group):
+@pytest.mark.parametrize("passage", [24, 40])
+def test_suffix_dedup_equals_brute_force(spark, max_group, passage):
     texts = passages()
-    want = suffix_dedup.brute_force(texts, 40)
+    want = [(*x, *y[:2]) for x, y in zip(suffix_dedup.brute_force(texts, 40), suffix_dedup.brute_passages(texts, passage, 5), strict=True)]
     docs = documents(spark, texts)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.report(docs, length=40, gram=12, max_group=max_group).collect()}
+    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.report(docs, length=40, passage=passage, words=5, gram=12, max_group=max_group).collect()}
     assert [got[i] for i in range(len(texts))] == want
+    assert any(x[4] for x in want) and any(x[1] and not x[4] for x in want)
 
 
 def test_pieces_of_long_texts_lose_nothing(spark, monkeypatch):
@@ -46,9 +54,10 @@ def test_pieces_of_long_texts_lose_nothing(spark, monkeypatch):
     data = [t.encode() for t in passages() if t]
     raw = np.frombuffer(b"".join(data), np.uint8)
     offsets = np.cumsum([0, *map(len, data)])
-    row, start, size, *_ = suffix_dedup.segments(raw, offsets, 40, 12)
+    row, start, size, length, *_ = suffix_dedup.segments(raw, offsets, 40, 12, 90)
     windows = sorted((r, s + k) for r, s, n in zip(row.tolist(), start.tolist(), size.tolist(), strict=True) for k in range(n))
     assert windows == [(r, k) for r, d in enumerate(data) for k in range(len(d) - 39)]
+    assert all(n == min(s + k + 89, len(data[r])) - s for r, s, k, n in zip(row.tolist(), start.tolist(), size.tolist(), length.tolist(), strict=True))
 
 
 def test_suffix_dedup_keeps_rows_columns_and_whole_characters(spark):
@@ -61,6 +70,47 @@ def test_suffix_dedup_keeps_rows_columns_and_whole_characters(spark):
     assert suffix_dedup.dedup(docs.where("false")).count() == 0 and suffix_dedup.report(docs.where("false")).count() == 0
 
 
+PROSE = {
+    "en": "the of and to in that was his with for had you not her which have from they were been their more when will would".split(),
+    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden über schön".split(),
+    "fr": "de la le et les des en un du une que est pour qui dans par plus pas au sur ne se été même après très".split(),
+    "es": "de la que el en y a los del se las por un para con no una su al es lo como más pero sus también señor".split(),
+}
+
+
+def prose(rng: random.Random, lang: str, n: int) -> str:
+    """Words of 2 to 12 letters, a few common ones and many invented."""
+    words = PROSE[lang]
+    return " ".join(rng.choice(words) if rng.random() < 0.4 else rng.choice(words) + rng.choice(words) + rng.choice("aeiounst") for _ in range(n))
+
+
+@pytest.mark.parametrize("max_group", [4096, 0])
+def test_planted_passages_go_and_clean_documents_stay(spark, max_group):
+    """Passages of 51 to 80 words in four languages, in several documents each; documents without one keep every byte."""
+    rng = random.Random(9)
+    texts, planted = [], {}
+    for lang in PROSE:
+        for n in (51, 52, 55, 60, 70, 80):
+            p = prose(rng, lang, n)
+            for _ in range(rng.choice([2, 5])):
+                planted[len(texts)] = p
+                texts.append(prose(rng, lang, rng.randint(20, 150)) + "\n" + p + "\n" + prose(rng, lang, rng.randint(20, 150)))
+        texts += [prose(rng, lang, 200) for _ in range(8)]
+        short = prose(rng, lang, 40)
+        texts += [prose(rng, lang, 90) + " " + short + " " + prose(rng, lang, 90) for _ in range(3)]
+        texts.append(f"{p[:30]} " + (rng.choice(PROSE[lang]) + " ") * 200)  # a stutter stands in one document only
+    docs = documents(spark, texts)
+    got = {r.doc_id: r.text for r in suffix_dedup.dedup(docs, length=None, passage=suffix_dedup.PASSAGE, max_group=max_group).collect()}
+    for i, t in enumerate(texts):
+        if i in planted:
+            assert planted[i] not in got[i] and len(t) - len(got[i]) <= len(planted[i]) + 25
+        else:
+            assert got[i] == t
+    assert [got[i] for i in range(len(texts))] == [x[2] for x in suffix_dedup.brute_passages(texts)]
+    found = {r.doc_id: r.n_passages for r in suffix_dedup.report(docs).collect()}
+    assert all((found[i] > 0) == (i in planted) for i in found)
+
+
 def test_fingerprints_and_components_equal_brute_force(spark):
     texts = [*edge_texts(), "just two", "just two", "ONE", "one"]
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.report(documents(spark, texts)).collect()}
