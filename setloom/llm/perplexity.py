@@ -6,7 +6,8 @@ any document has, is made by joins and aggregations sharded by n-gram, whatever
 
 Documents travel in packed blocks. A block asks for its distinct 5-grams; the answers, joined from the probability
 table by n-gram, return by block and meet the block's compressed text, so that each document's whole text gets its
-mean log probability. Perplexities over the quantile of trusted documents of the same language are rejected; the
+mean log probability. A block is a run of a task's rows, cut by their bytes alone, however the rows come in batches,
+and is named by its first row; an n-gram without an answer is an error, never another n-gram's probability. Perplexities over the quantile of trusted documents of the same language are rejected; the
 quantiles are read from histograms of thousandths of the log, counted per language.
 
 Defined results: null and empty texts have no perplexity and are not kept; a null language is a language of its own
@@ -22,11 +23,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from setloom.llm.common import checkpoint, stage, text_blocks, with_row_id
+from setloom.llm.common import checkpoint, stage, text_blocks, text_buffers, with_row_id
 
 ORDER = 5
 #: Bytes of text in a block: large, since a block asks for each of its distinct n-grams once.
@@ -37,7 +37,7 @@ BOS = 0xFF
 #: Symbols of the uniform model below unigrams.
 SYMBOLS = 256.0
 #: Trusted ids up to this number are broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 200_000
 
 
 def grams(data: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> Iterator[tuple[int, np.ndarray]]:
@@ -114,31 +114,39 @@ def probabilities(tables: list[DataFrame], wanted: DataFrame) -> DataFrame:
     return below.select(F.col("s").alias("g"), F.log("p0").alias("lp"))
 
 
-def _blocks(b: pa.RecordBatch, seq: int) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
-    """Blocks of a task's batch with their numbers: partition and running number."""
-    part = TaskContext.get().partitionId()
-    for a, to, data, offsets in text_blocks(b.column("text"), BLOCK):
-        yield (part << 24) | seq, a, to, data, offsets
-        seq += 1
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row ids, bytes and offsets of a task's blocks: rows up to BLOCK bytes, or one row of more, across batches."""
+    ids: list[int] = []
+    texts: list[np.ndarray] = []
+    size = 0
 
+    def block() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.array(ids, np.int64), np.concatenate(texts), np.cumsum([0, *map(len, texts)])
 
-def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seq = 0
     for b in batches:
-        for block, _, _, data, offsets in _blocks(b, seq):
-            g = distinct_grams(data, offsets)
-            seq += 1
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), block)), pa.array(g)], ["block", "g"])
+        raw, offsets = text_buffers(b.column("text"))
+        for row, x, y in zip(b.column("_sl_row").to_pylist(), offsets.tolist(), offsets[1:].tolist(), strict=False):
+            if ids and size + y - x > BLOCK:
+                yield block()
+                ids, texts, size = [], [], 0
+            ids.append(row)
+            texts.append(raw[x:y].copy())
+            size += y - x
+    if ids:
+        yield block()
+
+
+def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for ids, data, offsets in _blocks(batches):
+        g = distinct_grams(data, offsets)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), ids[0])), pa.array(g)], ["block", "g"])
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seq = 0
-    for b in batches:
-        for block, a, to, data, offsets in _blocks(b, seq):
-            seq += 1
-            blob = zstandard.ZstdCompressor(3).compress(data.tobytes())
-            cols = [pa.array([block]), pa.array([blob], pa.binary()), pa.array([offsets.tolist()], pa.list_(pa.int64())), pa.array([b.column("_sl_row")[a:to].to_pylist()], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["block", "blob", "offsets", "rows"])
+    for ids, data, offsets in _blocks(batches):
+        blob = zstandard.ZstdCompressor(3).compress(data.tobytes())
+        cols = [pa.array([ids[0]]), pa.array([blob], pa.binary()), pa.array([offsets], pa.list_(pa.int64())), pa.array([ids], pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(cols, ["block", "blob", "offsets", "rows"])
 
 
 def _answer(texts: pa.Table, table: pa.Table) -> pa.Table:
@@ -146,12 +154,17 @@ def _answer(texts: pa.Table, table: pa.Table) -> pa.Table:
     g, lp = table["g"].to_numpy(), table["lp"].to_numpy()
     order = np.argsort(g)
     g, lp = g[order], lp[order]
+    if not len(texts):
+        raise ValueError("answers came back to a block that no text is in")
     for blob, offsets, ids in zip(texts["blob"], texts["offsets"], texts["rows"], strict=True):
         data = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob.as_py()), np.uint8) if len(blob.as_py()) else np.zeros(0, np.uint8)
         offs = np.asarray(offsets.as_py(), np.int64)
         sums = np.zeros(len(offs) - 1)
         for first, x in grams(data, offs):
-            c = np.concatenate([[0.0], np.cumsum(lp[np.searchsorted(g, x)])])
+            at = np.minimum(np.searchsorted(g, x), max(0, len(g) - 1))
+            if not len(g) or (g[at] != x).any():
+                raise ValueError("a block has an n-gram that it didn't ask for")
+            c = np.concatenate([[0.0], np.cumsum(lp[at])])
             lo, hi = np.clip(offs[:-1] - first, 0, len(x)), np.clip(offs[1:] - first, 0, len(x))
             sums += c[hi] - c[lo]
         rows += ids.as_py()
@@ -163,7 +176,7 @@ def _answer(texts: pa.Table, table: pa.Table) -> pa.Table:
 def score(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """(_sl_row, n_bytes, log_perplexity) of every row of ``docs`` (_sl_row, text), by a model of the texts of ``trusted``."""
     slim = docs.select("_sl_row", "text")
-    asked = slim.select("text").mapInArrow(_ask, "block long, g long")
+    asked = slim.mapInArrow(_ask, "block long, g long")
     # The distinct ones of all blocks; each gets its probability once, and goes back to the blocks that asked.
     wanted = stage(asked.select("g").distinct(), "ngrams-wanted")
     known = probabilities(counts(trusted), wanted)
@@ -174,7 +187,10 @@ def score(docs: DataFrame, trusted: DataFrame) -> DataFrame:
 
 
 def thresholds(scored: DataFrame, quantile: float, min_trusted: int) -> DataFrame:
-    """(lang, limit) from rows (lang, log_perplexity) of trusted documents; a null lang stands for all languages."""
+    """(lang, limit) from rows (lang, log_perplexity) of trusted documents; a null lang stands for all languages.
+
+    The windows are over a language's histogram: some thousand bins, however many documents.
+    """
     bins = scored.where("log_perplexity is not null").groupBy("lang", F.ceil(F.col("log_perplexity") * 1000).alias("bin")).count()
     bins = bins.unionByName(bins.groupBy("bin").agg(F.sum("count").alias("count")).withColumn("lang", F.lit(None).cast("string")))
     by = Window.partitionBy("lang")

@@ -139,6 +139,44 @@ def test_perplexity_equals_brute_force(spark, monkeypatch):
         assert (got[i] is None) == (x is None) and (x is None or abs(got[i] - x) < 1e-9)
 
 
+def test_batches_do_not_change_perplexities(spark, monkeypatch):
+    """Arrow batches that are cut by bytes, at other rows in each scan."""
+    docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
+    monkeypatch.setattr(perplexity, "BLOCK", 300_000)
+    rows, conf = {}, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(conf)
+    for size in ("20000", "200000", "67108864"):
+        spark.conf.set(conf, size)
+        rows[size] = sorted((r.doc_id, round(r.perplexity or 0, 9), r.kept) for r in perplexity.classify(docs, labels).collect())
+    spark.conf.set(conf, before)
+    assert rows["20000"] == rows["200000"] == rows["67108864"]
+
+
+def test_absent_ngrams_are_errors():
+    import pyarrow as pa
+
+    text = pa.table({"block": [0], "blob": [perplexity.zstandard.compress(b"abc")], "offsets": [[0, 3]], "rows": [[5]]})
+    g = perplexity.distinct_grams(np.frombuffer(b"abc", np.uint8), np.array([0, 3]))
+    full = pa.table({"block": [0] * len(g), "g": g, "lp": np.full(len(g), -1.0)})
+    assert perplexity._answer(text, full)["lp"].to_pylist() == [-3.0]
+    for bad in (full.slice(1), full.slice(0, 0)):
+        with pytest.raises(ValueError):
+            perplexity._answer(text, bad)
+
+
+def test_perplexity_at_the_edges(spark):
+    """Null languages, too few trusted documents of a language, clashing columns."""
+    from pyspark.sql import functions as F
+
+    docs = documents(spark, edge_texts()).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, F.col("lang"))).withColumn("_sl_row", F.lit(1)).withColumn("limit", F.lit(2))
+    docs = perplexity.stage(docs, "test-edges")
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    got = perplexity.classify(docs, labels, min_trusted=3).collect()
+    assert len(got) == docs.count() and {r.lang for r in got} == {"en", "und"}
+    assert len({round(r.limit, 9) for r in perplexity.classify(docs, labels, min_trusted=10**6).collect()}) == 1
+    assert not any(r.kept for r in got if not r.n_bytes)
+
+
 def test_classifier_keeps_clean_documents(spark):
     docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
     got = perplexity.classify(docs, labels).join(labels, "doc_id").toPandas()
