@@ -6,7 +6,8 @@ failed). A policy is a version name and a mask; ``apply_policy`` keeps the rows
 else, rows kept without it. Measuring is a vectorised map over Arrow batches; everything after is built-in
 functions; nothing but the ablation's counts is shuffled.
 
-Words are ``[^\\x20\\x09-\\x0D]+``. Defined results: a null text has no words, hence too few; equal rows are
+Words are ``[^\\x20\\x09-\\x0D]+``. Words, windows and lines are judged equal by their bytes: a block's distinct words and
+lines get numbers, and windows the numbers of their halves' pairs; no hash stands for them. Defined results: a null text has no words, hence too few; equal rows are
 measured equally; null ids stay; extra columns are ignored.
 """
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from setloom.llm.common import SPACE_SEP, gram_hash, mix64, per_row, separators, text_blocks, words_of
+from setloom.llm.common import SPACE_SEP, per_row, separators, text_blocks, words_of
 from setloom.shipping import ship
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_exclaim", "n_stutter")
@@ -54,13 +55,15 @@ RULES = (
     Rule("stuttered_words", "5 * n_stutter > n_words"),
 )
 BASE_MASK = 0b11
-POLICIES = {"base": BASE_MASK, "v1": 0b1111111111}
+#: By version: all rules; or without those on the shape of words and capitals.
+POLICIES = {"base": BASE_MASK, "v1": 0b1111111111, "lean": 0b1100001111}
 
 
 def block_measures(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    starts, ends, counts, h = words_of(data, offsets, SPACE_SEP)
+    starts, ends, counts, _ = words_of(data, offsets, SPACE_SEP, hashes=False)
     n = np.diff(counts)
     inside = ~SPACE_SEP[data]
+    h = numbers(data[inside], ends - starts)
     out = {"n_words": n, "word_chars": per_row(inside & _LEAD[data], offsets)}
     for name, chars in (("n_symbols", _SYMBOL), ("n_upper", _UPPER), ("n_exclaim", _BANG)):
         out[name] = per_row(chars[data], offsets)
@@ -72,6 +75,13 @@ def block_measures(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarra
     return out
 
 
+def numbers(own: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Numbers of a block's stretches, given their bytes in a row and their sizes: equal for equal bytes, and only then."""
+    offs = np.concatenate([[0], np.cumsum(size)])
+    col = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offs.astype(np.int64)), pa.py_buffer(own)])
+    return col.dictionary_encode().indices.to_numpy().astype(np.int64)
+
+
 def _stutters(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Words equal to the word before them."""
     same = np.zeros(len(h) + 1, np.int64)
@@ -86,10 +96,12 @@ def _repeats(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     m = max(0, len(h) - REPEAT_WINDOW + 1)
     covered = np.zeros(len(h) + 1, np.int64)
     if m:
-        g = gram_hash(h, REPEAT_WINDOW)
+        g, width = h, 1
+        while width < REPEAT_WINDOW:  # a power of two: a window's number is that of its halves' pair
+            g, width = np.unique(g[:-width] << 32 | g[width:], return_inverse=True)[1], 2 * width
         row = np.searchsorted(counts, np.arange(m), side="right") - 1
         ok = np.flatnonzero(np.arange(m) + REPEAT_WINDOW <= counts[row + 1])
-        key = mix64(g[ok] ^ (row[ok].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+        key = row[ok] << 32 | g[ok]
         order = np.argsort(key)
         s = key[order]
         same = np.zeros(len(s), bool)
@@ -107,10 +119,10 @@ def _dup_lines(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray) -> tup
     """Lines with a word that equal an earlier line of the row, and lines with a word."""
     cut = separators(b"\n")
     # Lines are the "words" between newlines; empty ones have no word anyhow.
-    s, e, counts, h = words_of(data, offsets, cut)
+    s, e, counts, _ = words_of(data, offsets, cut, hashes=False)
     has = np.searchsorted(starts, e) > np.searchsorted(starts, s)
     row = np.repeat(np.arange(len(counts) - 1), np.diff(counts))[has]
-    key = mix64(h[has] ^ (row.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ ((e - s)[has].astype(np.uint64) << np.uint64(40)))
+    key = row << 32 | numbers(data[~cut[data]], e - s)[has]
     order = np.argsort(key)
     later = np.zeros(len(order), bool)
     if len(order):
@@ -162,8 +174,11 @@ def ablate(book: DataFrame, policy: str) -> DataFrame:
 
 
 def rules_report(docs: DataFrame, policy: str = "v1") -> DataFrame:
-    """The op5 result, with the ledger's bits."""
-    return apply_policy(ledger(docs), policy).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
+    """The op5 result, with the ledger's bits, the verdict of the policy ``lean``, and ``only_rule``: the one rule of the policy that a row fails, so that its ablation would keep the row."""
+    bits = F.col("fail_bits").bitwiseAND(F.lit(POLICIES[policy]))
+    name = F.coalesce(*[F.when(bits == 1 << i, F.lit(r.name)) for i, r in enumerate(RULES)])
+    book = apply_policy(ledger(docs), policy).withColumn("kept_lean", ~failed("lean"))
+    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits", "kept_lean", name.alias("only_rule"))
 
 
 def brute_force(text: str | None) -> dict[str, int]:
@@ -192,5 +207,7 @@ m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_repla
 b AS (SELECT *, CAST(CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END
  + CASE WHEN n_dup_lines > 5 AND 100 * n_dup_lines > 30 * n_lines THEN 8 ELSE 0 END + CASE WHEN word_chars < 3 * n_words THEN 16 ELSE 0 END + CASE WHEN word_chars > 12 * n_words THEN 32 ELSE 0 END
  + CASE WHEN 2 * n_upper > n_letters THEN 64 ELSE 0 END + CASE WHEN 5 * n_exclaim > n_words THEN 128 ELSE 0 END + CASE WHEN n_letters = 0 THEN 256 ELSE 0 END + CASE WHEN 5 * n_stutter > n_words THEN 512 ELSE 0 END AS BIGINT) AS fail_bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits, (fail_bits & 783) = 0 AS kept_lean,
+ CASE fail_bits WHEN 1 THEN 'few_words' WHEN 2 THEN 'repeated_words' WHEN 4 THEN 'symbols' WHEN 8 THEN 'repeated_lines' WHEN 16 THEN 'short_words' WHEN 32 THEN 'long_words' WHEN 64 THEN 'capitals' WHEN 128 THEN 'exclamations'
+ WHEN 256 THEN 'no_letters' WHEN 512 THEN 'stuttered_words' END AS only_rule FROM b
 """

@@ -38,6 +38,37 @@ def test_quality_rules_equal_brute_force(spark):
         assert r.n_kept_without == sum(not b & quality_rules.POLICIES["v1"] & ~bit for b in bits)
 
 
+def thue_morse(n: int) -> tuple[str, str]:
+    """Two strings of 2**n letters whose polynomial hashes modulo 2**64 are equal."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_colliding_lines_and_words_differ(spark):
+    a, b = thue_morse(10)
+    texts = [f"{a}\n{b}", f"{a}\n{a}\n{b}", " ".join([a, "w x y z u v t", b, "w x y z u v t", a]), f"{a} {b} " * 8]
+    got = {r.doc_id: r for r in quality_rules.measure(documents(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        for k, v in quality_rules.brute_force(t).items():
+            assert got[i][k] == v, (i, k)
+    assert got[0].n_dup_lines == 0 and got[1].n_dup_lines == 1
+    items = [("x", b), ("y", f"one two {a}"), ("z", f"one two {b}")]
+    docs = [a, b, f"one two {b}", f"one two {a} one two {b}"]
+    want = decontaminate.brute_force(list(enumerate(docs)), items)
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    assert {r.doc_id: tuple(r)[1:] for r in decontaminate.report(documents(spark, docs), bench).collect()} == want
+    assert [want[i][1] for i in range(4)] == [0, 1, 3, 6]
+
+
+def test_policies_and_single_rules(spark):
+    texts = ["word " * 30 + "!" * 40, "only five words are here", "a b c d e f g h i j k l m n o p q r s t u v w x y z", "THESE ARE " + " ".join(f"WORD{i}" for i in range(40))]
+    got = {r.doc_id: r for r in quality_rules.rules_report(documents(spark, texts)).collect()}
+    assert got[1].only_rule == "few_words" and got[2].only_rule == "short_words" and got[3].only_rule == "capitals"
+    assert [got[i].kept for i in range(4)] == [False] * 4 and [got[i].kept_lean for i in range(4)] == [False, False, True, True]
+
+
 def test_licenses_equal_brute_force(spark):
     texts = [*edge_texts(), "CC-BY and cc by, CC BY-NC 4.0", "GNU General Public License, version 3. All rights reserved", "all rights", "Licensed under the Apache License, Version 2.0.", "general public", "SPDX-License-Identifier: MIT"]
     got = {r.doc_id: r for r in licenses.report(documents(spark, texts)).collect()}
@@ -78,6 +109,24 @@ def test_language_held_out_accuracy(spark):
     assert (got.lang == got.lang_pred).mean() > 0.98 and got.rejected.mean() < 0.01
 
 
+def test_predictions_equal_brute_force(spark):
+    docs = table(spark, SF, "documents")
+    model = langid.fit_documents(docs)
+    texts = ["\u00b2", "\u00bd \u2460 \u2167 7", "\u00aa", "der Fluss", None, "", "日本", *[r.text[:300] for r in docs.limit(20).collect()]]
+    lang, score, rejected = langid.predict_texts(pa.array(texts, pa.string()), model)
+    for t, got, x, no in zip(texts, lang, score.tolist(), rejected.tolist(), strict=True):
+        want = langid.brute_force(t, model)
+        assert got == want[0] and abs(x - want[1]) < 1e-9 and no == (want[1] < model.threshold)
+    assert lang[:2] == ["und"] * 2 and lang[2] != "und" and lang[6] != "und"
+
+
+def test_every_language_is_learned(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(4 * 700).select((F.col("id") % 700).cast("string").alias("lang"), F.repeat(F.concat(F.lit("x"), F.conv((F.col("id") % 700 * 37).cast("string"), 10, 26), F.lit(" ")), 5).alias("text"), (F.col("id") / 2800).alias("u"))
+    assert len(langid.train(rows, docs_per_lang=4, epochs=1, dim=4).langs) == 700
+
+
 def test_blocks_do_not_change_predictions():
     texts = pa.array(["abc déf", None, "", "x" * 50])
     table_ = np.random.default_rng(0).normal(size=(1 << langid.BUCKET_BITS, 2))
@@ -104,6 +153,22 @@ def test_marginals_equal_enumeration():
         assert np.allclose(got, want)
 
 
+def test_pairs_of_states_equal_enumeration():
+    rng = np.random.default_rng(3)
+    counts = np.array([0, 4, 4, 9])
+    emit, trans = rng.normal(0, 2, 9), rng.normal(0, 1, (2, 2))
+    m, pair = toxicity.forward_backward(emit, counts, trans)
+    for a, b in itertools.pairwise(counts.tolist()):
+        z, want = 0.0, np.zeros((b - a, 2, 2))
+        for s in itertools.product((0, 1), repeat=b - a):
+            w = np.exp(sum(emit[a + i] * x for i, x in enumerate(s)) + sum(trans[x, y] for x, y in itertools.pairwise(s)))
+            z += w
+            for i in range(1, b - a):
+                want[i, s[i - 1], s[i]] += w
+        assert np.allclose(pair[a:b], want / z)
+        assert np.allclose(pair[a + 1 : b].sum(1)[:, 1], m[a + 1 : b])
+
+
 def test_long_chains_join_over_rows():
     rng = np.random.default_rng(1)
     emit, trans = rng.normal(0, 2, 1000), rng.normal(0, 1, (2, 2))
@@ -147,12 +212,12 @@ def test_contamination_equals_brute_force(spark, block_bytes):
     want = decontaminate.brute_force(list(enumerate(texts)), items)
     docs = documents(spark, texts)
     if block_bytes == 1 << 24:
-        got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.report(docs, bench).collect()}
+        got = {r.doc_id: tuple(r)[1:] for r in decontaminate.report(docs, bench).collect()}
         assert got == want
         assert {r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()} == {d for d, x in want.items() if not x[4]}
         assert decontaminate.decontaminate(docs, bench).columns == docs.columns
-    hits = {r.doc_id: sum(s.end - s.start for s in r.bench_spans) for r in decontaminate.matches(docs.drop("bench_words"), bench, block_bytes=block_bytes).collect()}
-    assert hits == {d: x[1] for d, x in want.items()}
+    rows = decontaminate.matches(docs.drop("bench_words"), bench, block_bytes=block_bytes).collect()
+    assert {r.doc_id: (sum(s.end - s.start for s in r.bench_spans), r.bench_longest) for r in rows} == {d: (x[1], x[5]) for d, x in want.items()}
     assert decontaminate.report(docs.where("false"), bench).count() == 0
     assert decontaminate.report(docs, bench.where("false")).where("contaminated").count() == 0
 
