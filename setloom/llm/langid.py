@@ -3,26 +3,28 @@
 Every text is the average of the embeddings of its hashed byte n-grams (2 to 4 bytes of the text with A-Z
 lower-cased and everything that is no letter made a space); a linear layer and a softmax give the language.
 The model is trained by stochastic gradient descent in numpy on the driver, over a bounded sample of labelled
-rows (``max_train_docs``, drawn by hash, about evenly by language), whose n-gram counts are made on executors.
+rows (``docs_per_lang`` of each language in expectation, drawn by hash), whose n-gram counts are made on executors.
 A temperature and a rejection threshold (the score below which ``false_reject`` of the rightly named examples lie) are
 fitted on a part of the sample that training leaves out.
 
 At prediction embedding and linear layer fold into one table (bucket x language), so that a text costs one
 lookup per n-gram; the work is a map over the rows, with no shuffle.
 
-Defined results: a null text, or one with no letter, is ``und`` with score 0 and is rejected; with no labelled
+Defined results: a null text, or one with no letter (a character of category L), is ``und`` with score 0 and is rejected; with no labelled
 row at all every text is ``und``; null ids and null labels are never learned from; equal rows are predicted
 equally; empty tables give empty results.
 """
 
 from __future__ import annotations
 
-import re
+import math
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,7 +35,7 @@ from setloom.shipping import ship
 BUCKET_BITS = 15
 SIZES = (2, 3, 4)
 UND = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _ASCII_LETTER = separators([*range(65, 91), *range(97, 123)])
 #: ASCII bytes that are no letter become a space; bytes of other characters stay.
 _FOLD = np.array([b + 32 if 65 <= b < 91 else b if 97 <= b < 123 or b >= 128 else 32 for b in range(256)], np.uint32)
@@ -95,19 +97,19 @@ def _count_rows(batches: Iterator[pa.RecordBatch], segment: int) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([pa.array(out["lang"], pa.string()), pa.array(out["part"], pa.int32()), pa.array(out["u"], pa.float64()), pa.array(out["buckets"], pa.list_(pa.int32())), pa.array(out["weights"], pa.list_(pa.float32()))], ["lang", "part", "u", "buckets", "weights"])
 
 
-def train(labelled: DataFrame, *, max_train_docs: int = 1600, segment: int = 80, dim: int = 16, epochs: int = 12, rate: float = 1.0, false_reject: float = 0.001, max_langs: int = 500, seed: int = 8) -> LangModel | None:
-    """Learns from rows (text, lang, u), u uniform in [0, 1) by row. ``max_train_docs`` rows, in expectation, reach the driver.
+def train(labelled: DataFrame, *, docs_per_lang: int = 400, segment: int = 80, dim: int = 16, epochs: int = 12, rate: float = 1.0, false_reject: float = 0.001, seed: int = 8) -> LangModel | None:
+    """Learns from rows (text, lang, u), u uniform in [0, 1) by row. ``docs_per_lang`` rows of each language, in expectation, reach the driver.
 
     Of each sampled row two examples are made, the whole text and a piece of ``segment`` bytes, so that short
-    texts are learned too. ``max_langs`` bounds the labels (the most frequent stay).
+    texts are learned too. Every language of the labels is learned.
     """
     ship(labelled.sparkSession)
     labelled = labelled.where("lang is not null and text is not null")
-    freq = {r[0]: r[1] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
+    freq = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
     if not freq:
         return None
-    # The rate of a language makes its expected rows an equal share of max_train_docs; no sort, no single task.
-    rate_of = F.create_map(*[x for k, v in freq.items() for x in (F.lit(k), F.lit(max_train_docs / len(freq) / v))])
+    # No sort, no single task.
+    rate_of = F.create_map(*[x for k, v in freq.items() for x in (F.lit(k), F.lit(docs_per_lang / v))])
     rows = labelled.where(F.col("u") < rate_of[F.col("lang")]).select("text", "lang", "u").mapInArrow(lambda it: _count_rows(it, segment), "lang string, part int, u double, buckets array<int>, weights array<float>").toArrow()
     if not rows.num_rows:
         return None
@@ -177,6 +179,26 @@ def predict_texts(col: pa.Array, model: LangModel | None) -> tuple[list, np.ndar
     return list(lang), score, rejected
 
 
+def brute_force(text: str | None, model: LangModel) -> tuple[str, float]:
+    """Plain Python, for tests: language and score of a text, n-gram by n-gram."""
+    if not any(unicodedata.category(c)[0] == "L" for c in text or ""):
+        return UND, 0.0
+    raw = [b + 32 if 65 <= b < 91 else b if 97 <= b < 123 or b >= 128 else 32 for b in text.encode()]
+    total, n = [0.0] * len(model.langs), 0
+    for k in SIZES:
+        for i in range(len(raw) - k + 1):
+            h = (raw[i] * 0x01000193 + 0x9DC5) % (1 << 32)
+            for x in raw[i + 1 : i + k]:
+                h = (h * 0x01000193 % (1 << 32)) ^ (x * 0x85EBCA6B % (1 << 32))
+            g = h * 0x9E3779B1 % (1 << 32)
+            row = model.table[(g ^ g >> 15) >> 32 - BUCKET_BITS]
+            total, n = [a + float(b) for a, b in zip(total, row, strict=True)], n + 1
+    z = [(a / max(n, 1) + float(b)) / model.temperature for a, b in zip(total, model.bias, strict=True)]
+    p = [math.exp(x - max(z)) for x in z]
+    best = p.index(max(p))
+    return model.langs[best], p[best] / sum(p)
+
+
 def identify(docs: DataFrame, model: LangModel | None, *, text: str = "text") -> DataFrame:
     """Adds lang_pred, lang_score and lang_rejected to every row of ``docs``; all other columns stay as they are."""
     spark = docs.sparkSession
