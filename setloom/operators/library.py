@@ -23,11 +23,14 @@ def library_listing(v) -> DataFrame:
 
 
 #: The limits that tracks are judged by.
-MIN_DURATION, MIN_DOWNBEATS, MIN_TEMPO_CONFIDENCE, MIN_KEY_CONFIDENCE, MIN_CUES, TEMPO_LOW, TEMPO_HIGH, EDGE = 90.0, 16, 0.35, 0.20, 2, 90.0, 180.0, 3.0
+MIN_DURATION, MIN_DOWNBEATS, MIN_TEMPO_CONFIDENCE, MIN_KEY_CONFIDENCE, MIN_CUES, TEMPO_LOW, TEMPO_HIGH, EDGE, MIN_COVERAGE = 90.0, 16, 0.35, 0.20, 2, 90.0, 180.0, 3.0, 0.60
 
 
 def grade(tracks: DataFrame) -> DataFrame:
-    """Adds hard and soft reasons and the grade: reject with a hard reason, usable with a soft one, else good."""
+    """Adds hard and soft reasons and the grade: reject with a hard reason, usable with a soft one, else good.
+
+    Coverage is the share of the track that its beats span, null without beats; phrases count only where cues are enough.
+    """
     c = F.col
     in_range = (c("bpm") >= TEMPO_LOW) & (c("bpm") < TEMPO_HIGH)
     enough = (c("n_in") >= MIN_CUES) & (c("n_out") >= MIN_CUES)
@@ -36,10 +39,12 @@ def grade(tracks: DataFrame) -> DataFrame:
         "downbeats": c("n_downbeats") < MIN_DOWNBEATS,
         "tempo_confidence": c("bpm_confidence") < MIN_TEMPO_CONFIDENCE,
         "tempo_range": ~in_range,
+        "coverage": c("beat_coverage") < MIN_COVERAGE,
         "cues": ~enough,
     }
     soft = {
         "tempo_edge": in_range & ((c("bpm") < TEMPO_LOW + EDGE) | (c("bpm") > TEMPO_HIGH - EDGE)),
+        "phrase": enough & (c("n_phrase") == 0),
         "key_confidence": c("key_confidence") < MIN_KEY_CONFIDENCE,
         "sections": c("n_sections") == 0,
     }
@@ -48,8 +53,8 @@ def grade(tracks: DataFrame) -> DataFrame:
     return out.withColumn("grade", F.when(F.size("hard") > 0, "reject").when(F.size("soft") > 0, "usable").otherwise("good"))
 
 
-_REASONS = """concat_ws(',', CASE WHEN duration < 90e0 THEN 'duration' END, CASE WHEN n_downbeats < 16 THEN 'downbeats' END, CASE WHEN bpm_confidence < 0.35e0 THEN 'tempo_confidence' END, CASE WHEN bpm < 90e0 OR bpm >= 180e0 THEN 'tempo_range' END, CASE WHEN n_in < 2 OR n_out < 2 THEN 'cues' END)"""
-_SOFT = """concat_ws(',', CASE WHEN bpm >= 90e0 AND bpm < 180e0 AND (bpm < 93e0 OR bpm > 177e0) THEN 'tempo_edge' END, CASE WHEN key_confidence < 0.2e0 THEN 'key_confidence' END, CASE WHEN n_sections = 0 THEN 'sections' END)"""
+_REASONS = """concat_ws(',', CASE WHEN duration < 90e0 THEN 'duration' END, CASE WHEN n_downbeats < 16 THEN 'downbeats' END, CASE WHEN bpm_confidence < 0.35e0 THEN 'tempo_confidence' END, CASE WHEN bpm < 90e0 OR bpm >= 180e0 THEN 'tempo_range' END, CASE WHEN beat_coverage < 0.6e0 THEN 'coverage' END, CASE WHEN n_in < 2 OR n_out < 2 THEN 'cues' END)"""
+_SOFT = """concat_ws(',', CASE WHEN bpm >= 90e0 AND bpm < 180e0 AND (bpm < 93e0 OR bpm > 177e0) THEN 'tempo_edge' END, CASE WHEN n_in >= 2 AND n_out >= 2 AND n_phrase = 0 THEN 'phrase' END, CASE WHEN key_confidence < 0.2e0 THEN 'key_confidence' END, CASE WHEN n_sections = 0 THEN 'sections' END)"""
 _TRIAGE = f"SELECT track_id, hard, soft, CASE WHEN hard <> '' THEN 'reject' WHEN soft <> '' THEN 'usable' ELSE 'good' END AS grade FROM (SELECT *, {_REASONS} AS hard, {_SOFT} AS soft FROM v_tracks)"
 
 
@@ -67,10 +72,9 @@ def triage_counts(v) -> DataFrame:
 sql_query("key_coverage", "SELECT count(DISTINCT concat(CAST(key_num AS VARCHAR(4)), mode)) AS n_keys, round(sum(duration) / 3600e0, 6) AS hours, count(*) FILTER (WHERE mean_energy < 0.45e0) AS n_low, count(*) FILTER (WHERE mean_energy > 0.7e0) AS n_high FROM v_tracks")
 sql_query("pool_median_tempo", "SELECT mode, max(bpm) AS median_bpm FROM (SELECT mode, bpm, row_number() OVER (PARTITION BY mode ORDER BY bpm, track_id) AS rn, count(*) OVER (PARTITION BY mode) AS n FROM v_tracks) t WHERE rn = floor(n / 2e0) + 1 GROUP BY mode")
 
-_LINE = r"^\s*(?:#?\s*[0-9]{1,3}[.)]\s*)?\[?(?:([0-9]{1,2}):)?([0-9]{1,3}):([0-9]{2})\]?\s*(?:[-–—:|]\s*)?(.+?)\s*$"
-_TAG = r"[\[(]([^\])]{3,30})[\])]\s*$"
-_PARSED = f"""SELECT line_id, 3600e0 * coalesce(TRY_CAST(nullif(regexp_extract(raw, '{_LINE}', 1), '') AS DOUBLE), 0e0) + 60e0 * CAST(regexp_extract(raw, '{_LINE}', 2) AS DOUBLE) + CAST(regexp_extract(raw, '{_LINE}', 3) AS DOUBLE) AS t, regexp_extract(raw, '{_LINE}', 4) AS label
-FROM v_tracklines WHERE raw NOT LIKE '#%' AND raw NOT LIKE '//%' AND regexp_matches(raw, '{_LINE}')"""
+_CUT = "SELECT line_id, l, clock, substr(l, 1, strpos(l, clock) - 1) AS head, ltrim(substr(l, strpos(l, clock) + length(clock)), concat('])', ' ', chr(9))) AS rest FROM (SELECT line_id, trim(raw) AS l, regexp_extract(trim(raw), '[0-9]+(:[0-9]{2}){1,2}') AS clock FROM v_tracklines WHERE raw NOT LIKE '#%' AND raw NOT LIKE '//%') x WHERE clock <> ''"
+_PARSED = f"""SELECT line_id, list_reduce(list_transform(string_split(clock, ':'), lambda c: CAST(c AS DOUBLE)), lambda a, b: a * 60e0 + b) AS t, label
+FROM (SELECT line_id, clock, translate(head, concat('[( ', chr(9)), '') AS idx, trim(CASE WHEN contains('-–—:|', substr(rest, 1, 1)) THEN substr(rest, 2) ELSE rest END) AS label FROM ({_CUT}) c) p WHERE (idx = '' OR regexp_matches(idx, '^[0-9]{{1,3}}[.)]$')) AND label <> ''"""
 
 
 def parsed_lines(v) -> DataFrame:
@@ -91,10 +95,14 @@ sql_query(
 )
 
 
+_TAGGED = f"""SELECT line_id, label, CASE WHEN size > 0 AND left(back, 1) IN (']', ')') THEN reverse(substr(back, 2, CAST(size AS BIGINT) - 2)) END AS held, CAST(size AS BIGINT) AS size FROM (
+ SELECT line_id, label, back, coalesce(least(nullif(strpos(back, '['), 0), nullif(strpos(back, '('), 0)), 0) AS size FROM (SELECT line_id, label, reverse(trim(label)) AS back FROM ({_PARSED}) q) r) s"""
+
+
 @query(
     "tracklist_labels",
-    f"""WITH g AS (SELECT line_id, label, CASE WHEN regexp_extract(label, '{_TAG}', 1) <> '' AND NOT regexp_matches(regexp_extract(label, '{_TAG}', 1), '[0-9]{{4}}') THEN trim(regexp_extract(label, '{_TAG}', 1)) END AS genre FROM ({_PARSED})),
-c AS (SELECT line_id, genre, CASE WHEN genre IS NULL THEN label ELSE trim(regexp_replace(label, '{_TAG}', '')) END AS label FROM g)
+    f"""WITH g AS (SELECT line_id, label, size, CASE WHEN length(held) BETWEEN 3 AND 30 AND NOT contains(held, ']') AND NOT contains(held, ')') AND NOT regexp_matches(held, '[0-9]{{4}}') THEN trim(held) END AS genre FROM ({_TAGGED}) t),
+c AS (SELECT line_id, genre, CASE WHEN genre IS NULL THEN label ELSE trim(substr(trim(label), 1, length(trim(label)) - size)) END AS label FROM g)
 SELECT line_id, CASE WHEN contains(label, ' - ') THEN trim(split_part(label, ' - ', 1)) END AS artist, CASE WHEN contains(label, ' - ') THEN trim(substr(label, strpos(label, ' - ') + 3)) ELSE trim(label) END AS title, genre FROM c""",
 )
 def tracklist_labels(v) -> DataFrame:
@@ -102,13 +110,32 @@ def tracklist_labels(v) -> DataFrame:
     return rows.select("line_id", text.artist(F.col("label")).alias("artist"), text.title(F.col("label")).alias("title"), "genre")
 
 
-@query(
-    "tracklist_monotone",
-    f"SELECT lead_group, count(*) AS n_lines, count(DISTINCT t) AS n_kept, max(CASE WHEN first_t > 60e0 THEN 1 ELSE 0 END) AS late_start FROM (SELECT line_id % 7 AS lead_group, t, min(t) OVER (PARTITION BY line_id % 7) AS first_t FROM ({_PARSED})) GROUP BY lead_group",
-)
+def kept_entries(lines: DataFrame) -> DataFrame:
+    """(list, line_id, t, position) of rows (list, line_id, t): in order of time, what is not after the last entry kept goes; of equal times the first line stays."""
+    first = lines.groupBy("list", "t").agg(F.min("line_id").alias("line_id"))
+    return first.select("list", "line_id", "t", F.row_number().over(Window.partitionBy("list").orderBy("t")).cast("long").alias("position"))
+
+
+def _lists(v) -> DataFrame:
+    return parsed_lines(v).select((F.col("line_id") % 97).alias("list"), "line_id", "t")
+
+
+_KEPT = f"SELECT list, line_id, t, CAST(row_number() OVER (PARTITION BY list ORDER BY t) AS BIGINT) AS position FROM (SELECT line_id % 97 AS list, t, min(line_id) AS line_id FROM ({_PARSED}) p GROUP BY line_id % 97, t) f"
+
+
+@query("tracklist_kept", _KEPT)
+def tracklist_kept(v) -> DataFrame:
+    """The entries that stay of each list."""
+    return kept_entries(_lists(v))
+
+
+@query("tracklist_monotone", f"SELECT list, n_lines, n_kept, n_lines - n_kept AS n_dropped, CASE WHEN first_t > 60e0 THEN 1 ELSE 0 END AS late_start FROM (SELECT list, count(*) AS n_kept, min(t) AS first_t FROM ({_KEPT}) k GROUP BY list) a JOIN (SELECT line_id % 97 AS l, count(*) AS n_lines FROM ({_PARSED}) p GROUP BY line_id % 97) b ON a.list = b.l")
 def tracklist_monotone(v) -> DataFrame:
-    """By list: its entries, those left when equal times are dropped, and whether it starts late."""
-    return parsed_lines(v).groupBy((F.col("line_id") % 7).alias("lead_group")).agg(F.count(F.lit(1)).alias("n_lines"), F.count_distinct("t").alias("n_kept"), F.when(F.min("t") > 60, 1).otherwise(0).alias("late_start"))
+    """By list: its entries, those that stay and those dropped, and whether the first one starts late."""
+    lines = _lists(v)
+    n = lines.groupBy("list").agg(F.count(F.lit(1)).alias("n_lines"))
+    kept = kept_entries(lines).groupBy("list").agg(F.count(F.lit(1)).alias("n_kept"), F.min("t").alias("first_t"))
+    return n.join(kept, "list").select("list", "n_lines", "n_kept", (F.col("n_lines") - F.col("n_kept")).alias("n_dropped"), F.when(F.col("first_t") > 60, 1).otherwise(0).alias("late_start"))
 
 
 @query(
@@ -136,10 +163,13 @@ def parse_cue_sheets(sheets: DataFrame) -> DataFrame:
     return out.where("t is not null")
 
 
-_SHORT = r"trim(regexp_replace(split_part(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(split_part({x}, '/', -1), '\.[^.]*$', ''), '_', ' '), '\s*-\s*', ' - ', 'g'), '^[a-zA-Z][a-zA-Z0-9-]*[0-9]+\s+[0-9]+\s+', ''), '^[0-9]{{1,3}}\s+', ''), ' - ', -1), '\s+', ' ', 'g'))"
+_SHORT = r"""SELECT track_id, array_to_string(words[skip + CASE WHEN n_parts = 1 AND len(words) > skip + 1 AND regexp_matches(words[skip + 1], '^[0-9]{1,3}$') THEN 2 ELSE 1 END : ], ' ') AS title FROM (
+ SELECT *, CASE WHEN n_parts = 1 AND len(words) > 2 AND regexp_matches(words[1], '^[A-Za-z][A-Za-z0-9]*[0-9]$') AND regexp_matches(words[2], '^[0-9]+$') THEN 2 ELSE 0 END AS skip FROM (
+ SELECT track_id, len(parts) AS n_parts, list_filter(string_split(parts[-1], ' '), lambda w: w <> '') AS words FROM (
+ SELECT track_id, string_split(replace(CASE WHEN strpos(file, '.') > 1 THEN left(file, length(file) - strpos(reverse(file), '.')) ELSE file END, '_', ' '), '-') AS parts FROM (SELECT track_id, split_part(file_path, '/', -1) AS file FROM v_tracks) f) p) w) s"""
 
 
-@query("short_titles", f"SELECT track_id, {_SHORT.format(x='file_path')} AS title FROM v_tracks")
+@query("short_titles", _SHORT)
 def short_titles(v) -> DataFrame:
     return v["tracks"].select("track_id", text.short_title(F.col("file_path")).alias("title"))
 

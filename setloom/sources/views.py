@@ -27,7 +27,9 @@ SELECT CAST(p_partkey AS BIGINT) AS track_id, concat('/lib/', p_brand, '/', p_na
  CAST(p_partkey % 5 AS BIGINT) AS n_in, CAST((p_partkey*3) % 7 AS BIGINT) AS n_out,
  CAST(p_partkey % 4 AS BIGINT) AS n_sections,
  CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE -6e0 - CAST(p_partkey % 13 AS DOUBLE) END AS loudness,
- CAST((p_partkey*13) % 101 AS DOUBLE)/100e0 AS mean_energy
+ CAST((p_partkey*13) % 101 AS DOUBLE)/100e0 AS mean_energy,
+ CASE WHEN p_partkey % 19 = 0 THEN NULL ELSE CAST((p_partkey*23) % 101 AS DOUBLE)/100e0 END AS beat_coverage,
+ CAST(p_partkey % 3 AS BIGINT) AS n_phrase
 FROM part""",
     "v_cues": """
 SELECT CAST(vec_id % 50 AS BIGINT) AS track_id, CAST(floor(vec_id/50e0) AS BIGINT) AS pos,
@@ -57,7 +59,10 @@ SELECT CAST(l_orderkey AS BIGINT) AS identifier, CAST(l_partkey % 10 AS BIGINT)
  CAST(l_quantity*20 AS DOUBLE) AS duration, CAST(floor(l_extendedprice) AS BIGINT) AS size,
  CASE WHEN l_suppkey % 6 = 0 THEN '' WHEN l_suppkey % 6 = 1 THEN 'http://creativecommons.org/publicdomain/zero/1.0/' ELSE 'http://creativecommons.org/licenses/by-nc-sa/3.0/' END AS license,
  CASE WHEN l_partkey % 4 = 0 THEN NULL ELSE CAST((l_partkey*37) % 101 AS DOUBLE)/100e0 END AS target_prob,
- 60e0 + CAST((l_partkey*7919) % 20000 AS DOUBLE)/100e0 AS bpm
+ 60e0 + CAST((l_partkey*7919) % 20000 AS DOUBLE)/100e0 AS bpm,
+ CASE WHEN l_partkey % 4 = 0 THEN NULL ELSE concat('{"electronic": 0.', lpad(CAST((l_partkey*19) % 100 AS VARCHAR(20)), 2, '0'), ', "danceable": 0.', lpad(CAST((l_partkey*29) % 100 AS VARCHAR(20)), 2, '0'), ', "house": 0.', lpad(CAST((l_partkey*37) % 34 AS VARCHAR(20)), 2, '0'), ', "techno": 0.', lpad(CAST((l_partkey*41) % 33 AS VARCHAR(20)), 2, '0'), ', "trance": 0.', lpad(CAST((l_partkey*43) % 32 AS VARCHAR(20)), 2, '0'), '}') END AS highlevel,
+ CASE WHEN l_partkey % 9 = 0 THEN 0e0 ELSE 60e0 + CAST((l_partkey*7919) % 20000 AS DOUBLE)/100e0 END AS measured_bpm,
+ CASE WHEN l_suppkey % 5 = 0 THEN CAST(l_quantity*24 AS DOUBLE) ELSE CAST(l_quantity*20 AS DOUBLE) END AS measured_duration
 FROM lineitem""",
     "v_clips": """
 SELECT set_id, pos, track_id, s AS out_start, s + q + 8e0 AS out_end, 4e0 AS fade_in, 4e0 AS fade_out FROM (

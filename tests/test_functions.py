@@ -48,7 +48,7 @@ def test_cosine(spark):
     assert got == {"same": 1.0, "right": 0.0, "zero": None}
 
 
-@pytest.mark.parametrize(("raw", "t", "label"), [("01. 1:02:03 A - B", 3723.0, "A - B"), ("12:30 X", 750.0, "X"), ("[03:04] – Y", 184.0, "Y"), ("2) 00:00 | Z", 0.0, "Z"), ("no time here", None, None), ("", None, None)])
+@pytest.mark.parametrize(("raw", "t", "label"), [("01. 1:02:03 A - B", 3723.0, "A - B"), ("12:30 X", 750.0, "X"), ("[03:04] – Y", 184.0, "Y"), ("2) 00:00 | Z", 0.0, "Z"), ("no time here", None, None), ("", None, None), ("03) [1:02] Z", 62.0, "Z"), ("Live at 10:30 in town", None, None), ("12:30", None, None), ("12:30 - ", None, None)])
 def test_track_lines(spark, raw, t, label):
     got = one(spark, t=text.line_seconds(F.lit(raw)), label=text.line_label(F.lit(raw)))
     assert got == {"t": t, "label": label}
@@ -66,6 +66,11 @@ def test_labels_titles_lengths(spark):
     assert got["k"] == digest[:8] and got["h"] == int(digest, 16) % 360
 
 
+@pytest.mark.parametrize(("name", "title"), [("/a/LBL12 03 My_Song.mp3", "My Song"), ("12 Song.flac", "Song"), ("Song", "Song"), ("a-b - c.d.flac", "c.d"), ("2 Fast.wav", "Fast"), ("1999.mp3", "1999"), ("99.mp3", "99"), (".hidden", ".hidden"), ("", "")])
+def test_short_titles(spark, name, title):
+    assert one(spark, s=text.short_title(F.lit(name)))["s"] == title
+
+
 def test_curves_and_lanes(spark):
     lane = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0.2, 0.0), (0.6, 1.0))])
     got = one(spark, lo=curves.lane_value(lane, F.lit(0.1)), mid=curves.lane_value(lane, F.lit(0.4)), hi=curves.lane_value(lane, F.lit(0.9)), slam=curves.fade(F.lit("slam"), F.lit(0.5)), flat=curves.arc_target(F.lit("other"), F.lit(0.5)), fit=curves.energy_fit(F.lit(0.5), F.lit(None).cast("double")))

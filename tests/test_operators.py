@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from setloom.operators import features, graph, library, probe, screening, signal
+from setloom.operators import features, graph, library, ordered, probe, screening, signal
 from setloom.plans import collage, paths, planner
 from setloom.sources import tables
 from setloom.sources.views import Views
@@ -135,8 +135,35 @@ def test_cue_sheets_and_screens_at_their_edges(spark):
     raw = 'TITLE "Album"\nTRACK 01 AUDIO\n TITLE "A"\n PERFORMER "P"\n INDEX 00 00:00:00\n INDEX 01 01:02:37\nTRACK 02 AUDIO\n TITLE "B"\nTRACK 03 AUDIO\n INDEX 01 05:00:00'
     got = [tuple(r) for r in library.parse_cue_sheets(spark.createDataFrame([(1, raw), (2, "")], "sheet long, raw string")).orderBy("track").collect()]
     assert got == [(1, 1, "A", "P", round(62 + 37 / 75, 6)), (1, 3, None, None, 300.0)]
-    c = spark.createDataFrame([("", 200.0, 0.9, 135.0), ("l", 20.0, 0.9, 135.0), ("l", 0.0, 0.9, 67.0), ("l", 200.0, 0.1, 135.0), ("l", 200.0, None, 135.0), ("l", 200.0, 0.9, 170.0)], "license string, duration double, target_prob double, bpm double")
-    assert [r.v for r in c.select(screening.verdict().alias("v")).collect()] == ["no license", "duration", "keep", "subgenre", "no data", "off-tempo"]
+    by, nd, good = "http://x/licenses/by/4.0/", "http://x/licenses/by-nc-nd/4.0/", '{"electronic": 0.9, "house": 0.2, "techno": 0.1, "danceable": 0.8}'
+    rows = [
+        ("", 200.0, good, 135.0, 200.0), (nd, 200.0, good, 135.0, 200.0), (by, 20.0, good, 135.0, 200.0), (by, 0.0, good, 67.0, 200.0), (by, 200.0, '{"electronic": 0.1, "house": 0.9}', 135.0, 200.0),
+        (by, 200.0, '{"house": 0.1, "techno": 0.1}', 135.0, 200.0), (by, 200.0, '{"house": 0.9, "danceable": 0.1}', 135.0, 200.0), (by, 200.0, None, 135.0, 200.0), (by, 200.0, good, 0.0, 200.0), (by, 200.0, good, 135.0, 2000.0), (by, 200.0, good, 170.0, 200.0),
+    ]
+    c = spark.createDataFrame(rows, "license string, duration double, highlevel string, measured_bpm double, measured_duration double")
+    reasons = ["no license", "license", "duration", "keep", "not electronic", "subgenre", "danceability", "no data", "no tempo", "duration", "off-tempo"]
+    assert [r.v for r in c.select(screening.category(screening.verdict()).alias("v")).collect()] == reasons
+    lax = screening.Screen(require_license=False, licenses=(), allow_unscreened=True, tempo=None)
+    assert [r.v for r in c.select(screening.verdict(lax).alias("v")).collect()] == ["keep", "keep", "duration (listed)", "keep", "not electronic", "subgenre", "danceability", *["keep"] * 4]
+    assert c.select(screening.verdict(screening.Screen(allow_unscreened=True)).alias("v")).collect()[8].v == "keep"
+
+
+def test_one_budget_keeps_the_row_that_crosses_the_line(spark):
+    rows = [(i, 0, 1800.0 if i % 2 else 0.0, 10) for i in range(40)]
+    df = spark.createDataFrame(rows, "identifier long, stem_id long, duration double, size long").repartition(5)
+    hours = [0.5 if i % 2 else 300 / 3600 for i in range(40)]
+    for most, size in ((2.0, 10**9), (100.0, 75), (0.0, 5)):
+        want = [i for i in range(40) if sum(hours[:i]) < most - 1e-9 and 10 * i < size]
+        assert sorted(r.identifier for r in screening.kept_until_full(df, most, size).collect()) == want
+    places = ordered.positions(df.unionByName(df.limit(0)), "identifier", ["stem_id"])
+    assert sorted((r.identifier, r["at"]) for r in places.collect()) == [(i, i) for i in range(40)]
+    assert ordered.positions(df.where("false"), "identifier").count() == 0
+
+
+def test_entries_not_after_the_last_kept_go(spark):
+    rows = [(1, n, t) for n, t in enumerate([10.0, 50.0, 20.0, 60.0, 20.0, 50.0])]
+    got = library.kept_entries(spark.createDataFrame(rows, "list long, line_id long, t double")).orderBy("position").collect()
+    assert [(r.line_id, r.t, r.position) for r in got] == [(0, 10.0, 1), (2, 20.0, 2), (1, 50.0, 3), (3, 60.0, 4)]
 
 
 def test_empty_library(spark):
