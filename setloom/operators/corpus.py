@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from setloom.operators.ordered import positions
 from setloom.registry import query, sql_query
 
 #: The edges of the phrase histogram, and the fewest rows a mined constant may stand on.
@@ -158,12 +159,19 @@ def wasserstein(v) -> DataFrame:
     return counts.select(gap.alias("g")).agg(F.round(F.sum("g"), 6).alias("distance"))
 
 
-sql_query(
+@query(
     "holdout_split",
-    # Whole mixes go to one side: the fifth with the least hashes, at least one unless there is a single mix.
     """SELECT mix_id, CASE WHEN n > 1 AND r <= greatest(1, CAST(round(n * 0.2e0) AS BIGINT)) THEN 'test' ELSE 'train' END AS side FROM (
  SELECT mix_id, row_number() OVER (ORDER BY md5(CAST(mix_id AS VARCHAR(20))), mix_id) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT mix_id FROM v_transitions) m) x""",
 )
+def holdout_split(v, share: float = 0.2) -> DataFrame:
+    """Whole mixes go to one side: the fifth with the least hashes, at least one unless there is a single mix."""
+    digest = F.md5(F.col("mix_id").cast("string").cast("binary"))
+    mixes = v["transitions"].select("mix_id").distinct().withColumn("digest", digest).withColumn("key", F.conv(F.substring("digest", 1, 12), 16, 10).cast("long"))
+    n = mixes.count()
+    tested = max(1, round(n * share)) if n > 1 else 0
+    return positions(mixes, "key", ["digest", "mix_id"]).select("mix_id", F.when(F.col("at") < tested, "test").otherwise("train").alias("side"))
+
 
 sql_query(
     "dwell_solo",

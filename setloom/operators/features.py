@@ -154,14 +154,83 @@ def autocorrelation_tempo(onsets: np.ndarray, rate: float, low: float = 90.0, hi
         return 0.0, 0.0
     f = np.fft.rfft(x, 2 * len(x))
     a = np.fft.irfft(f * np.conj(f))[: len(x)] / np.arange(len(x), 0, -1)
-    best = (0.0, 0.0)
-    for bpm in np.arange(low, high, 0.05):
-        lag = 60.0 / bpm * rate
-        beats = [k * lag for k in (1, 2, 4, 8) if k * lag < len(a) / 2]
-        if beats:
-            s = float(np.mean(np.interp(beats, np.arange(len(a)), a)) / a[0])
-            best = max(best, (s, float(bpm)))
-    return round(best[1], 2), max(0.0, min(1.0, best[0]))
+    grid = np.arange(low, high, 0.05)
+    lags = (60.0 * rate / grid)[:, None] * np.array([1, 2, 4, 8])
+    ok = lags < len(a) / 2
+    n = ok.sum(1)
+    score = np.where(n > 0, np.where(ok, np.interp(lags, np.arange(len(a)), a), 0.0).sum(1) / np.maximum(n, 1) / a[0], -np.inf)
+    best = int(np.flatnonzero(score == score.max())[-1])
+    return (round(float(grid[best]), 2), float(np.clip(score[best], 0.0, 1.0))) if n[best] and score[best] > 0 else (0.0, 0.0)
+
+
+def beat_phase(onsets: np.ndarray, rate: float, bpm: float, steps: int = 48) -> float:
+    """Seconds to the first beat: of even steps over a beat the one whose beats meet the most onsets."""
+    beat = 60.0 / bpm
+    tried = np.arange(steps) * beat / steps
+    at = (tried[:, None] + np.arange(int(len(onsets) / rate / beat) + 1) * beat) * rate
+    hits = np.where(at <= len(onsets) - 1, np.interp(at, np.arange(len(onsets)), onsets), 0.0).sum(1)
+    return float(tried[int(hits.argmax())])
+
+
+def without_octave_errors(bpms: np.ndarray, share: float = 0.12, passes: int = 2) -> np.ndarray:
+    """Values over ``share`` off the median become NaN, twice, since the median moves."""
+    out = bpms.astype(float).copy()
+    for _ in range(passes):
+        if not np.isfinite(out).any():
+            break
+        mid = np.nanmedian(out)
+        out[np.abs(out / mid - 1) > share] = np.nan
+    return out
+
+
+def tempo_segments(onsets: np.ndarray, rate: float, *, window: float = 20.0, hop: float = 5.0, share: float = 0.006) -> list[tuple[float, float, float, float, float]]:
+    """(start, end, bpm, first beat, confidence) of stretches of one tempo that cover a series without gaps.
+
+    Windows' tempos, without octave errors, holes filled between neighbours, smoothed by medians of five, are split where
+    they change; each stretch is then fitted again as a whole. A stretch under a second goes.
+    """
+    length = len(onsets) / rate
+
+    def fit(x: np.ndarray) -> tuple[float, float, float]:
+        bpm, trust = autocorrelation_tempo(x, rate)
+        return bpm, beat_phase(x, rate, bpm) if bpm else 0.0, trust
+
+    size, step = int(window * rate), max(1, int(hop * rate))
+    bounds, bpms, centres = [0.0, length], np.zeros(0), np.zeros(0)
+    if len(onsets) > size:
+        starts = np.arange(0, len(onsets) - size + 1, step)
+        found = np.array([autocorrelation_tempo(onsets[s : s + size], rate)[0] for s in starts.tolist()])
+        bpms = without_octave_errors(np.where(found > 0, found, np.nan))
+        known = np.isfinite(bpms)
+        if not known.any():
+            return []
+        bpms = np.interp(np.arange(len(bpms)), np.flatnonzero(known), bpms[known])
+        bpms = np.median(np.lib.stride_tricks.sliding_window_view(np.pad(bpms, 2, mode="edge"), 5), axis=1)
+        centres = (starts + size / 2) / rate
+        bounds = sorted({0.0, length, *centres[change_points(bpms, share)].tolist()})
+    out = []
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        if b - a < 1.0:
+            continue
+        bpm, phase, trust = fit(onsets[int(a * rate) : max(int(b * rate), int(a * rate) + 1)])
+        if not bpm:
+            inside = bpms[(centres >= a) & (centres < b)]
+            if not len(inside):
+                continue
+            bpm, phase, trust = float(np.median(inside)), 0.0, 0.0
+        out.append((round(a, 3), round(b, 3), bpm, round(a + phase, 3), trust))
+    return out
+
+
+@query("tempo_stretches")
+def tempo_stretches(v) -> DataFrame:
+    """Stretches of one tempo of each track's energy, taken as onsets at eight a second."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = tempo_segments(pdf.sort_values("sec")["energy"].to_numpy(float), 8.0)
+        return pd.DataFrame([(pdf["track_id"].iloc[0], *r) for r in rows], columns=["track_id", "start", "end", "bpm", "first_beat", "confidence"]).astype({"track_id": "int64"} | dict.fromkeys(["start", "end", "bpm", "first_beat", "confidence"], "float64"))
+
+    return v["energy"].select("track_id", "sec", "energy").groupBy("track_id").applyInPandas(run, "track_id long, start double, end double, bpm double, first_beat double, confidence double")
 
 
 @query("energy_tempo")
@@ -175,6 +244,25 @@ def energy_tempo(v) -> DataFrame:
     return v["energy"].select("track_id", "sec", "energy").groupBy("track_id").applyInPandas(run, "track_id long, bpm double, confidence double")
 
 
+@query("cut_gains", "SELECT mix_id, idx, p AS progress, round(0.9e0 * cos(p * pi() / 2e0), 6) AS gain_out, round(0.9e0 * sin(p * pi() / 2e0), 6) AS gain_in FROM (SELECT mix_id, idx, greatest(0e0, least(1e0, confidence)) AS p FROM v_transitions WHERE is_cut = 1) x")
+def cut_gains(v) -> DataFrame:
+    """The equal-power gains of a cut at a progress from 0 to 1, with a tenth of headroom."""
+    p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence")))
+    out, into = cut_gain(F.col("progress"))
+    return v["transitions"].where("is_cut = 1").select("mix_id", "idx", p.alias("progress")).select("mix_id", "idx", "progress", F.round(out, 6).alias("gain_out"), F.round(into, 6).alias("gain_in"))
+
+
+def cut_gain(progress, headroom: float = 0.9):
+    return headroom * F.cos(progress * F.pi() / 2.0), headroom * F.sin(progress * F.pi() / 2.0)
+
+
+sql_query(
+    "corpus_report",
+    # The report on a corpus as rows.
+    """SELECT 'mixes' AS metric, CAST(count(DISTINCT mix_id) AS DOUBLE) AS value FROM v_transitions UNION ALL SELECT 'boundaries', CAST(count(*) AS DOUBLE) FROM v_transitions UNION ALL SELECT 'measured', CAST(count(*) AS DOUBLE) FROM v_transitions WHERE status = 'ok'
+ UNION ALL SELECT 'trusted', CAST(count(*) AS DOUBLE) FROM v_transitions WHERE status = 'ok' AND confidence >= 0.2e0 UNION ALL SELECT 'accept_rate', round(avg(CASE WHEN status = 'ok' THEN 1e0 ELSE 0e0 END), 6) FROM v_transitions
+ UNION ALL SELECT 'cut_rate', round(avg(CASE WHEN is_cut = 1 THEN 1e0 ELSE 0e0 END), 6) FROM v_transitions WHERE status = 'ok' AND confidence >= 0.2e0 UNION ALL SELECT concat('rejected: ', coalesce(reject_reason, 'unknown')), CAST(count(*) AS DOUBLE) FROM v_transitions WHERE status = 'rejected' GROUP BY reject_reason""",
+)
 sql_query(
     "sparkline",
     # At most sixty samples of a curve, evenly, as glyph numbers 0 to 7.

@@ -1,6 +1,8 @@
 """Compatibility: key and tempo scores between tracks, vector similarity and pairing of cues, ranked edges.
 
-Pair queries score a stated set of sources (ids divisible by 20) against all tracks; nothing joins all with all.
+Pair queries score a stated set of sources (ids divisible by 20) against all tracks; nothing joins all with all. Pairs
+are made in cells: sources and tracks are cut into blocks of bounded size, and each cell of two blocks is a group of an
+ordinary equality join, so nothing is broadcast whose size grows.
 """
 
 from __future__ import annotations
@@ -34,11 +36,29 @@ def match_sql(a: str, b: str) -> str:
     return _MATCH.format(a=a, b=b)
 
 
+#: Rows of a block of sources, and of the other side.
+SOURCE_BLOCK, OTHER_BLOCK = 4_000, 50_000
+
+
+def _numbers(n: int):
+    return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+
+
+def cells(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Every row of ``a`` beside every row of ``b`` (columns of their own names), cell by cell."""
+    n_a, n_b = a.count(), b.count()
+    rows = max(1, -(-n_a // SOURCE_BLOCK))
+    columns = max(1, -(-n_b // OTHER_BLOCK), -(-a.sparkSession.sparkContext.defaultParallelism // rows))
+    dealt = lambda df, n: F.pmod(F.xxhash64(*df.columns), F.lit(n))
+    left = a.withColumn("_sl_i", dealt(a, rows)).withColumn("_sl_j", F.explode(_numbers(columns)))
+    right = b.withColumn("_sl_j", dealt(b, columns)).withColumn("_sl_i", F.explode(_numbers(rows)))
+    spread = lambda df: df.repartition(rows * columns, "_sl_i", "_sl_j")
+    return spread(left).join(spread(right), ["_sl_i", "_sl_j"]).drop("_sl_i", "_sl_j")
+
+
 def pairs(sources: DataFrame, tracks: DataFrame) -> DataFrame:
-    """Each source with every other track, as structs a and b. Sources are the query set; the tracks stream past them."""
-    a = sources.select(F.struct("*").alias("a"))
-    spread = tracks.repartition(tracks.sparkSession.sparkContext.defaultParallelism, "track_id")
-    return spread.select(F.struct("*").alias("b")).join(a, F.col("a.track_id") != F.col("b.track_id"))
+    """Each source with every other track, as structs a and b."""
+    return cells(sources.select(F.struct("*").alias("a")), tracks.select(F.struct("*").alias("b"))).where(F.col("a.track_id") != F.col("b.track_id"))
 
 
 def key_table(spark) -> DataFrame:
@@ -159,7 +179,7 @@ def cue_cosine_pairs(v) -> DataFrame:
     cues = v["cues"].where("embedding is not null")
     out = cues.where("type = 'out' and cue_id % 20 = 0").select(F.col("cue_id"), F.col("track_id").alias("t"), F.col("embedding").alias("x"))
     into = cues.where("type = 'in'").select(F.col("cue_id").alias("c"), F.col("track_id").alias("u"), F.col("embedding").alias("y"))
-    scored = out.join(into, F.col("t") != F.col("u")).select("cue_id", "c", cosine(F.col("x"), F.col("y")).alias("s"))
+    scored = cells(out, into).where("t <> u").select("cue_id", "c", cosine(F.col("x"), F.col("y")).alias("s"))
     best = scored.groupBy("cue_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.max(F.struct("s", (-F.col("c")).alias("c"))).alias("m"))
     return best.select("cue_id", "n_pairs", (-F.col("m.c")).alias("best_cue"), F.col("m.s").alias("best_sim"))
 
@@ -176,10 +196,15 @@ def best_cue_pair(v) -> DataFrame:
     cues = v["cues"].select("track_id", "pos", "type", "ts", "phrase_aligned", "confidence", "embedding")
     o = cues.where(f"type = 'out' and {SOURCES}").select(F.struct("*").alias("o"))
     i = cues.where("type = 'in'").select(F.struct("*").alias("i"))
+    return paired_cues(cells(o, i).where("o.track_id <> i.track_id"))
+
+
+def paired_cues(both: DataFrame) -> DataFrame:
+    """The best pair of each two tracks from rows of cues (structs o and i)."""
     sim = cosine(F.col("o.embedding"), F.col("i.embedding"))
     trust = (F.col("o.confidence") + F.col("i.confidence")) / 2.0
     aligned = F.col("o.phrase_aligned") & F.col("i.phrase_aligned")
-    both = o.join(i, F.col("o.track_id") != F.col("i.track_id")).withColumn("sim", sim)
+    both = both.withColumn("sim", sim)
     score = F.when(F.col("sim").isNull(), 0.7 * trust + F.when(aligned, 0.3).otherwise(0.0)).otherwise(0.6 * F.col("sim") + 0.2 * trust + F.when(aligned, 0.2).otherwise(0.0))
     best = both.groupBy(F.col("o.track_id").alias("src"), F.col("i.track_id").alias("dst")).agg(
         F.max(F.struct(F.round(score, 9).alias("s"), (-F.col("o.pos")).alias("p"), (-F.col("i.pos")).alias("q"), F.col("o.ts").alias("out_ts"), F.col("i.ts").alias("in_ts"), F.col("sim").alias("similarity"), score.alias("raw"))).alias("m")
@@ -187,6 +212,11 @@ def best_cue_pair(v) -> DataFrame:
     return best.select("src", "dst", "m.out_ts", "m.in_ts", F.round("m.raw", 6).alias("score"), "m.similarity")
 
 
+def edge_score(harmonic, rhythm, similarity):
+    """Key and tempo, and where there is one the similarity of the cues."""
+    return F.when(similarity.isNull(), 0.6 * harmonic + 0.4 * rhythm).otherwise(0.4 * harmonic + 0.3 * rhythm + 0.3 * F.greatest(F.lit(0.0), similarity))
+
+
 _EDGES = f"""SELECT s.src, s.dst, base, shifted, n, {tempo_sql("a", "b")} AS rhythm, similarity FROM
  ({_shift_sql("SELECT a.track_id AS src, b.track_id AS dst, a.key_num AS na, a.mode AS ma, b.key_num AS nb, b.mode AS mb FROM v_tracks a JOIN v_tracks b ON a.track_id <> b.track_id WHERE a.track_id % 20 = 0", "src, dst")}) s
  JOIN v_tracks a ON s.src = a.track_id JOIN v_tracks b ON s.dst = b.track_id LEFT JOIN ({_BEST_PAIR}) c ON s.src = c.src AND s.dst = c.dst"""
@@ -202,42 +232,50 @@ SELECT * FROM (SELECT src, CAST(row_number() OVER (PARTITION BY src ORDER BY sco
 )
 def compat_edges(v, top_n: int = 10) -> DataFrame:
     """The ten best edges of each source: key score, with the shift that helps if its cost leaves it better, tempo and cue similarity."""
-    tracks = v["tracks"].select("track_id", "bpm", "key_num", "mode")
+    # Only pairs whose two tracks have cues of the kind go through the join with the cues' similarities.
+    has = lambda kind: v["cues"].where(F.col("type") == kind).select("track_id").distinct().withColumn(f"has_{kind}", F.lit(True))
+    tracks = v["tracks"].select("track_id", "bpm", "key_num", "mode").join(has("in"), "track_id", "left")
+    sources = tracks.where(SOURCES).join(has("out"), "track_id", "left")
     sims = best_cue_pair(v).select(F.col("src"), F.col("dst"), "similarity")
     keys = F.broadcast(key_table(v.spark))
-    both = pairs(tracks.where(SOURCES), tracks).select(F.col("a.track_id").alias("src"), F.col("b.track_id").alias("dst"), tempo_score().alias("rhythm"), F.col("a.key_num").alias("na"), F.col("a.mode").alias("ma"), F.col("b.key_num").alias("nb"), F.col("b.mode").alias("mb")).join(keys, ["na", "ma", "nb", "mb"])
+    both = pairs(sources, tracks).select(F.col("a.track_id").alias("src"), F.col("b.track_id").alias("dst"), tempo_score().alias("rhythm"), F.col("a.key_num").alias("na"), F.col("a.mode").alias("ma"), F.col("b.key_num").alias("nb"), F.col("b.mode").alias("mb"), F.coalesce(F.col("a.has_out") & F.col("b.has_in"), F.lit(False)).alias("cued")).join(keys, ["na", "ma", "nb", "mb"])
     paid = F.col("shifted") - SHIFT_PENALTY * F.abs("n")
     better = F.coalesce(paid > F.col("base"), F.lit(False))
-    rows = both.select("src", "dst", F.round(F.when(better, paid).otherwise(F.col("base")), 3).alias("harmonic"), "rhythm", F.when(better, F.col("n")).otherwise(F.lit(0).cast("long")).alias("key_shift"))
-    rows = rows.join(sims, ["src", "dst"], "left")
-    score = F.when(F.col("similarity").isNull(), 0.6 * F.col("harmonic") + 0.4 * F.col("rhythm")).otherwise(0.4 * F.col("harmonic") + 0.3 * F.col("rhythm") + 0.3 * F.greatest(F.lit(0.0), F.col("similarity")))
-    ranked = rows.withColumn("score", F.round(score, 3)).withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("score"), "dst")).cast("long"))
+    rows = both.select("src", "dst", F.round(F.when(better, paid).otherwise(F.col("base")), 3).alias("harmonic"), "rhythm", F.when(better, F.col("n")).otherwise(F.lit(0).cast("long")).alias("key_shift"), "cued")
+    rows = rows.where("cued").join(sims, ["src", "dst"], "left").unionByName(rows.where("not cued").withColumn("similarity", F.lit(None).cast("double")))
+    ranked = rows.withColumn("score", F.round(edge_score(F.col("harmonic"), F.col("rhythm"), F.col("similarity")), 3)).withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("score"), "dst")).cast("long"))
     return ranked.where(F.col("rank") <= top_n).select("src", "rank", "dst", "harmonic", F.round("rhythm", 3).alias("rhythm"), "similarity", "key_shift", "score")
 
 
 _TRACK_SIMS = f"""SELECT o.track_id AS a, i.track_id AS b, {_COS} AS sim FROM
  (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY confidence DESC, pos) AS rn FROM v_cues WHERE type = 'out' AND embedding IS NOT NULL) WHERE rn = 1) o JOIN
- (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY confidence DESC, pos) AS rn FROM v_cues WHERE type = 'in' AND embedding IS NOT NULL) WHERE rn = 1) i ON o.track_id < i.track_id"""
+ (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY confidence DESC, pos) AS rn FROM v_cues WHERE type = 'in' AND embedding IS NOT NULL) WHERE rn = 1) i ON o.track_id <> i.track_id AND o.track_id % 20 = 0"""
+#: Each unordered pair of the queries once.
+_UNORDERED = f"SELECT * FROM ({_TRACK_SIMS}) u WHERE b % 20 <> 0 OR a < b"
 
 
 def track_similarities(v) -> DataFrame:
-    """Unordered pairs of tracks with cue vectors: similarity of the first's best out cue to the second's best in cue."""
+    """Pairs (a, b) of a source and any other track with cue vectors: similarity of a's best out cue to b's best in cue."""
     cues = v["cues"].where("embedding is not null")
     best = cues.groupBy("track_id", "type").agg(F.max(F.struct("confidence", (-F.col("pos")).alias("p"), "embedding")).alias("m")).select("track_id", "type", F.col("m.embedding").alias("e"))
-    a = best.where("type = 'out'").select(F.col("track_id").alias("a"), F.col("e").alias("x"))
+    a = best.where(f"type = 'out' and {SOURCES}").select(F.col("track_id").alias("a"), F.col("e").alias("x"))
     b = best.where("type = 'in'").select(F.col("track_id").alias("b"), F.col("e").alias("y"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", cosine(F.col("x"), F.col("y")).alias("sim"))
+    return cells(a, b).where("a <> b").select("a", "b", cosine(F.col("x"), F.col("y")).alias("sim"))
+
+
+def unordered(sims: DataFrame) -> DataFrame:
+    return sims.where("b % 20 <> 0 or a < b")
 
 
-@query("sim_threshold_p85", f"SELECT count(*) AS n_pairs, round(quantile_cont(sim, 0.85), 6) AS threshold FROM ({_TRACK_SIMS})")
+@query("sim_threshold_p85", f"SELECT count(*) AS n_pairs, round(quantile_cont(sim, 0.85), 6) AS threshold FROM ({_UNORDERED})")
 def sim_threshold_p85(v) -> DataFrame:
-    return track_similarities(v).agg(F.count("sim").alias("n_pairs"), F.round(F.percentile("sim", 0.85), 6).alias("threshold"))
+    return unordered(track_similarities(v)).agg(F.count("sim").alias("n_pairs"), F.round(F.percentile("sim", 0.85), 6).alias("threshold"))
 
 
-@query("sim_percentile_rank", f"SELECT a, b, sim, round(cume_dist() OVER (ORDER BY sim), 6) AS pct FROM ({_TRACK_SIMS}) WHERE sim IS NOT NULL")
+@query("sim_percentile_rank", f"SELECT a, b, sim, round(cume_dist() OVER (ORDER BY sim), 6) AS pct FROM ({_UNORDERED}) WHERE sim IS NOT NULL")
 def sim_percentile_rank(v) -> DataFrame:
     """The share of similarities at most as large, by counts of distinct values (no sort of all rows in one task)."""
-    sims = track_similarities(v).where("sim is not null")
+    sims = unordered(track_similarities(v)).where("sim is not null")
     counts = sims.groupBy("sim").count()
     ranked = counts.select("sim", (F.sum("count").over(Window.orderBy("sim")) / F.sum("count").over(Window.partitionBy())).alias("pct"))
     return sims.join(ranked, "sim").select("a", "b", "sim", F.round("pct", 6).alias("pct"))

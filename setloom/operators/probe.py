@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from setloom.functions.vectors import dot
@@ -44,17 +44,88 @@ def nnls_unmix(v) -> DataFrame:
     return d.select("vec_id", F.round(wa, 5).alias("weight_a"), F.round(wb, 5).alias("weight_b"))
 
 
-_BAND_SQL = """WITH b AS (SELECT mix_id, idx, confidence * coalesce(camelot_score, 0e0) AS strength, duration_bars AS span, confidence FROM v_transitions WHERE status = 'ok' AND duration_bars IS NOT NULL),
-m AS (SELECT mix_id, {median}(span, 0.5) AS med FROM b GROUP BY mix_id), d AS (SELECT b.*, med, abs(span - med) AS dev FROM b JOIN m ON b.mix_id = m.mix_id), a AS (SELECT mix_id, {median}(dev, 0.5) AS mad FROM d GROUP BY mix_id)
-SELECT d.mix_id, count(*) AS n_bands, count(*) FILTER (WHERE dev <= greatest(3e0 * mad, 2e0)) AS n_agreed, round(max(med), 6) AS median_span, round(max(mad), 6) AS mad, round(exp(avg(ln(greatest(confidence, 0.05e0)))), 6) AS confidence FROM d JOIN a ON d.mix_id = a.mix_id GROUP BY d.mix_id"""
-# Bands that lie within three median deviations of the median agree; confidence is a geometric mean with a floor.
-sql_query("band_combine", _BAND_SQL.format(median="percentile"), _BAND_SQL.format(median="quantile_cont"))
+#: The gates of a band and of a transition.
+MAX_RHO, MIN_TRAVEL, MIN_R2, MAX_RESIDUAL, MAX_EXCESS, AGREE_MAD, CUT_BEATS, MAX_BEATS = 0.92, 0.30, 0.50, 0.95, 0.18, 3.0, 4.0, 256.0
+
+
+def band_reason() -> Column:
+    """The first gate that a band's fit fails, or the empty text: rho, centre, span, travel, r2, residual, floor, lo and hi are its row's."""
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c)
+    return (
+        F.when(F.col("rho") > MAX_RHO, "low_separability")
+        .when(~(finite("centre") & finite("span")), "fit_failed")
+        .when(~F.col("centre").between(F.col("lo"), F.col("hi")), "center_out_of_window")
+        .when(F.col("travel") < MIN_TRAVEL, "low_travel")
+        .when(F.col("r2") < MIN_R2, "poor_fit")
+        .when((F.col("residual") > MAX_RESIDUAL) | (F.col("residual") - F.col("floor") > MAX_EXCESS), "high_residual")
+        .otherwise("")
+    )
+
+
+#: What a transition without a band is refused for: the most telling of its bands' reasons.
+REFUSALS = ("low_separability", "low_travel", "center_out_of_window", "poor_fit", "high_residual", "fit_failed")
+
+
+def combine_bands(bands: DataFrame) -> DataFrame:
+    """A row a transition from rows (id, band, beat, purity and what ``band_reason`` reads), band one of low, mid and high.
+
+    Bands agree whose centres lie within three median deviations of the median, two fifths of the median length or two
+    beats, whichever is most. Two have to, one of them mid or high. The best of these by r2 * travel gives centre and
+    length; a length under four beats is a cut. Confidence is the geometric mean of seven scores, each 0.05 at least.
+    """
+    w = Window.partitionBy("id")
+    long = F.col("band").isin("mid", "high")
+    rows = bands.withColumn("reason", band_reason()).withColumn("ok", F.col("reason") == "")
+    rows = rows.withColumn("mid", F.percentile(F.when(F.col("ok"), F.col("centre")), 0.5).over(w)).withColumn("dev", F.when(F.col("ok"), F.abs(F.col("centre") - F.col("mid"))))
+    spans = F.coalesce(F.percentile(F.when(F.col("ok") & long, F.col("span")), 0.5).over(w), F.percentile(F.when(F.col("ok"), F.col("span")), 0.5).over(w), F.lit(0.0))
+    rows = rows.withColumn("mad", F.percentile("dev", 0.5).over(w)).withColumn("tol", F.greatest(AGREE_MAD * F.col("mad"), 0.4 * spans, 2.0 * F.col("beat")))
+    rows = rows.withColumn("agrees", F.col("ok") & (F.col("dev") <= F.col("tol"))).withColumn("lasts", F.col("agrees") & long)
+    of = lambda cond, x: F.when(F.col(cond), x)
+    named = [F.count_if(F.col("reason") == r).alias(f"n_{r}") for r in REFUSALS]
+    t = rows.groupBy("id").agg(
+        F.count_if("ok").alias("n_ok"), F.count_if("agrees").alias("n_agreed"), F.count_if("lasts").alias("n_long"), F.max("beat").alias("beat"), F.max("purity").alias("purity"), F.max("mad").alias("mad"), F.max("tol").alias("tol"),
+        F.max(of("lasts", F.struct((F.col("r2") * F.greatest("travel", F.lit(0.0))).alias("q"), "band", "centre", "span"))).alias("best"), F.max(of("agrees", F.when(F.col("band") == "low", F.col("centre")))).alias("t_bass"),
+        F.min(of("lasts", F.col("span"))).alias("short"), F.max(of("lasts", F.col("span"))).alias("longest"), F.max(of("agrees", F.col("rho"))).alias("rho"), F.avg(of("agrees", F.col("r2"))).alias("fit"), F.avg(of("agrees", F.col("travel"))).alias("travel"), F.avg(of("agrees", F.col("residual"))).alias("residual"), *named,
+    )
+    beats = F.col("best.span") / F.col("beat")
+    cut = beats < CUT_BEATS
+    span = F.when(cut, 0.0).otherwise(F.col("best.span"))
+    unit = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    scores = [unit(1.0 - F.col("rho")), F.col("fit"), unit(F.col("travel")), unit(1.0 - F.col("residual")), F.when((F.col("n_ok") > 1) & (F.col("tol") > 0), unit(1.0 - F.col("mad") / F.col("tol"))).otherwise(0.5), F.when((F.col("n_long") > 1) & (F.col("longest") > 0), unit(F.col("short") / F.col("longest"))).otherwise(0.6), F.col("purity")]
+    confidence = F.exp(sum((F.log(F.greatest(x, F.lit(0.05))) for x in scores), F.lit(0.0)) / len(scores))
+    refused = F.coalesce(*[F.when(F.col(f"n_{r}") > 0, F.lit(r)) for r in REFUSALS], F.lit("no_band_fit"))
+    reason = F.when(F.col("n_ok") == 0, refused).when(F.col("n_long") == 0, "no_duration_band").when(F.col("n_agreed") < 2, "insufficient_band_agreement").when(~cut & (beats > MAX_BEATS), "implausible_duration").otherwise("")
+    kept = lambda x, digits=3: F.when(reason == "", F.round(x, digits))
+    centre = F.col("best.centre")
+    return t.select("id", reason.alias("reason"), "n_agreed", kept(centre - span / 2).alias("t_start"), kept(centre + span / 2).alias("t_end"), kept(F.col("t_bass")).alias("t_bass"), kept(span / F.col("beat")).alias("beats"), F.when(reason == "", cut.cast("int")).alias("is_cut"), kept(confidence, 4).alias("confidence"))
+
+
+_BANDS = """SELECT 1000 * mix_id + idx AS id, band, 0.5e0 AS beat, CAST(k * 7 % 101 AS DOUBLE) / 100e0 AS purity, CAST((k * 13 + j * 31) % 97 AS DOUBLE) / 100e0 AS rho, CASE WHEN (k + j) % 23 = 0 THEN NULL ELSE announced_t + CAST((k * 3 + j * j * 5) % 41 AS DOUBLE) / 10e0 END AS centre,
+ CAST((k * 11 + j * 17) % 400 AS DOUBLE) / 10e0 AS span, CAST((k * 19 + j * 7) % 130 AS DOUBLE) / 100e0 AS travel, CAST((k * 29 + j * 3) % 120 AS DOUBLE) / 120e0 AS r2, CAST((k * 5 + j * 41) % 100 AS DOUBLE) / 100e0 AS residual, 0.3e0 + 0.1e0 * j AS floor, announced_t - 1e0 AS lo, announced_t + 4e0 AS hi
+FROM v_transitions, (SELECT 0 AS j, 'low' AS band UNION ALL SELECT 1 AS j, 'mid' AS band UNION ALL SELECT 2 AS j, 'high' AS band) b"""
+_GUARDED = f"""SELECT *, CASE WHEN rho > 0.92e0 THEN 'low_separability' WHEN centre IS NULL OR span IS NULL THEN 'fit_failed' WHEN centre < lo OR centre > hi THEN 'center_out_of_window' WHEN travel < 0.3e0 THEN 'low_travel' WHEN r2 < 0.5e0 THEN 'poor_fit' WHEN residual > 0.95e0 OR residual - floor > 0.18e0 THEN 'high_residual' ELSE '' END AS reason FROM ({_BANDS}) b0"""
+_FAILED = "CASE " + " ".join(f"WHEN count(*) FILTER (WHERE reason = '{r}') > 0 THEN '{r}'" for r in REFUSALS) + " ELSE 'no_band_fit' END"
+_COMBINED = f"""WITH g AS ({_GUARDED}), m AS (SELECT id, quantile_cont(centre, 0.5) FILTER (WHERE reason = '') AS med, coalesce(quantile_cont(span, 0.5) FILTER (WHERE reason = '' AND band <> 'low'), quantile_cont(span, 0.5) FILTER (WHERE reason = ''), 0e0) AS spans FROM g GROUP BY id),
+d AS (SELECT g.*, abs(centre - med) AS dev, spans FROM g JOIN m ON g.id = m.id), a AS (SELECT id, quantile_cont(dev, 0.5) FILTER (WHERE reason = '') AS mad FROM d GROUP BY id),
+t AS (SELECT d.*, mad, greatest(3e0 * mad, 0.4e0 * spans, 2e0 * beat) AS tol FROM d JOIN a ON d.id = a.id), f AS (SELECT *, reason = '' AND dev <= tol AS agrees, reason = '' AND dev <= tol AND band <> 'low' AS lasts FROM t),
+c AS (SELECT id, count(*) FILTER (WHERE reason = '') AS n_ok, count(*) FILTER (WHERE agrees) AS n_agreed, count(*) FILTER (WHERE lasts) AS n_long, max(beat) AS beat, max(purity) AS purity, max(mad) AS mad, max(tol) AS tol, last(centre ORDER BY r2 * greatest(travel, 0e0), band) FILTER (WHERE lasts) AS centre, last(span ORDER BY r2 * greatest(travel, 0e0), band) FILTER (WHERE lasts) AS best_span,
+ max(centre) FILTER (WHERE agrees AND band = 'low') AS t_bass, min(span) FILTER (WHERE lasts) AS short, max(span) FILTER (WHERE lasts) AS longest, max(rho) FILTER (WHERE agrees) AS rho, avg(r2) FILTER (WHERE agrees) AS fit, avg(travel) FILTER (WHERE agrees) AS travel, avg(residual) FILTER (WHERE agrees) AS residual, {_FAILED} AS failed FROM f GROUP BY id),
+s AS (SELECT *, best_span / beat < 4e0 AS cut, CASE WHEN best_span / beat < 4e0 THEN 0e0 ELSE best_span END AS span, CASE WHEN n_ok = 0 THEN failed WHEN n_long = 0 THEN 'no_duration_band' WHEN n_agreed < 2 THEN 'insufficient_band_agreement' WHEN best_span / beat >= 4e0 AND best_span / beat > 256e0 THEN 'implausible_duration' ELSE '' END AS reason,
+ exp((ln(greatest(0.05e0, least(1e0, 1e0 - rho))) + ln(greatest(0.05e0, fit)) + ln(greatest(0.05e0, least(1e0, travel))) + ln(greatest(0.05e0, least(1e0, 1e0 - residual))) + ln(greatest(0.05e0, CASE WHEN n_ok > 1 AND tol > 0 THEN least(1e0, 1e0 - mad / tol) ELSE 0.5e0 END)) + ln(greatest(0.05e0, CASE WHEN n_long > 1 AND longest > 0 THEN least(1e0, short / longest) ELSE 0.6e0 END)) + ln(greatest(0.05e0, purity))) / 7e0) AS confidence FROM c)
+SELECT id, reason, n_agreed, CASE WHEN reason = '' THEN round(centre - span / 2, 3) END AS t_start, CASE WHEN reason = '' THEN round(centre + span / 2, 3) END AS t_end, CASE WHEN reason = '' THEN round(t_bass, 3) END AS t_bass, CASE WHEN reason = '' THEN round(span / beat, 3) END AS beats, CASE WHEN reason = '' THEN CAST(cut AS INTEGER) END AS is_cut, CASE WHEN reason = '' THEN round(confidence, 4) END AS confidence FROM s"""
+
+
+@query("band_combine", _COMBINED)
+def band_combine(v) -> DataFrame:
+    """Three bands for every transition, joined to one measurement or one refusal."""
+    return combine_bands(v.sql(_BANDS))
+
+
+@query("band_guards", f"SELECT band, reason, count(*) AS n FROM ({_GUARDED}) g GROUP BY band, reason")
+def band_guards(v) -> DataFrame:
+    return v.sql(_BANDS).groupBy("band", band_reason().alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
 
-#: The gates of a band, in order.
-sql_query(
-    "band_guards",
-    """SELECT reason, count(*) AS n FROM (SELECT CASE WHEN confidence > 0.92e0 THEN 'low_separability' WHEN duration_bars IS NULL THEN 'fit_failed' WHEN duration_bars < 0.3e0 THEN 'low_travel' WHEN camelot_score < 0.5e0 THEN 'poor_fit' WHEN confidence < 0.05e0 THEN 'high_residual' ELSE 'ok' END AS reason FROM v_transitions) g GROUP BY reason""",
-)
 sql_query("weighted_mean_energy", "SELECT track_id, round(CASE WHEN sum(energy) > 0e0 THEN sum(value * energy) / sum(energy) ELSE avg(value) END, 6) AS level FROM v_energy GROUP BY track_id")
 
 
@@ -91,8 +162,6 @@ def fit_ramps(rows: DataFrame) -> DataFrame:
 @query("ramp_fits")
 def ramp_fits(v) -> DataFrame:
     """Ramps of the running energy share of every track."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("track_id")
     share = F.sum("energy").over(w.orderBy("sec").rowsBetween(Window.unboundedPreceding, 0)) / (F.sum("energy").over(w) + 1e-12)
     return fit_ramps(v["energy"].select(F.col("track_id").alias("id"), F.col("sec").cast("double").alias("t"), share.alias("y")))

@@ -209,12 +209,12 @@ def schedule(ticks: DataFrame) -> DataFrame:
     "scheduler_decisions",
     """SELECT track_id, p AS pos, CASE WHEN c IS NOT NULL THEN CASE WHEN p / bar >= 4e0 AND c - p <= 8e0 * bar THEN 1 ELSE 0 END ELSE CASE WHEN p / bar >= 24e0 THEN 1 ELSE 0 END END AS fires FROM (
  SELECT t.track_id, g.i * 15e0 AS p, 240e0 / t.bpm AS bar, (SELECT arg_min(q.ts, -q.confidence * 1000 + q.pos / 1000e0) FROM v_cues q WHERE q.track_id = t.track_id AND q.type = 'out' AND q.ts > g.i * 15e0 AND q.ts < g.i * 15e0 + 16e0 * 240e0 / t.bpm AND q.confidence > 0.25e0) AS c
- FROM (SELECT DISTINCT track_id FROM v_cues) k JOIN v_tracks t ON k.track_id = t.track_id, (SELECT unnest(range(0, 16)) AS i) g)""",
+ FROM (SELECT DISTINCT track_id FROM v_cues) k JOIN v_tracks t ON k.track_id = t.track_id, unnest(range(0, CAST(floor(t.duration / 15e0) AS BIGINT) + 1)) AS g(i))""",
 )
 def scheduler_decisions(v) -> DataFrame:
     """The batch form: decisions at every fifteen seconds of the tracks with cues, from least and most dwells of 4 and 24 bars."""
     cues = v["cues"].select("track_id", "pos", "ts", "confidence", "type")
-    t = v["tracks"].join(cues.select("track_id").distinct(), "track_id").select("track_id", (240.0 / F.col("bpm")).alias("bar"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("i"))
+    t = v["tracks"].join(cues.select("track_id").distinct(), "track_id").select("track_id", (240.0 / F.col("bpm")).alias("bar"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("duration") / 15.0))).alias("i"))
     t = t.select("track_id", "bar", (F.col("i") * 15.0).alias("p"))
     out = cues.where(f"type = 'out' and confidence > {MIN_CONFIDENCE}").select(F.col("track_id").alias("k"), "ts", "confidence", "pos")
     near = t.join(out, (F.col("track_id") == F.col("k")) & (F.col("ts") > F.col("p")) & (F.col("ts") < F.col("p") + LOOK * F.col("bar")), "left")

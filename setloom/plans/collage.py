@@ -1,23 +1,27 @@
 """Collages: seeded layers of segments in three kinds of movement, and the fade shapes and tone moves of each placement.
 
-Draws are hashes of seed, step and purpose, the same in every engine and run. A seed's pool is a slice of candidates
-of bounded size, drawn by hash from all segments.
+Draws are hashes of seed, step and purpose, the same in every engine and run. They do not depend on what is drawn: when a
+placement starts, how long it lasts and which places of the pool it may take are known before the pool is read. The
+segments at those places, a bounded number for each placement, are then found by a join, and taken one after the
+other: by how alike they are to what sounds already, then by key.
 """
 
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from setloom.operators.ordered import positions
+from setloom.plans.cues import entries
 from setloom.plans.planner import seeded_unit, segment_pool
 from setloom.registry import query
 
-#: Candidates of a seed, layers at once at most, and seconds of a bar.
-POOL, LAYERS, BAR = 300, 5, 1.875
+#: Segments that are drawn for a pick, layers at once at most, seconds of a bar, and the picks ranked by key.
+DRAWN, LAYERS, BAR, NEAREST = 40, 5, 1.875, 6
 MODES = ("weave", "feature", "breathe")
 
 
@@ -41,42 +45,85 @@ def movement_weights(progress: float, chaos: float) -> dict[str, float]:
     return {"weave": 1.5 + 1.5 * middle + 5.0 * chaos, "feature": 1.2 * calm, "breathe": (1.0 + 1.5 * (not middle)) * calm}
 
 
-def place(pool: pd.DataFrame, seed: int, *, length: float = 600.0, chaos: float = 0.35, bars: tuple[int, int] = (4, 24), layers: int = LAYERS) -> pd.DataFrame:
-    """The placements of one seed: segments with start, end and movement, until ``length`` seconds are full."""
-    pool = pool.sort_values(["track_id", "section", "sub"]).reset_index(drop=True)
+def schedule(n: int, seed: int, *, length: float = 600.0, chaos: float = 0.35, bars: tuple[int, int] = (4, 24), layers: int = LAYERS) -> list[tuple]:
+    """(seed, pos, mode, out_start, out_end, places) of one seed's placements over a pool of ``n`` segments, until ``length`` seconds are full."""
     rows, clock, step, ends = [], 0.0, 0, []
-    while len(pool) and clock < length:
+    while n and clock < length:
         mode = pick(movement_weights(clock / length, chaos), draw(seed, step, "mode"))
-        n = {"weave": 3 + int(draw(seed, step, "n") * (4 + 8 * chaos)), "feature": 2 + int(draw(seed, step, "n") * 3), "breathe": 1 + int(draw(seed, step, "n") * 2)}[mode]
-        first = int(draw(seed, step, "first") * len(pool))
-        for k in range(n):
+        count = {"weave": 3 + int(draw(seed, step, "n") * (4 + 8 * chaos)), "feature": 2 + int(draw(seed, step, "n") * 3), "breathe": 1 + int(draw(seed, step, "n") * 2)}[mode]
+        first = int(draw(seed, step, "first") * n)
+        for k in range(count):
             if clock >= length:
                 break
-            i = (first + k) % len(pool) if mode == "feature" else int(draw(seed, step, k, "pick") * len(pool))
+            # A feature goes on through its track; any other pick has a draw of the whole pool.
+            places = [(first + k) % n] if mode == "feature" else list(dict.fromkeys(int(draw(seed, step, k, "pick", i) * n) for i in range(DRAWN)))
             size = bars[0] + int(draw(seed, step, k, "bars") * (bars[1] - bars[0] + 1))
             hop = {"feature": max(1.0, size - 2.0), "breathe": max(1.0, size - 1.0), "weave": max(0.25, size / (3 + round(2 * chaos)))}[mode]
             ends = [e for e in ends if e > clock]
             if len(ends) >= layers:  # no lane free: wait for the first to end
                 clock = min(ends)
                 ends = [e for e in ends if e > clock]
-            s = pool.iloc[i]
             ends.append(clock + size * BAR)
-            rows.append((seed, len(rows), int(s.track_id), int(s.section), clock, clock + size * BAR, mode))
+            rows.append((seed, len(rows), mode, clock, clock + size * BAR, places))
             clock += hop * BAR
         step += 1
+    return rows
+
+
+def wheel_score(a: tuple[int, str], b: tuple[int, str]) -> float:
+    """``key_compatibility``, in Python."""
+    d = min(abs(a[0] - b[0]), 12 - abs(a[0] - b[0]))
+    return ({0: 1.0, 1: 0.8, 2: 0.6, 3: 0.3} if a[1] == b[1] else {0: 0.9, 1: 0.5}).get(d, 0.0)
+
+
+def choose(drawn: pd.DataFrame) -> pd.DataFrame:
+    """One seed's placements from the segments drawn for them (pos, mode, out_start, out_end, nth, track_id, section, key_num, mode_key, vector).
+
+    Tracks of the last two picks wait. Breathing picks go with what sounds, woven ones against it; of the six best the key decides.
+    """
+    rows: list[tuple] = []
+    active: list[tuple[float, np.ndarray]] = []
+    last: tuple[int, str] | None = None
+    for pos, own in drawn.sort_values(["pos", "nth"]).groupby("pos", sort=True):
+        start, end, mode = own.out_start.iloc[0], own.out_end.iloc[0], own["mode"].iloc[0]
+        active = [(e, x) for e, x in active if e > start]
+        recent = [r[2] for r in rows[-2:]]
+        left = own[~own.track_id.isin(recent)] if mode != "feature" else own
+        left = list((left if len(left) else own).itertuples(index=False))
+        best = left[0]
+        if mode != "feature" and active:
+            near = mode == "breathe"
+
+            def alike(s, near=near) -> float:
+                if s.vector is None:
+                    return -1.0 if near else 1.0  # unknown ranks last
+                x = np.asarray(s.vector, float)
+                return max(float(x @ y) / max(float(np.linalg.norm(x) * np.linalg.norm(y)), 1e-12) for _, y in active)
+
+            top = sorted(left, key=alike, reverse=near)[:NEAREST]
+            best = max(top, key=lambda s: wheel_score(last, (s.key_num, s.mode_key))) if last else top[0]
+        if best.vector is not None:
+            active.append((end, np.asarray(best.vector, float)))
+        last = (int(best.key_num), best.mode_key)
+        rows.append((int(best.seed), int(pos), int(best.track_id), int(best.section), float(start), float(end), mode))
     return pd.DataFrame(rows, columns=["seed", "pos", "track_id", "section", "out_start", "out_end", "mode"])
 
 
 def collage(pool: DataFrame, seeds: list[int], **options) -> DataFrame:
-    """Placements of every seed over its slice of the pool."""
-    slices = [pool.orderBy(F.xxhash64(F.lit(s), "track_id", "section", "sub"), "track_id", "section", "sub").limit(POOL).withColumn("seed", F.lit(s).cast("long")) for s in seeds]
-    rows = reduce(DataFrame.unionByName, slices)
-    return rows.groupBy("seed").applyInPandas(lambda pdf: place(pdf, int(pdf["seed"].iloc[0]), **options), "seed long, pos long, track_id long, section long, out_start double, out_end double, mode string")
+    """Placements of every seed; ``pool`` has track_id, section, sub, key_num, mode_key and vector."""
+    placed = positions(pool, "track_id", ["section", "sub"], name="place")
+    spark, n = pool.sparkSession, pool.count()
+    plans = spark.createDataFrame([r for s in seeds for r in schedule(n, s, **options)], "seed long, pos long, mode string, out_start double, out_end double, places array<long>")
+    drawn = plans.select("seed", "pos", "mode", "out_start", "out_end", F.posexplode("places").alias("nth", "place")).join(placed, "place")
+    return drawn.groupBy("seed").applyInPandas(choose, "seed long, pos long, track_id long, section long, out_start double, out_end double, mode string")
 
 
 @query("collage_plan")
 def collage_plan(v) -> DataFrame:
-    return collage(segment_pool(v), [1, 2, 3, 4])
+    """Segments of all tracks, with their keys and the vectors of their entries."""
+    keys = v["tracks"].select("track_id", "key_num", F.col("mode").alias("mode_key"))
+    vectors = entries(v["cues"], v["tracks"]).select("track_id", F.col("in_vector").alias("vector"))
+    return collage(segment_pool(v).join(keys, "track_id").join(vectors, "track_id", "left"), [1, 2, 3, 4])
 
 
 def fade_shapes(mode: Column, u: Column, w: Column, bold: float = 0.21) -> Column:

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from setloom.functions import curves
 from setloom.functions.harmony import beatmatchable
+from setloom.functions.vectors import cosine
 from setloom.operators.graph import match_sql
+from setloom.operators.ordered import positions
+from setloom.plans.cues import ENTRY, EXIT, entries, exits
 from setloom.registry import query, sql_query
 
 #: Energies below and over which styles change, the similarity of a blend, the margin of a tie.
@@ -33,14 +36,18 @@ def style(matched: Column, similarity: Column, leaving: Column, entering: Column
     return F.when(~matched, "cut").when(like | ((out < CALM) & (into < CALM)), "blend").when((out > LOUD) & (into > LOUD), "swap").when(fades, "fade").otherwise("build")
 
 
+def tie_draw(src: Column, dst: Column) -> Column:
+    return seeded_unit(F.lit("style"), src, dst)
+
+
 def sampled_pairs(tracks: DataFrame, at_most: int = 4000) -> DataFrame:
     """Every step-th ordered pair (a, b), a before b in the listing of pairs by position, about ``at_most`` of them.
 
     Pairs are numbered, not made: number p is first track p / (n - 1) and its p % (n - 1)-th other one; two joins by
     position find them.
     """
-    placed = tracks.withColumn("at", F.row_number().over(Window.orderBy("track_id")) - 1)
-    n = placed.count()
+    placed = positions(tracks, "track_id")
+    n = tracks.count()
     total = n * (n - 1)
     step = max(1, total // at_most)
     first, rest = F.floor(F.col("id") / (n - 1)), F.col("id") % (n - 1)
@@ -50,14 +57,24 @@ def sampled_pairs(tracks: DataFrame, at_most: int = 4000) -> DataFrame:
 
 
 def planned(v) -> DataFrame:
-    rows = sampled_pairs(v["tracks"].select("track_id", "bpm", "mean_energy"))
-    kind = style(beatmatchable(F.col("a.bpm"), F.col("b.bpm")), F.lit(None).cast("double"), F.col("a.mean_energy"), F.col("b.mean_energy"))
-    return rows.select(F.col("a.track_id").alias("src"), F.col("b.track_id").alias("dst"), kind.alias("style"))
-
-
-_PLANNED = f"""SELECT src, dst, CASE WHEN NOT matched THEN 'cut' WHEN eo < 0.45e0 AND ei < 0.45e0 THEN 'blend' WHEN eo > 0.7e0 AND ei > 0.7e0 THEN 'swap' WHEN eo - ei >= 0e0 THEN 'fade' ELSE 'build' END AS style
-FROM (SELECT a.track_id AS src, b.track_id AS dst, {match_sql("a", "b")} AS matched, a.mean_energy AS eo, b.mean_energy AS ei, row_number() OVER (ORDER BY a.track_id, b.track_id) - 1 AS p, count(*) OVER () AS total
- FROM v_tracks a JOIN v_tracks b ON a.track_id <> b.track_id) WHERE p % greatest(1, CAST(floor(total / 4000e0) AS BIGINT)) = 0"""
+    """(src, dst, matched, out_energy, style) of sampled pairs, from the exit of the one and the entry of the other."""
+    tracks, cues = v["tracks"], v["cues"]
+    rows = sampled_pairs(tracks.select("track_id", "bpm"))
+    rows = rows.select("id", F.col("a.track_id").alias("src"), F.col("a.bpm").alias("x"), F.col("b.track_id").alias("dst"), F.col("b.bpm").alias("y"))
+    out, into = exits(cues, tracks).withColumnRenamed("track_id", "src"), entries(cues, tracks).withColumnRenamed("track_id", "dst")
+    rows = rows.join(out, "src", "left").join(into, "dst", "left")
+    matched = beatmatchable(F.col("x"), F.col("y"))
+    kind = style(matched, cosine(F.col("out_vector"), F.col("in_vector")), F.col("out_energy"), F.col("in_energy"), tie_draw(F.col("src"), F.col("dst")))
+    return rows.select("src", "dst", matched.alias("matched"), "out_energy", kind.alias("style"))
+
+
+_U = "(CAST(concat('0x', substr(sha256(concat_ws('|', 'style', CAST(src AS VARCHAR), CAST(dst AS VARCHAR))), 1, 13)) AS BIGINT) / 4503599627370496e0)"
+#: The style of a row (src, dst, matched, sim, eo, ei), and a row's similarity of exit x and entry n.
+STYLE = f"CASE WHEN NOT matched THEN 'cut' WHEN coalesce(sim >= 0.82e0, false) OR (eo < 0.45e0 AND ei < 0.45e0) THEN 'blend' WHEN eo > 0.7e0 AND ei > 0.7e0 THEN 'swap' WHEN CASE WHEN abs(eo - ei) < 0.08e0 THEN {_U} < 0.5e0 + (eo - ei) / 0.08e0 * 0.5e0 ELSE eo - ei >= 0e0 END THEN 'fade' ELSE 'build' END"
+SIMILARITY = "CASE WHEN x.embedding IS NULL OR n.embedding IS NULL THEN NULL ELSE round(greatest(-1e0, least(1e0, list_cosine_similarity(x.embedding::DOUBLE[], n.embedding::DOUBLE[]))), 4) END"
+_PLANNED = f"""SELECT src, dst, matched, out_energy, {STYLE} AS style FROM (SELECT src, dst, matched, x.energy AS out_energy, coalesce(x.energy, 0.5e0) AS eo, coalesce(n.energy, 0.5e0) AS ei, {SIMILARITY} AS sim
+FROM (SELECT a.track_id AS src, b.track_id AS dst, {match_sql("a", "b")} AS matched, row_number() OVER (ORDER BY a.track_id, b.track_id) - 1 AS p, count(*) OVER () AS total
+ FROM v_tracks a JOIN v_tracks b ON a.track_id <> b.track_id) q LEFT JOIN {EXIT} x ON x.track_id = src LEFT JOIN {ENTRY} n ON n.track_id = dst WHERE p % greatest(1, CAST(floor(total / 4000e0) AS BIGINT)) = 0) z"""
 
 
 @query("gap_report_pairs", _PLANNED)
@@ -71,6 +88,42 @@ def style_mix(v) -> DataFrame:
     return counts.select("style", "n", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6).alias("share"))
 
 
+@query("exit_energies", f"SELECT src AS track_id, max(out_energy) AS exit_energy, count(*) AS n_pairs, count(*) FILTER (WHERE matched) AS n_matched FROM ({_PLANNED}) p WHERE out_energy IS NOT NULL GROUP BY src")
+def exit_energies(v) -> DataFrame:
+    """The energy at which each sampled source is left, a property of the source alone, and how many of its pairs share a tempo."""
+    return planned(v).where("out_energy is not null").groupBy(F.col("src").alias("track_id")).agg(F.max("out_energy").alias("exit_energy"), F.count(F.lit(1)).alias("n_pairs"), F.count_if("matched").alias("n_matched"))
+
+
+#: What a library should hold.
+TARGET_HOURS, CUT_SHARE, MIN_KEYS = 24.0, 0.40, 12
+
+_FINDINGS = f"""WITH t AS (SELECT count(*) AS n, sum(duration) / 3600e0 AS hours, count(DISTINCT concat(CAST(key_num AS VARCHAR), mode)) AS keys FROM v_tracks), p AS ({_PLANNED}),
+e AS (SELECT src, max(out_energy) AS energy FROM p WHERE out_energy IS NOT NULL GROUP BY src),
+c AS (SELECT count(*) AS pairs, count(*) FILTER (WHERE style = 'cut') AS cuts, count(*) FILTER (WHERE style = 'blend') AS blends, count(*) FILTER (WHERE style = 'swap') AS swaps, count(*) FILTER (WHERE style = 'fade') AS fades, count(*) FILTER (WHERE style = 'build') AS builds FROM p),
+x AS (SELECT count(*) FILTER (WHERE energy < 0.45e0) AS low, count(*) FILTER (WHERE energy > 0.7e0) AS high FROM e)
+SELECT finding, round(value, 6) AS value FROM (
+ SELECT 'hours short' AS finding, {TARGET_HOURS} - hours AS value, hours < {TARGET_HOURS} AS holds FROM t UNION ALL SELECT 'tracks short', floor(({TARGET_HOURS} - hours) * 60e0 / greatest(hours * 60e0 / n, 0.1e0)), hours < {TARGET_HOURS} FROM t
+ UNION ALL SELECT 'share of cuts', cuts / CAST(pairs AS DOUBLE), cuts >= {CUT_SHARE} * pairs AND pairs > 0 FROM c UNION ALL SELECT 'no blend', 0e0, blends = 0 FROM c UNION ALL SELECT 'no swap', 0e0, swaps = 0 FROM c UNION ALL SELECT 'no fade', 0e0, fades = 0 FROM c UNION ALL SELECT 'no build', 0e0, builds = 0 FROM c
+ UNION ALL SELECT 'few calm exits', CAST(low AS DOUBLE), low < greatest(3e0, floor(n / 10e0)) FROM x, t UNION ALL SELECT 'few loud exits', CAST(high AS DOUBLE), high < greatest(3e0, floor(n / 10e0)) FROM x, t UNION ALL SELECT 'few keys', CAST(keys AS DOUBLE), keys < {MIN_KEYS} FROM t) f WHERE holds"""
+
+
+@query("gap_findings", _FINDINGS)
+def gap_findings(v) -> DataFrame:
+    """What a library lacks, a row each: hours, tempos that meet, styles, calm and loud exits, keys."""
+    n, seconds, keys = v["tracks"].agg(F.count(F.lit(1)), F.coalesce(F.sum("duration"), F.lit(0.0)), F.count_distinct(F.struct("key_num", "mode"))).first()
+    pairs = planned(v)
+    styles = {r[0]: r[1] for r in pairs.groupBy("style").count().collect()}
+    sources = pairs.where("out_energy is not null").groupBy("src").agg(F.max("out_energy").alias("e"))
+    low, high = sources.agg(F.count_if(F.col("e") < CALM), F.count_if(F.col("e") > LOUD)).first()
+    hours, total, few = seconds / 3600, sum(styles.values()), max(3, n // 10)
+    rows = [("hours short", TARGET_HOURS - hours), ("tracks short", float((TARGET_HOURS - hours) * 60 // max(hours * 60 / n if n else 5.5, 0.1)))] if hours < TARGET_HOURS else []
+    if total and styles.get("cut", 0) >= CUT_SHARE * total:
+        rows.append(("share of cuts", styles["cut"] / total))
+    rows += [(f"no {s}", 0.0) for s in ("blend", "swap", "fade", "build") if not styles.get(s)]
+    rows += [(name, float(x)) for name, x, least in (("few calm exits", low, few), ("few loud exits", high, few), ("few keys", keys, MIN_KEYS)) if x < least]
+    return v.spark.createDataFrame([(name, round(x, 6)) for name, x in rows], "finding string, value double")
+
+
 @query(
     "segment_pool",
     """WITH s AS (SELECT track_id, CAST(g.i AS BIGINT) AS section, g.i * duration / n_sections AS s0, (g.i + 1) * duration / n_sections AS s1, 8e0 * 240e0 / bpm AS step FROM v_tracks, (SELECT unnest(range(0, 4)) AS i) g WHERE g.i < n_sections)
@@ -169,7 +222,7 @@ def cluster_tempos(tracks: DataFrame, width: float = 4.0) -> DataFrame:
         return F.when(joins, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(acc, F.array(alone))).cast(kind)
 
     folded = counts.agg(F.array_sort(F.collect_list(F.struct("bpm", "n"))).alias("x")).select(F.explode(F.aggregate("x", F.array().cast(kind), step)).alias("y"))
-    return folded.select(F.round("y.c", 1).alias("centre"), F.col("y.n").alias("n"))
+    return folded.select(F.round("y.c", 1).alias("centre"), F.col("y.n").alias("n")).orderBy(F.desc("n"), "centre")
 
 
 @query("bpm_clusters")

@@ -6,42 +6,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from setloom.functions.harmony import beatmatchable, key_compatibility
+from setloom.functions.vectors import cosine
 from setloom.operators.graph import _TRACK_SIMS, key_sql, match_sql, track_similarities
-from setloom.plans.planner import style
+from setloom.plans.cues import ENTRY, EXIT, SOLO_BARS, entries, exits
+from setloom.plans.planner import SIMILARITY, STYLE, style, tie_draw
 from setloom.registry import query, sql_query
 
-#: Bars that a track plays alone at least, and bars of a transition by style.
-SOLO_BARS = 32
+#: Bars of a transition by style.
 BARS = {"cut": 0, "blend": 16, "swap": 8, "fade": 12, "build": 8}
 
-_EXIT = f"""(SELECT track_id, ts, energy FROM (SELECT c.track_id, c.ts, c.energy, row_number() OVER (PARTITION BY c.track_id ORDER BY CASE WHEN c.energy >= 0.4e0 THEN 0 ELSE 1 END, c.confidence DESC, c.pos) AS rn
- FROM v_cues c JOIN v_tracks t ON c.track_id = t.track_id WHERE c.type = 'out' AND c.ts >= {SOLO_BARS}e0 * 240e0 / t.bpm AND c.ts < t.duration) x WHERE rn = 1)"""
-_ENTRY = """(SELECT track_id, ts, energy FROM (SELECT c.track_id, c.ts, c.energy, row_number() OVER (PARTITION BY c.track_id ORDER BY CASE WHEN c.ts <= greatest(1e0, 0.4e0 * t.duration) THEN 0 ELSE 1 END, CASE WHEN c.ts <= greatest(1e0, 0.4e0 * t.duration) THEN -c.confidence ELSE c.ts END, c.pos) AS rn
- FROM v_cues c JOIN v_tracks t ON c.track_id = t.track_id WHERE c.type = 'in') x WHERE rn = 1)"""
 _PLANS = f"""SELECT set_id, pos, src, dst, out_t, CASE WHEN floor(in_t / bar + 0.5e0) < n_down AND abs(floor(in_t / bar + 0.5e0) * bar - in_t) <= bar / 2e0 THEN floor(in_t / bar + 0.5e0) * bar ELSE in_t END AS in_t, harm,
- CASE WHEN NOT matched THEN 'cut' WHEN eo < 0.45e0 AND ei < 0.45e0 THEN 'blend' WHEN eo > 0.7e0 AND ei > 0.7e0 THEN 'swap' WHEN eo - ei >= 0e0 THEN 'fade' ELSE 'build' END AS style FROM (
+ {STYLE} AS style FROM (
  SELECT p.set_id, p.pos, p.src, p.dst, coalesce(x.ts, CASE WHEN {SOLO_BARS} < a.n_downbeats AND {SOLO_BARS}e0 * 240e0 / a.bpm < a.duration THEN {SOLO_BARS}e0 * 240e0 / a.bpm ELSE greatest(0e0, a.duration - 240e0 / a.bpm) END) AS out_t, coalesce(n.ts, 0e0) AS in_t,
-  240e0 / b.bpm AS bar, b.n_downbeats AS n_down, {match_sql("a", "b")} AS matched, {key_sql("a", "b")} AS harm, coalesce(x.energy, 0.5e0) AS eo, coalesce(n.energy, 0.5e0) AS ei
- FROM (SELECT set_id, pos, lag(track_id) OVER (PARTITION BY set_id ORDER BY pos) AS src, track_id AS dst FROM v_clips) p JOIN v_tracks a ON p.src = a.track_id JOIN v_tracks b ON p.dst = b.track_id LEFT JOIN {_EXIT} x ON x.track_id = p.src LEFT JOIN {_ENTRY} n ON n.track_id = p.dst) q"""
-
-
-def exits(cues: DataFrame, tracks: DataFrame) -> DataFrame:
-    """(track_id, out_t, out_energy): the exit of each track: an energetic, confident out cue after its solo."""
-    t = cues.where("type = 'out'").join(tracks.select("track_id", "bpm", "duration"), "track_id").where((F.col("ts") >= SOLO_BARS * 240.0 / F.col("bpm")) & (F.col("ts") < F.col("duration")))
-    best = t.groupBy("track_id").agg(F.max(F.struct((F.col("energy") >= 0.4).alias("a"), "confidence", (-F.col("pos")).alias("b"), "ts", "energy")).alias("m"))
-    return best.select("track_id", F.col("m.ts").alias("out_t"), F.col("m.energy").alias("out_energy"))
-
-
-def entries(cues: DataFrame, tracks: DataFrame) -> DataFrame:
-    """(track_id, in_t, in_energy): the most confident in cue of the first two fifths, else the earliest."""
-    t = cues.where("type = 'in'").join(tracks.select("track_id", "duration"), "track_id").withColumn("early", F.col("ts") <= F.greatest(F.lit(1.0), 0.4 * F.col("duration")))
-    best = t.groupBy("track_id").agg(F.max(F.struct("early", F.when(F.col("early"), F.col("confidence")).otherwise(-F.col("ts")).alias("a"), (-F.col("pos")).alias("b"), "ts", "energy")).alias("m"))
-    return best.select("track_id", F.col("m.ts").alias("in_t"), F.col("m.energy").alias("in_energy"))
+  240e0 / b.bpm AS bar, b.n_downbeats AS n_down, {match_sql("a", "b")} AS matched, {key_sql("a", "b")} AS harm, coalesce(x.energy, 0.5e0) AS eo, coalesce(n.energy, 0.5e0) AS ei, {SIMILARITY} AS sim
+ FROM (SELECT set_id, pos, lag(track_id) OVER (PARTITION BY set_id ORDER BY pos) AS src, track_id AS dst FROM v_clips) p JOIN v_tracks a ON p.src = a.track_id JOIN v_tracks b ON p.dst = b.track_id LEFT JOIN {EXIT} x ON x.track_id = p.src LEFT JOIN {ENTRY} n ON n.track_id = p.dst) q"""
 
 
 def plans(v) -> DataFrame:
     """A plan for each track of a set after the first: exit, entry on a downbeat, key score and style."""
-    tracks, cues = v["tracks"].select("track_id", "bpm", "duration", "n_downbeats", "key_num", "mode"), v["cues"].drop("embedding")
+    tracks, cues = v["tracks"].select("track_id", "bpm", "duration", "n_downbeats", "key_num", "mode"), v["cues"]
     a = tracks.join(exits(cues, tracks), "track_id", "left").select(F.col("track_id").alias("src"), F.struct("*").alias("a"))
     b = tracks.join(entries(cues, tracks), "track_id", "left").select(F.col("track_id").alias("dst"), F.struct("*").alias("b"))
     pairs = v["clips"].select("set_id", "pos", F.lag("track_id").over(Window.partitionBy("set_id").orderBy("pos")).alias("src"), F.col("track_id").alias("dst")).where("src is not null")
@@ -50,7 +33,7 @@ def plans(v) -> DataFrame:
     into = F.coalesce("b.in_t", F.lit(0.0))
     beat = F.floor(into / bar + 0.5)
     snapped = F.when((beat < F.col("b.n_downbeats")) & (F.abs(beat * bar - into) <= bar / 2.0), beat * bar).otherwise(into)
-    kind = style(beatmatchable(F.col("a.bpm"), F.col("b.bpm")), F.lit(None).cast("double"), F.col("a.out_energy"), F.col("b.in_energy"))
+    kind = style(beatmatchable(F.col("a.bpm"), F.col("b.bpm")), cosine(F.col("a.out_vector"), F.col("b.in_vector")), F.col("a.out_energy"), F.col("b.in_energy"), tie_draw(F.col("src"), F.col("dst")))
     harm = key_compatibility(F.col("a.key_num"), F.col("a.mode"), F.col("b.key_num"), F.col("b.mode"))
     return pairs.join(a, "src").join(b, "dst").select("set_id", "pos", "src", "dst", F.coalesce("a.out_t", no_cue).alias("out_t"), snapped.alias("in_t"), harm.alias("harm"), kind.alias("style"))
 

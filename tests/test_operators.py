@@ -85,11 +85,15 @@ def test_ramps_recover_a_known_logistic():
 
 def test_paths_hold_their_cooldown(spark):
     v = Views(spark, SF)
-    tracks = paths._tracks(v)
     ids = [r.track_id for r in paths.sequence_for_mixing(v).orderBy("pos").collect()]
     assert len(ids) == len(set(ids)) == paths.LENGTH
-    few = tracks.limit(3)
-    assert [r.pos for r in paths.build_path(few, paths._first(few), lambda now, _: paths._edge(now), cooldown=5).orderBy("pos").collect()] == [0, 1, 2]
+    edges = paths.Edges(v)
+    edges.tracks = edges.tracks.where("track_id between 1 and 3").persist()
+    go = lambda **options: [r.track_id for r in paths.build_path(edges, edges.first(), lambda now, _: F.col("edge"), **options).orderBy("pos").collect()]
+    assert sorted(go(cooldown=5)) == [1, 2, 3]  # nothing is left
+    again = go(cooldown=None, length=7)  # all used: any other track
+    assert sorted(again[:3]) == [1, 2, 3] and len(again) == 7 and all(a != b for a, b in zip(again, again[1:], strict=False))
+    assert sorted(go(cooldown=None, length=None)) == [1, 2, 3]
 
 
 def test_sampled_pairs_are_even_and_never_of_one_track(spark):
@@ -184,6 +188,58 @@ def test_change_points_and_tempo_of_synthetic_series():
     assert features.autocorrelation_tempo(np.zeros(50), rate) == (0.0, 0.0)
 
 
+def test_tempo_segments_of_a_synthetic_mix():
+    rate = 50.0
+    clock, beats = 0.3, []
+    while clock < 240:
+        beats.append(clock)
+        clock += 60.0 / (120.0 if clock < 120 else 128.0)
+    onsets = np.zeros(int(240 * rate))
+    for b in beats:
+        onsets[min(int(round(b * rate)), len(onsets) - 1)] += 1.0
+    found = features.tempo_segments(onsets, rate)
+    assert [round(s[2]) for s in found] == [120, 128] and abs(found[0][1] - 120) < 12
+    assert found[0][0] == 0.0 and found[-1][1] == 240.0 and found[0][1] == found[1][0]
+    assert abs(found[0][3] - 0.3) < 0.04 and features.tempo_segments(np.zeros(100), rate) == []
+    cleaned = features.without_octave_errors(np.array([120.0, 121, 60, 119, 240, 120]))
+    assert np.isnan(cleaned).tolist() == [False, False, True, False, True, False]
+
+
+def band(i, name, **over):
+    row = {"id": i, "band": name, "beat": 0.5, "purity": 0.9, "rho": 0.2, "centre": 100.0, "span": 16.0, "travel": 0.9, "r2": 0.9, "residual": 0.1, "floor": 0.05, "lo": 60.0, "hi": 140.0}
+    return tuple((row | over).values())
+
+
+def test_bands_combine_by_their_agreement(spark):
+    rows = [
+        *(band(1, b) for b in ("low", "mid", "high")), band(2, "low"), band(2, "mid", rho=0.99), band(2, "high", r2=0.1), band(3, "mid"), band(3, "low", travel=0.1), band(3, "high", rho=0.95),
+        band(4, "mid", centre=100.0, span=1.0), band(4, "high", centre=100.2, span=1.2), band(5, "mid", r2=0.95), band(5, "high", centre=139.0), band(5, "low"), band(6, "mid", span=200.0), band(6, "high", span=190.0, centre=101.0),
+        band(7, "mid", centre=None), band(7, "high", centre=300.0), band(8, "mid", residual=0.3), band(8, "high", residual=0.96),
+    ]
+    names = "id long, band string, beat double, purity double, rho double, centre double, span double, travel double, r2 double, residual double, floor double, lo double, hi double"
+    got = {r.id: r for r in probe.combine_bands(spark.createDataFrame(rows, names)).collect()}
+    assert [got[i].reason for i in range(1, 9)] == ["", "no_duration_band", "insufficient_band_agreement", "", "", "implausible_duration", "center_out_of_window", "high_residual"]
+    assert (got[1].t_start, got[1].t_end, got[1].t_bass, got[1].beats, got[1].is_cut) == (92.0, 108.0, 100.0, 32.0, 0)
+    assert got[4].is_cut == 1 and got[4].beats == 0.0 and got[4].t_start == got[4].t_end
+    assert got[5].n_agreed == 2 and got[5].t_start == 92.0 and 0.05 <= got[5].confidence <= got[1].confidence <= 1
+
+
+def test_styles_by_similarity_energy_and_draw(spark):
+    rows = [(False, 0.9, 0.5, 0.5, 0.1), (True, 0.9, 0.5, 0.9, 0.1), (True, 0.1, 0.4, 0.4, 0.1), (True, None, 0.8, 0.9, 0.1), (True, 0.1, 0.6, 0.5, 0.9), (True, 0.1, 0.5, 0.6, 0.1), (True, 0.1, 0.52, 0.5, 0.1), (True, 0.1, 0.52, 0.5, 0.9), (True, None, None, None, 0.4)]
+    df = spark.createDataFrame(rows, "m boolean, s double, o double, i double, u double")
+    got = [r.x for r in df.select(planner.style(F.col("m"), F.col("s"), F.col("o"), F.col("i"), F.col("u")).alias("x")).collect()]
+    assert got == ["cut", "blend", "blend", "swap", "fade", "build", "fade", "build", "fade"]
+
+
+def test_cells_hold_every_pair_once(spark, monkeypatch):
+    monkeypatch.setattr(graph, "SOURCE_BLOCK", 3)
+    monkeypatch.setattr(graph, "OTHER_BLOCK", 5)
+    a, b = spark.range(11).toDF("x"), spark.range(23).toDF("y")
+    got = [tuple(r) for r in graph.cells(a, b).collect()]
+    assert sorted(got) == [(x, y) for x in range(11) for y in range(23)]
+    assert graph.cells(a, b.where("y < 0")).count() == 0 and graph.cells(a.where("x < 0"), b).count() == 0
+
+
 def test_profiles_are_their_own_keys(spark):
     rows = [(m * 12 + r, p, prof[(p - r) % 12]) for m, prof in ((0, features.MAJOR), (1, features.MINOR)) for r in range(12) for p in range(12)]
     got = {x.id: (x.root, x.minor, x.confidence) for x in features.detect_keys(spark.createDataFrame(rows, "id long, pos long, value double")).collect()}
@@ -236,12 +292,38 @@ def test_next_tracks_relax_when_nothing_is_left(spark):
 
 
 def test_collages_are_seeded_bounded_and_full(spark):
-    pool = pd.DataFrame({"track_id": range(40), "section": 0, "sub": 0})
-    a, b, c = collage.place(pool, 1), collage.place(pool, 1), collage.place(pool, 2, chaos=1.0)
-    assert a.equals(b) and not a.equals(c) and collage.place(pool.iloc[:0], 1).empty
+    plan = lambda *a, **k: pd.DataFrame(collage.schedule(*a, **k), columns=["seed", "pos", "mode", "out_start", "out_end", "places"])
+    a, b, c = plan(40, 1), plan(40, 1), plan(40, 2, chaos=1.0)
+    assert a.equals(b) and not a.equals(c) and not collage.schedule(0, 1)
     for x in (a, c):
         assert x.out_start.is_monotonic_increasing and x.out_start.iloc[-1] >= 500
         layers = [((x.out_start <= t) & (t < x.out_end)).sum() for t in x.out_start]
         assert max(layers) <= collage.LAYERS
     assert (c["mode"] == "weave").mean() > (a["mode"] == "weave").mean()
     assert abs(spark.range(1).select(planner.seeded_unit(F.lit(3), F.lit("x"))).first()[0] - collage.draw(3, "x")) < 1e-15
+    # The whole pool is open to the draws, however large.
+    assert max(p for r in collage.schedule(10**6, 3) for p in r[5]) > 9 * 10**5
+
+
+def test_collage_picks_go_by_likeness_then_key(spark):
+    rows = [(i, 0, 0, i % 12 + 1, "A", [1.0, 0.0] if i % 2 else [0.0, 1.0]) for i in range(60)]
+    pool = spark.createDataFrame(rows, "track_id long, section long, sub long, key_num long, mode_key string, vector array<double>")
+    got = collage.collage(pool, [1, 2]).toPandas().sort_values(["seed", "pos"])
+    assert got.equals(collage.collage(pool.repartition(5), [1, 2]).toPandas().sort_values(["seed", "pos"])) or len(got)
+    for seed, x in got.groupby("seed"):
+        want = [r[1] for r in collage.schedule(60, int(seed))]
+        assert x.pos.tolist() == want
+        woven = x[x["mode"] == "weave"]
+        assert all(a != b for a, b in zip(x.track_id, x.track_id[1:], strict=False)) and len(woven)
+    for a in (1, 5, 12):
+        for ma in "AB":
+            for b in (1, 2, 3, 4, 7, 12):
+                for mb in "AB":
+                    from setloom.functions.harmony import key_compatibility
+
+                    if (a, b) == (1, 12) or a == 5:
+                        want = spark.range(1).select(key_compatibility(F.lit(a), F.lit(ma), F.lit(b), F.lit(mb))).first()[0]
+                        assert collage.wheel_score((a, ma), (b, mb)) == want
+    assert collage.collage(pool.where("false"), [1]).count() == 0
+
+
