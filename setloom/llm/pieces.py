@@ -1,16 +1,20 @@
 """Operator 3, SentencePiece encoding and decoding: a max-plus parallel scan.
 
 A text, with one space put before it, is cut into vocabulary pieces so that the sum of piece scores is largest (the
-unigram rule; on equal sums the longer last piece). The file holds merge ranks, not probabilities; a piece's score is
-the logarithm of its Zipf-Mandelbrot frequency at that rank, in thousandths, so that sums are exact. A character of no piece is written as its bytes'
-pieces, so that decoding gives every text back exactly. No piece goes over a cut: a space after something else, or
+unigram rule; on equal sums the longer last piece). The file holds merge ranks, not probabilities, and a max-plus scan
+needs scores that add up: a piece's score is the logarithm of its Zipf-Mandelbrot frequency at that rank, in thousandths,
+so that sums are exact. These ids are therefore not those of the file's own merges. With ``file_ids`` a second column
+holds those, as the sentencepiece library gives them with the file; words are merged on their own, since no piece goes
+over a cut. A character of no piece is written as its bytes' pieces, so that decoding gives every text back exactly. No piece goes over a cut: a space after something else, or
 a side of a line break. Words between cuts are therefore independent, and their pieces are kept in a bounded cache.
 
 Giant texts, over ``giant`` characters, are split into chunks, whose rows spread over the cluster. A chunk yields a
 transfer matrix: entry [s, t] is the best score of going from a piece boundary s characters before the chunk to one
 t characters before its end. Matrices combine associatively in the max-plus semiring, in two levels of bounded
-groups; the scan gives each chunk its entry and exit states, and each is then backtraced on its own. Spans of chunks
-are joined again by text. A chunk's matrix costs its first and last words, and the sum of the words between.
+groups; the scan gives each chunk the best scores of its entry states. From these each chunk knows which entry every exit
+state comes from; these maps, combined from the end, fix the states at all borders, ties included, and each chunk is then
+backtraced on its own, to the same ids as the whole text. Spans of chunks are joined again by text. A chunk's matrix
+costs its first and last words, and the sum of the words between.
 
 Defined results: null and empty texts have no pieces and decode to the empty text; equal rows give equal rows; rows
 are told apart by their place in the input, not by id; extra columns stay where the operator keeps the input's.
@@ -40,7 +44,7 @@ NEVER = -1e18
 #: Chunks whose matrices are multiplied in one group.
 GROUP = 256
 #: Words remembered, twice: those in use and those used before.
-CACHE = 250_000
+CACHE = 150_000
 
 
 class Memo(dict):
@@ -91,9 +95,20 @@ class Pieces:
         self.longest = max(map(len, self.vocab))
         self.unknown = min(s for _, s in self.vocab.values()) - 10_000.0
         self.begins = {w[:k] for w in self.vocab for k in range(1, len(w) + 1)}
+        #: A tree of characters; "" leads to a piece's id and score.
+        self.tree: dict = {}
+        for w, hit in self.vocab.items():
+            node = self.tree
+            for c in w:
+                node = node.setdefault(c, {})
+            node[""] = hit
+        # A message field that comes again is merged: normalizer_spec (3) with add_dummy_prefix (3) off.
+        words = sentencepiece.SentencePieceProcessor()
+        words.LoadFromSerializedProto(model + bytes([3 << 3 | 2, 2, 3 << 3, 0]))
         if any(" " in p.lstrip(" ") or "\n" in p for p in self.vocab):
             raise ValueError("pieces that go over a space or a line break aren't supported")
         self.units = Memo(lambda u: self.solve(u)[0])
+        self.merged = Memo(lambda u: array("i", words.encode(u)).tobytes())
         self.scores = Memo(lambda u: self.solve(u)[1])
 
     _UNITS = re.compile(r" +[^ \n]*|\n+|[^ \n]+")
@@ -125,16 +140,31 @@ class Pieces:
 
     def solve(self, u: str) -> tuple[bytes, float]:
         """Ids (32-bit integers) and score of a stretch that no piece leaves."""
-        score, back = self.best(u, {0: 0.0}, len(u))
-        spans, j = [], len(u)
+        n, tree, longest = len(u), self.tree, self.longest
+        score, back, last = [0.0] + [NEVER] * n, [0] * (n + 1), [-1] * (n + 1)
+        for i in range(n):
+            x, node, j, alone = score[i], tree, i, False
+            for c in u[i : i + longest]:
+                node = node.get(c)
+                if node is None:
+                    break
+                j += 1
+                hit = node.get("")
+                if hit is not None:
+                    alone |= j == i + 1
+                    if x + hit[1] > score[j]:
+                        score[j], back[j], last[j] = x + hit[1], i, hit[0]
+            if not alone and x + self.unknown > score[i + 1]:
+                score[i + 1], back[i + 1], last[i + 1] = x + self.unknown, i, -1
+        ids, j = array("i"), n
         while j:
-            spans.append((back[j], j))
+            if last[j] >= 0:
+                ids.append(last[j])
+            else:
+                ids.extend([self.byte_ids[x] for x in reversed(u[back[j] : j].encode())])
             j = back[j]
-        ids = array("i")
-        for a, b in reversed(spans):
-            hit = self.vocab.get(u[a:b])
-            ids.extend([hit[0]] if hit else [self.byte_ids[x] for x in u[a:b].encode()])
-        return ids.tobytes(), score[-1]
+        ids.reverse()
+        return ids.tobytes(), score[n]
 
     def encode_part(self, t: str) -> bytes:
         return b"".join(map(self.units.__getitem__, self._UNITS.findall(t)))
@@ -143,6 +173,10 @@ class Pieces:
         """The ids of a text, as 32-bit integers in a row."""
         return self.encode_part(" " + text) if text else b""
 
+    def merge(self, text: str | None) -> bytes:
+        """The ids that the file's own merges give, as 32-bit integers in a row."""
+        return b"".join(map(self.merged.__getitem__, self._UNITS.findall(" " + text))) if text else b""
+
     def decode(self, ids: bytes | list[int]) -> str:
         ids = np.frombuffer(ids, np.int32).tolist() if isinstance(ids, bytes) else ids
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")[1:]
@@ -185,6 +219,25 @@ class Pieces:
             tail[e] = score[b - last - e]
         return np.maximum(head[:, None] + mid + tail[None, :], NEVER)
 
+    def origins(self, before: str, chunk: str, alpha: np.ndarray) -> np.ndarray:
+        """For each exit state of the chunk the entry state that the best way to it comes from, given the best scores of the entry states."""
+        t, a = before + chunk, len(before)
+        b = len(t)
+        starts = {a - s: float(x) for s, x in enumerate(alpha[: a + 1]) if x > NEVER}
+        end = next((m for m in range(a, b + 1) if self._is_cut(t, m)), b)
+        if end == a:
+            return np.zeros(self.longest, np.int32)
+        _, back = self.best(t[:end], starts, end, a)
+
+        def entry(j: int) -> int:
+            while j > a:
+                j = back[j]
+            return max(a - j, 0) if j >= 0 else 0
+
+        if end < b:
+            return np.full(self.longest, entry(end), np.int32)
+        return np.array([entry(b - e) if b - e > a else 0 for e in range(self.longest)], np.int32)
+
     def _is_cut(self, t: str, m: int) -> bool:
         """No piece can go over position m."""
         return 0 < m < len(t) and ((t[m] == " " and t[m - 1] != " ") or t[m] == "\n" != t[m - 1] or t[m - 1] == "\n" != t[m])
@@ -195,15 +248,30 @@ def times(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum((x[:, :, None] + y[None, :, :]).max(1), NEVER)
 
 
-def states(mats: list[np.ndarray], start: int, end: int) -> list[int]:
-    """The states at the n + 1 borders of the best way through n matrices."""
-    alpha = [np.full(len(mats[0]), NEVER)]
-    alpha[0][start] = 0.0
+def forward(mats: list[np.ndarray], alpha: np.ndarray | None = None) -> list[np.ndarray]:
+    """The best scores of the states at the n + 1 borders; from a text's begin if ``alpha`` isn't given."""
+    if alpha is None:
+        alpha = np.full(len(mats[0]), NEVER)
+        alpha[0] = 0.0
+    out = [alpha]
     for m in mats:
-        alpha.append(np.maximum((alpha[-1][:, None] + m).max(0), NEVER))
+        out.append(np.maximum((out[-1][:, None] + m).max(0), NEVER))
+    return out
+
+
+def joined(maps: list[np.ndarray]) -> np.ndarray:
+    """The map from exit to entry states of chunks in a row."""
+    out = maps[-1]
+    for m in reversed(maps[:-1]):
+        out = m[out]
+    return out
+
+
+def borders(maps: list[np.ndarray], end: int = 0) -> list[int]:
+    """The states at the n + 1 borders of the way that ends in ``end``."""
     out = [end]
-    for x, m in zip(reversed(alpha[:-1]), reversed(mats), strict=True):
-        out.append(int((x + m[:, out[-1]]).argmax()))
+    for m in reversed(maps):
+        out.append(int(m[out[-1]]))
     return out[::-1]
 
 
@@ -234,12 +302,20 @@ def _id_lists(rows: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(rows), np.int32)))
 
 
-def _encode_rows(batches: Iterator[pa.RecordBatch], shared: Shared, keep: list[str], digest: bool) -> Iterator[pa.RecordBatch]:
+def _encode_rows(batches: Iterator[pa.RecordBatch], shared: Shared, keep: list[str], digest: bool, file_ids: bool) -> Iterator[pa.RecordBatch]:
     p = shared.get()
     for b in (x.slice(at, SLICE) for x in batches for at in range(0, x.num_rows, SLICE)):
-        rows = [p.encode(t.as_py()) for t in b.column("text")]
+        texts = b.column("text").to_pylist()
+        rows = [p.encode(t) for t in texts]
+        own = [_id_lists([p.merge(t) for t in texts])] if file_ids else []
         more = _digests(p, rows) if digest else []
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), _id_lists(rows), *more], [*keep, "ids", *(_DIGESTS if digest else [])])
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), _id_lists(rows), *own, *more], [*keep, "ids", *["file_ids"] * file_ids, *(_DIGESTS if digest else [])])
+
+
+def _merge_rows(batches: Iterator[pa.RecordBatch], shared: Shared) -> Iterator[pa.RecordBatch]:
+    p = shared.get()
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(_ROW), _id_lists([p.merge(t.as_py()) for t in b.column("text")])], [_ROW, "file_ids"])
 
 
 #: Rows of an Arrow batch that are encoded at once.
@@ -290,15 +366,42 @@ def _product(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({_ROW: [pdf[_ROW].iloc[0]], "g": [pdf["g"].iloc[0]], "m": [out.tobytes()]})
 
 
-def _borders(pdf: pd.DataFrame) -> pd.DataFrame:
+def _group_alphas(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("g")
-    s = states([_load(m) for m in pdf["m"]], 0, 0)
-    return pd.DataFrame({_ROW: pdf[_ROW].to_numpy(), "g": pdf["g"].to_numpy(), "enter": s[:-1], "leave": s[1:]})
+    alphas = forward([_load(m) for m in pdf["m"]])
+    return pd.DataFrame({_ROW: pdf[_ROW].to_numpy(), "g": pdf["g"].to_numpy(), "alpha": [x.tobytes() for x in alphas[:-1]]})
+
+
+def _alphas(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("k")
+    alphas = forward([_load(m) for m in pdf["m"]], np.frombuffer(pdf["alpha"].iloc[0]))
+    return pd.DataFrame({_ROW: pdf[_ROW].to_numpy(), "k": pdf["k"].to_numpy(), "alpha": [x.tobytes() for x in alphas[:-1]]})
+
+
+def _origins(batches: Iterator[pa.RecordBatch], shared: Shared) -> Iterator[pa.RecordBatch]:
+    p = shared.get()
+    for b in batches:
+        maps = [p.origins(x, y, np.frombuffer(z)).tobytes() for x, y, z in zip(*(b.column(c).to_pylist() for c in ("before", "chunk", "alpha")), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column(_ROW), b.column("k"), pa.array(maps, pa.binary())], [_ROW, "k", "f"])
+
+
+def _maps(pdf: pd.DataFrame) -> list[np.ndarray]:
+    return [np.frombuffer(f, np.int32) for f in pdf["f"]]
+
+
+def _joined(pdf: pd.DataFrame) -> pd.DataFrame:
+    f = joined(_maps(pdf.sort_values("k")))
+    return pd.DataFrame({_ROW: [pdf[_ROW].iloc[0]], "g": [pdf["g"].iloc[0]], "f": [f.tobytes()]})
+
+
+def _group_borders(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("g")
+    return pd.DataFrame({_ROW: pdf[_ROW].to_numpy(), "g": pdf["g"].to_numpy(), "end": borders(_maps(pdf))[1:]})
 
 
 def _inner(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("k")
-    s = states([_load(m) for m in pdf["m"]], int(pdf["enter"].iloc[0]), int(pdf["leave"].iloc[0]))
+    s = borders(_maps(pdf), int(pdf["end"].iloc[0]))
     return pd.DataFrame({_ROW: pdf[_ROW].to_numpy(), "k": pdf["k"].to_numpy(), "enter": s[:-1], "leave": s[1:]})
 
 
@@ -319,8 +422,12 @@ def encode_giants(rows: DataFrame, shared: Shared, *, chunk: int, reach: int) ->
     mats = cut.mapInArrow(lambda it: _matrices(it, shared), f"{_ROW} long, k long, m binary").withColumn("g", F.floor(F.col("k") / GROUP))
     mats = stage(mats, "pieces-matrices")
     products = mats.groupBy(_ROW, "g").applyInPandas(_product, f"{_ROW} long, g long, m binary")
-    borders = products.groupBy(_ROW).applyInPandas(_borders, f"{_ROW} long, g long, enter int, leave int")
-    inner = mats.join(borders, [_ROW, "g"]).groupBy(_ROW, "g").applyInPandas(_inner, f"{_ROW} long, k long, enter int, leave int")
+    starts = products.groupBy(_ROW).applyInPandas(_group_alphas, f"{_ROW} long, g long, alpha binary")
+    alphas = mats.join(starts, [_ROW, "g"]).groupBy(_ROW, "g").applyInPandas(_alphas, f"{_ROW} long, k long, alpha binary")
+    maps = cut.join(alphas, [_ROW, "k"]).select(_ROW, "k", "before", "chunk", "alpha").mapInArrow(lambda it: _origins(it, shared), f"{_ROW} long, k long, f binary")
+    maps = stage(maps.withColumn("g", F.floor(F.col("k") / GROUP)), "pieces-maps")
+    ends = maps.groupBy(_ROW, "g").applyInPandas(_joined, f"{_ROW} long, g long, f binary").groupBy(_ROW).applyInPandas(_group_borders, f"{_ROW} long, g long, end int")
+    inner = maps.join(ends, [_ROW, "g"]).groupBy(_ROW, "g").applyInPandas(_inner, f"{_ROW} long, k long, enter int, leave int")
     parts = cut.join(inner, [_ROW, "k"]).select(_ROW, "k", "before", "chunk", "enter", "leave").mapInArrow(lambda it: _backtrace(it, shared), f"{_ROW} long, k long, ids array<int>")
     joined = parts.groupBy(_ROW).agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("x"))
     return joined.select(_ROW, F.flatten(F.transform("x", lambda x: x["ids"])).alias("ids"))
@@ -329,18 +436,25 @@ def encode_giants(rows: DataFrame, shared: Shared, *, chunk: int, reach: int) ->
 _DIGEST_FIELDS = [T.StructField("n_pieces", T.LongType()), T.StructField("n_chars", T.LongType()), T.StructField("decoded_sha256", T.StringType())]
 
 
-def encode(docs: DataFrame, keep: list[str], *, model: str = MODEL, giant: int = 65_536, chunk: int = 16_384, digest: bool = False) -> DataFrame:
-    """The columns ``keep`` and ids of every row, with ``digest`` also what they decode to. Only giant texts move between tasks."""
+def encode(docs: DataFrame, keep: list[str], *, model: str = MODEL, giant: int = 65_536, chunk: int = 16_384, digest: bool = False, file_ids: bool = False) -> DataFrame:
+    """The columns ``keep`` and ids of every row, with ``file_ids`` also those of the file's own merges, with ``digest`` also what the ids decode to.
+
+    Only giant texts move between tasks.
+    """
     shared = Shared(docs.sparkSession, model)
     reach = shared.get().longest - 1
     rows = with_row_id(docs.select(*keep, *({"text"} - set(keep))))
     small = rows.where(F.coalesce(F.length("text") <= giant, F.lit(True)))
     large = rows.where(F.length("text") > giant)
-    plain = T.StructType([*rows.select(*keep).schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    lists = [T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("ids", *["file_ids"] * file_ids)]
+    plain = T.StructType([*rows.select(*keep).schema.fields, *lists])
     schema = T.StructType([*plain.fields, *_DIGEST_FIELDS]) if digest else plain
-    out = small.mapInArrow(lambda it: _encode_rows(it, shared, keep, digest), schema)
+    out = small.mapInArrow(lambda it: _encode_rows(it, shared, keep, digest, file_ids), schema)
     ids = encode_giants(large.select(_ROW, "text"), shared, chunk=max(chunk, 2 * reach), reach=reach)
-    giants = large.select(*keep, _ROW).join(ids, _ROW).select(*keep, "ids")
+    giants = large.select(*keep, _ROW).join(ids, _ROW)
+    if file_ids:
+        giants = giants.join(large.select(_ROW, "text").mapInArrow(lambda it: _merge_rows(it, shared), f"{_ROW} long, file_ids array<int>"), _ROW)
+    giants = giants.select(*keep, *(f.name for f in lists))
     return out.unionByName(giants.mapInArrow(lambda it: _digest_rows(it, shared), schema) if digest else giants)
 
 
@@ -362,7 +476,7 @@ def decode(encoded: DataFrame, *, model: str = MODEL) -> DataFrame:
 
 
 def tokenize(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), **options) -> DataFrame:
-    """``keep``, ids, n_pieces, n_chars and decoded_sha256 (of the decoded text's bytes) of every row."""
+    """``keep``, ids (with ``file_ids`` both kinds), n_pieces, n_chars and decoded_sha256 (of the decoded text's bytes) of every row."""
     return encode(docs, list(keep), digest=True, **options)
 
 

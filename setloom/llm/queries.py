@@ -19,7 +19,7 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.tokenize(table(spark, sf_dir, "documents"))
+    return pieces.tokenize(table(spark, sf_dir, "documents"), file_ids=True)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

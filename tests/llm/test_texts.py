@@ -93,15 +93,44 @@ def test_lines_equal_the_library(vocabulary):
             assert numbers(vocabulary.encode(t)) == library.encode(t)
 
 
+def test_file_ids_are_those_of_the_library(vocabulary, spark):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    rng = random.Random(8)
+    mixed = ["".join(rng.choice(["the", "ing", " ", "  ", "\n", "é", "x", "tion", "你", " of", "\t", "\u00a0", "Ｆ", "ﬁ", "0", ".", "\u0301", "\U0001f600"]) for _ in range(rng.randint(1, 120))) for _ in range(200)]
+    docs = [r.text for r in table(spark, SF, "documents").select("text").collect()]
+    for t in [*edge_texts(), *mixed, *docs]:
+        if t:
+            assert numbers(vocabulary.merge(t)) == library.encode(t), t[:80]
+
+
+def test_words_equal_the_general_recurrence(vocabulary):
+    rng = random.Random(4)
+    for _ in range(400):
+        u = "".join(rng.choice(["the", "ing", "é", "x", "tion", "你", "of", "▁", "\x01", "zz"]) for _ in range(rng.randint(1, 8)))
+        score, back = vocabulary.best(u, {0: 0.0}, len(u))
+        spans, j = [], len(u)
+        while j:
+            spans.append(u[back[j] : j])
+            j = back[j]
+        want = [i for s in reversed(spans) for i in ([vocabulary.vocab[s][0]] if s in vocabulary.vocab else [vocabulary.byte_ids[x] for x in s.encode()])]
+        assert numbers(vocabulary.solve(u)[0]) == want and vocabulary.solve(u)[1] == score[-1]
+
+
 def test_chunks_give_the_best_way_of_the_whole(vocabulary):
     rng, k = random.Random(3), vocabulary.longest
     for trial in range(120):
         n = rng.randint(1, 300)
         t = "".join(rng.choice(["the", "ing", " ", "  ", "\n", "é", "x", "▁", "tion", "你", " of"]) for _ in range(n)) if trial % 3 else "".join(rng.choice("abethinglor") for _ in range(3 * n))
+        t = rng.choice(["x", "ab", "é", "aab"]) * n if trial % 10 == 0 else t  # many ties
         full, size = " " + t, rng.choice([2 * k, 40, 64])
         chunks = [(full[max(0, a - k + 1) : a], full[a : a + size]) for a in range(0, len(full), size)]
         mats = [vocabulary.matrix(x, y) for x, y in chunks]
-        s, ids = pieces.states(mats, 0, 0), b""
+        alphas = pieces.forward(mats)
+        maps = [vocabulary.origins(x, y, z) for (x, y), z in zip(chunks, alphas, strict=False)]
+        s, ids = pieces.borders(maps), b""
+        assert s[0] == 0 == pieces.joined(maps)[0]
         for (x, y), enter, leave in zip(chunks, s, s[1:], strict=False):
             z = x[len(x) - enter :] + y
             ids += vocabulary.encode_part(z[: len(z) - leave])
@@ -110,14 +139,18 @@ def test_chunks_give_the_best_way_of_the_whole(vocabulary):
             product = pieces.times(product, m)
         best = vocabulary.score(numbers(vocabulary.encode(t)))
         assert product[0, 0] == best == vocabulary.score(numbers(ids)) and vocabulary.decode(ids) == t
+        assert ids == vocabulary.encode(t)
 
 
 def test_texts_come_back_whole(spark, vocabulary, monkeypatch):
     monkeypatch.setattr(pieces, "GROUP", 3)
     texts = edge_texts()
     docs = documents(spark, texts, [None, *range(1, len(texts) - 1), 1])
+    whole = sorted((r.decoded_sha256, r.ids, r.file_ids) for r in pieces.tokenize(docs, file_ids=True).collect())
+    assert whole == sorted((hashlib.sha256((t or "").encode()).hexdigest(), numbers(vocabulary.encode(t)), numbers(vocabulary.merge(t))) for t in texts)
     for giant in (65_536, 60):
-        got = pieces.tokenize(docs, giant=giant, chunk=64).collect()
+        got = pieces.tokenize(docs, giant=giant, chunk=64, file_ids=True).collect()
+        assert sorted((r.decoded_sha256, r.ids, r.file_ids) for r in got) == whole  # the same ids on either side of the switch
         assert sorted(r.decoded_sha256 for r in got) == sorted(hashlib.sha256((t or "").encode()).hexdigest() for t in texts)
         assert sum(r.n_pieces for r in got) == sum(len(r.ids) for r in got)
         assert abs(sum(vocabulary.score(r.ids) for r in got) - sum(vocabulary.score(numbers(vocabulary.encode(t))) for t in texts)) < 1e-3
