@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -78,7 +79,39 @@ def test_licenses_equal_brute_force(spark):
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (n, base, first, last, labels)
         assert set(filter(None, labels.split(","))) <= set(filter(None, r.labels.split(","))) and 0 <= r.score <= 1
     assert "apache-2.0" in got[len(texts) - 3].labels and "mit" in got[len(texts) - 1].labels
-    assert len(licenses.signatures()) > 300
+    patterns = [s.pattern for s in licenses.signatures()]
+    assert len(patterns) == len(set(patterns)) > 600 and len(licenses.SENTENCES) >= 95
+
+
+def license_texts(n: int) -> list[str]:
+    import random
+
+    rng = random.Random(12)
+    parts = ["Licensed under the", "released under the terms of the", "license", "licence", "version 2.0", "3.0", "v2", "SPDX-License-Identifier:", "MPL-2.0", "EPL-2.0", "GPL-3.0-or-later", "OFL-1.1", "BSL-1.0", "MS-PL", "EUPL-1.2", "CC BY-NC-SA 4.0", "cc by", "creativecommons.org/licenses/by-sa/3.0", "All rights reserved.", "GNU General Public License", "the river", "and"]
+    names = [re.sub(r"\(\?:([^|)]*)[^)]*\)\??", r"\1", x[2]) for x in licenses.LICENSES]
+    sentences = [re.sub(r"\(\?:([^|)]*)[^)]*\)\??|\\d\{4\}|\.\{0,40\}", lambda m: m[1] or "2019", x[2]) for x in licenses.SENTENCES]
+    return [" ".join(rng.choice([rng.choice(parts), rng.choice(names), rng.choice(sentences)]) for _ in range(rng.randint(3, 40))) for _ in range(n)] + sentences
+
+
+def test_license_labels_equal_brute_force(spark):
+    texts = license_texts(120)
+    got = {r.doc_id: sorted((d.first, d.last, d.label) for d in r.detections) for r in licenses.scan(documents(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == licenses.brute_detections(t), t
+    named = {label for x in got.values() for _, _, label in x}
+    assert {"mpl-2.0", "epl-2.0", "gpl-3.0", "ofl-1.1", "boost-1.0", "ms-pl", "eupl-1.2", "cc-by-nc-sa-4.0"} <= named and len(named) > 80
+
+
+def test_many_license_matches_take_linear_time():
+    import time
+
+    scanner = licenses.Scanner()
+    text = pa.array(["cc by nc 4.0 " * 80_000])
+    from setloom.llm.common import text_blocks
+
+    t = time.process_time()
+    rows = [x for _, _, data, offsets in text_blocks(text) for x in scanner.block(data, offsets)]
+    assert time.process_time() - t < 8 and len(rows[0][5]) == 80_000 and rows[0][1] == 80_000
 
 
 def test_contained_detections_are_suppressed():
