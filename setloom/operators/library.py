@@ -141,13 +141,13 @@ def tracklist_monotone(v) -> DataFrame:
 @query(
     "cue_sheet",
     """WITH s AS (SELECT CAST(o_orderkey AS BIGINT) AS sheet, concat('TRACK 01 AUDIO', chr(10), 'TITLE "', o_orderpriority, '"', chr(10), 'PERFORMER "', o_orderstatus, '"', chr(10), 'INDEX 01 ', lpad(CAST(o_orderkey % 60 AS VARCHAR(20)), 2, '0'), ':', lpad(CAST((o_orderkey * 7) % 60 AS VARCHAR(20)), 2, '0'), ':', lpad(CAST(o_orderkey % 75 AS VARCHAR(20)), 2, '0')) AS raw FROM orders)
-SELECT sheet, CAST(1 AS BIGINT) AS track, regexp_extract(raw, 'TITLE "([^"]*)"', 1) AS title, regexp_extract(raw, 'PERFORMER "([^"]*)"', 1) AS performer, round(60e0 * CAST(regexp_extract(raw, 'INDEX 01 ([0-9]+):', 1) AS DOUBLE) + CAST(regexp_extract(raw, 'INDEX 01 [0-9]+:([0-9]+)', 1) AS DOUBLE) + CAST(regexp_extract(raw, ':([0-9]+)$', 1) AS DOUBLE) / 75e0, 6) AS t FROM s""",
+SELECT sheet, CAST(2 AS BIGINT) AS track, NULL AS title, 'Second' AS performer, 4200e0 AS t FROM s UNION ALL SELECT sheet, CAST(1 AS BIGINT) AS track, regexp_extract(raw, 'TITLE "([^"]*)"', 1) AS title, regexp_extract(raw, 'PERFORMER "([^"]*)"', 1) AS performer, round(60e0 * CAST(regexp_extract(raw, 'INDEX 01 ([0-9]+):', 1) AS DOUBLE) + CAST(regexp_extract(raw, 'INDEX 01 [0-9]+:([0-9]+)', 1) AS DOUBLE) + CAST(regexp_extract(raw, ':([0-9]+)$', 1) AS DOUBLE) / 75e0, 6) AS t FROM s""",
 )
 def cue_sheet(v) -> DataFrame:
     """Cue sheets, line by line: a TRACK opens a block, whose first TITLE, PERFORMER and INDEX 01 count."""
     key = F.col("o_orderkey")
     two = lambda x: F.lpad(x.cast("string"), 2, "0")
-    raw = F.concat(F.lit('TRACK 01 AUDIO\nTITLE "'), "o_orderpriority", F.lit('"\nPERFORMER "'), "o_orderstatus", F.lit('"\nINDEX 01 '), two(key % 60), F.lit(":"), two((key * 7) % 60), F.lit(":"), two(key % 75))
+    raw = F.concat(F.lit('TRACK 01 AUDIO\nTITLE "'), "o_orderpriority", F.lit('"\nPERFORMER "'), "o_orderstatus", F.lit('"\nINDEX 01 '), two(key % 60), F.lit(":"), two((key * 7) % 60), F.lit(":"), two(key % 75), F.lit('\nTRACK 02 AUDIO\n  PERFORMER "Second"\n  INDEX 00 69:58:00\n  INDEX 01 70:00:00\nTRACK 03 AUDIO\n  TITLE "no time"'))
     return parse_cue_sheets(v.table("orders").select(key.cast("long").alias("sheet"), raw.alias("raw")))
 
 
@@ -191,6 +191,36 @@ def length_parse(v) -> DataFrame:
     return v["tracks"].select("track_id", raw.alias("raw")).withColumn("seconds", text.length_seconds(F.col("raw")))
 
 
+_DOT = "length(file) - strpos(reverse(file), '.') + 1"
+
+
+@query(
+    "destinations",
+    f"""SELECT track_id, concat(folder, '/', left(CASE WHEN artist <> '' AND artist <> own THEN concat(artist, ' - ', own) ELSE own END, 120), '.flac') AS path FROM (SELECT track_id, creator AS folder, trim(regexp_replace(translate(concat(creator, '?'), '<>:"/\\|?*', '         '), ' +', ' ', 'g'), ' .') AS artist,
+ trim(regexp_replace(translate(own, '<>:"/\\|?*', '         '), ' +', ' ', 'g'), ' .') AS own FROM (SELECT track_id, split_part(file_path, '/', 3) AS creator, CASE WHEN track_id % 3 = 0 THEN left(file, {_DOT} - 1) ELSE concat(title, ' / mix: ', CAST(track_id AS VARCHAR), '.') END AS own FROM (SELECT *, split_part(file_path, '/', -1) AS file FROM v_tracks) f) a) b""",
+)
+def destinations(v) -> DataFrame:
+    """Where each track's file goes; every third track has no title of its own."""
+    file, creator = F.element_at(F.split("file_path", "/"), -1), F.element_at(F.split("file_path", "/"), 3)
+    own = F.when(F.col("track_id") % 3 != 0, F.concat("title", F.lit(" / mix: "), F.col("track_id").cast("string"), F.lit(".")))
+    return v["tracks"].select("track_id", text.destination(creator, F.concat(creator, F.lit("?")), own, file, F.col("track_id").cast("string")).alias("path"))
+
+
+@query("source_addresses", "SELECT track_id, concat('http://host/download/', replace(replace(url_encode(file_path), '%2F', '/'), '+', '%20')) AS address, file_path AS back FROM v_tracks")
+def source_addresses(v) -> DataFrame:
+    """Addresses of files, and the paths read back from them."""
+    address = F.concat(F.lit("http://host/download/"), text.quoted(F.col("file_path")))
+    return v["tracks"].select("track_id", address.alias("address")).withColumn("back", text.unquoted(F.substring_index("address", "/download/", -1)))
+
+
+@query("unwrapped_fields", "SELECT track_id, CASE track_id % 4 WHEN 0 THEN title WHEN 1 THEN title WHEN 2 THEN '' ELSE '' END AS creator FROM v_tracks")
+def unwrapped_fields(v) -> DataFrame:
+    """A field of metadata that is a text, a list, an empty list or absent."""
+    i, title = F.col("track_id") % 4, F.to_json(F.struct("title"))
+    doc = F.when(i == 0, F.replace(title, F.lit('"title"'), F.lit('"creator"'))).when(i == 1, F.to_json(F.struct(F.array("title", F.lit("other")).alias("creator")))).when(i == 2, F.lit('{"creator": []}')).otherwise("{}")
+    return v["tracks"].select("track_id", text.first_value(doc, "$.creator").alias("creator"))
+
+
 @query("license_codes", "SELECT CASE WHEN contains(license, 'publicdomain') THEN 'cc0' ELSE regexp_extract(license, '/licenses/([a-z-]+)', 1) END AS code, count(*) AS n FROM v_candidates GROUP BY 1")
 def license_codes(v) -> DataFrame:
     return v["candidates"].groupBy(text.licence_code(F.col("license")).alias("code")).agg(F.count(F.lit(1)).alias("n"))

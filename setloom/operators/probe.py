@@ -28,20 +28,29 @@ def two_source_weights(aa: Column, ab: Column, bb: Column, ax: Column, bx: Colum
 @query(
     "nnls_unmix",
     """WITH d AS (SELECT x.vec_id, list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) AS aa, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS ab, list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS bb,
- list_dot_product(a.embedding::DOUBLE[], x.embedding::DOUBLE[]) AS ax, list_dot_product(b.embedding::DOUBLE[], x.embedding::DOUBLE[]) AS bx FROM embeddings x JOIN embeddings a ON a.vec_id = x.vec_id + 1 JOIN embeddings b ON b.vec_id = x.vec_id + 2),
+ list_dot_product(a.embedding::DOUBLE[], x.embedding::DOUBLE[]) AS ax, list_dot_product(b.embedding::DOUBLE[], x.embedding::DOUBLE[]) AS bx, list_dot_product(x.embedding::DOUBLE[], x.embedding::DOUBLE[]) AS xx FROM embeddings x JOIN embeddings a ON a.vec_id = x.vec_id + 1 JOIN embeddings b ON b.vec_id = x.vec_id + 2),
 s AS (SELECT *, aa * bb - ab * ab AS det, CASE WHEN aa > 0 THEN greatest(0e0, ax / aa) ELSE 0e0 END AS oa, CASE WHEN bb > 0 THEN greatest(0e0, bx / bb) ELSE 0e0 END AS ob FROM d),
 r AS (SELECT *, det > 1e-12 AND (bb * ax - ab * bx) / det >= 0e0 AND (aa * bx - ab * ax) / det >= 0e0 AS ok, oa * (2e0 * ax - oa * aa) >= ob * (2e0 * bx - ob * bb) AS a_wins FROM s)
-SELECT CAST(vec_id AS BIGINT) AS vec_id, round(CASE WHEN ok THEN (bb * ax - ab * bx) / det WHEN a_wins THEN oa ELSE 0e0 END, 5) AS weight_a, round(CASE WHEN ok THEN (aa * bx - ab * ax) / det WHEN a_wins THEN 0e0 ELSE ob END, 5) AS weight_b FROM r""",
+SELECT CAST(vec_id AS BIGINT) AS vec_id, round(wa, 5) AS weight_a, round(wb, 5) AS weight_b, round(sqrt(greatest(0e0, xx - 2e0 * (wa * ax + wb * bx) + wa * wa * aa + 2e0 * wa * wb * ab + wb * wb * bb) / greatest(xx, 1e-12)), 4) AS residual
+FROM (SELECT *, CASE WHEN ok THEN (bb * ax - ab * bx) / det WHEN a_wins THEN oa ELSE 0e0 END AS wa, CASE WHEN ok THEN (aa * bx - ab * ax) / det WHEN a_wins THEN 0e0 ELSE ob END AS wb FROM r) w""",
 )
 def nnls_unmix(v) -> DataFrame:
-    """Each vector as a sum of the next two."""
+    """Each vector as a sum of the next two, and what that leaves."""
     e = v.table("embeddings").select("vec_id", "embedding")
     shifted = lambda n, name: e.select((F.col("vec_id") - n).alias("vec_id"), F.col("embedding").alias(name))
     both = e.join(shifted(1, "a"), "vec_id").join(shifted(2, "b"), "vec_id")
     a, b, x = F.col("a"), F.col("b"), F.col("embedding")
-    d = both.select(F.col("vec_id").cast("long").alias("vec_id"), dot(a, a).alias("aa"), dot(a, b).alias("ab"), dot(b, b).alias("bb"), dot(a, x).alias("ax"), dot(b, x).alias("bx"))
+    d = both.select(F.col("vec_id").cast("long").alias("vec_id"), dot(a, a).alias("aa"), dot(a, b).alias("ab"), dot(b, b).alias("bb"), dot(a, x).alias("ax"), dot(b, x).alias("bx"), dot(x, x).alias("xx"))
     wa, wb = two_source_weights(*[F.col(c) for c in ("aa", "ab", "bb", "ax", "bx")])
-    return d.select("vec_id", F.round(wa, 5).alias("weight_a"), F.round(wb, 5).alias("weight_b"))
+    d = d.withColumn("wa", wa).withColumn("wb", wb)
+    return d.select("vec_id", F.round("wa", 5).alias("weight_a"), F.round("wb", 5).alias("weight_b"), F.round(residual(), 4).alias("residual"))
+
+
+def residual() -> Column:
+    """What the weighted sources leave of the third, as a share of its length."""
+    c = F.col
+    left = c("xx") - 2 * (c("wa") * c("ax") + c("wb") * c("bx")) + c("wa") * c("wa") * c("aa") + 2 * c("wa") * c("wb") * c("ab") + c("wb") * c("wb") * c("bb")
+    return F.sqrt(F.greatest(F.lit(0.0), left) / F.greatest(c("xx"), F.lit(1e-12)))
 
 
 #: The gates of a band and of a transition.
@@ -121,6 +130,25 @@ def band_combine(v) -> DataFrame:
     return combine_bands(v.sql(_BANDS))
 
 
+_MINED = f"""SELECT t.mix_id, t.idx, CASE WHEN c.reason = '' THEN 'ok' ELSE 'rejected' END AS status, nullif(c.reason, '') AS reject_reason, c.t_start, c.t_end, round(c.beats / 4e0, 3) AS bars, c.is_cut, c.confidence,
+ lead(t.announced_t) OVER (PARTITION BY t.mix_id ORDER BY t.idx) - t.announced_t AS dwell, t.announced_t - max(CASE WHEN c.reason = '' THEN c.t_end END) OVER (PARTITION BY t.mix_id ORDER BY t.idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS solo FROM v_transitions t JOIN ({_COMBINED}) c ON c.id = 1000 * t.mix_id + t.idx"""
+
+
+def mine(announced: DataFrame, bands: DataFrame) -> DataFrame:
+    """A row a boundary of rows (id, mix_id, idx, announced_t) and their bands: measured or refused, refused ones kept, with the time to the next and since the last measured one's end."""
+    w = Window.partitionBy("mix_id").orderBy("idx")
+    rows = announced.join(combine_bands(bands), "id")
+    ok = F.col("reason") == ""
+    last = F.max(F.when(ok, F.col("t_end"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return rows.select("mix_id", "idx", F.when(ok, "ok").otherwise("rejected").alias("status"), F.nullif("reason", F.lit("")).alias("reject_reason"), "t_start", "t_end", F.round(F.col("beats") / 4, 3).alias("bars"), "is_cut", "confidence", (F.lead("announced_t").over(w) - F.col("announced_t")).alias("dwell"), (F.col("announced_t") - last).alias("solo"))
+
+
+@query("mined_transitions", _MINED)
+def mined_transitions(v) -> DataFrame:
+    announced = v["transitions"].select((1000 * F.col("mix_id") + F.col("idx")).alias("id"), "mix_id", "idx", "announced_t")
+    return mine(announced, v.sql(_BANDS))
+
+
 @query("band_guards", f"SELECT band, reason, count(*) AS n FROM ({_GUARDED}) g GROUP BY band, reason")
 def band_guards(v) -> DataFrame:
     return v.sql(_BANDS).groupBy("band", band_reason().alias("reason")).agg(F.count(F.lit(1)).alias("n"))

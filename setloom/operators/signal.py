@@ -68,6 +68,27 @@ def limiter(v) -> DataFrame:
     return v["energy"].select("track_id", "sec", "value").groupBy("track_id").applyInPandas(run, "track_id long, sec long, gain double")
 
 
+#: Frames of the spectra, of the low band and of the others; crossovers and how far bands stay from them.
+SIZE_LOW, SIZE, HOP = 8192, 2048, 512
+CROSSOVERS, ABOVE, BELOW = (200.0, 2600.0), 1.5, 0.8
+
+
+def band_bins(size: int, rate: float, band: str) -> slice:
+    """The bins of a band's inner part: low, mid or high."""
+    edges = {"low": (20.0, CROSSOVERS[0] * BELOW), "mid": (CROSSOVERS[0] * ABOVE, CROSSOVERS[1] * BELOW), "high": (CROSSOVERS[1] * ABOVE, np.inf)}[band]
+    at = np.arange(size // 2 + 1) * rate / size
+    return slice(int(np.searchsorted(at, edges[0])), int(np.searchsorted(at, edges[1])))
+
+
+def band_spectra(signal: np.ndarray, rate: float) -> dict[str, np.ndarray]:
+    """Power spectra by band: long frames for the low one, whose pitches lie close, short ones for the others."""
+    out = {}
+    for band, size in (("low", SIZE_LOW), ("mid", SIZE), ("high", SIZE)):
+        own = np.pad(signal, size // 2)  # frames are centred: as many at both sizes
+        out[band] = spectra(own, size, HOP)[:, band_bins(size, rate, band)]
+    return out
+
+
 def spectra(frames: np.ndarray, size: int = 256, hop: int = 64) -> np.ndarray:
     """Power spectra of windowed frames of a signal, one row a frame."""
     if len(frames) < size:

@@ -27,7 +27,7 @@ MODES = ("weave", "feature", "breathe")
 
 def draw(*parts: object) -> float:
     """The same draw as ``seeded_unit``, in Python."""
-    return int(hashlib.sha256("|".join(map(str, parts)).encode()).hexdigest()[:13], 16) / (1 << 52)
+    return int(hashlib.sha256("|".join(map(str, parts)).encode()).hexdigest()[:16], 16) / (1 << 64)
 
 
 def pick(weights: dict[str, float], u: float) -> str:
@@ -143,7 +143,7 @@ def tone_move(mode: Column, layers: Column, u: Column, w: Column, chaos: float =
     return F.when(mode == "feature", "flat").when(mode == "breathe", F.when(u < 0.3, "sweep_in").otherwise("flat")).when((layers >= 2) & (u < 0.5 + 0.3 * chaos), "lowcut").otherwise(alone)
 
 
-_U = "(CAST(concat('0x', substr(sha256(concat_ws('|', CAST(set_id AS VARCHAR), CAST(pos AS VARCHAR), '{x}')), 1, 13)) AS BIGINT) / 4503599627370496e0)"
+_U = "(CAST(concat('0x', substr(sha256(concat_ws('|', CAST(set_id AS VARCHAR), CAST(pos AS VARCHAR), '{x}')), 1, 16)) AS UBIGINT) / 18446744073709551616e0)"
 
 
 @query(

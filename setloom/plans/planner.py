@@ -19,9 +19,9 @@ MAX_LANES = 5
 
 
 def seeded_unit(*parts: Column) -> Column:
-    """A draw in [0, 1) that depends on the parts' text alone."""
+    """A draw in [0, 1) that depends on the parts' text alone: the first eight bytes of their digest as a number, over 2**64."""
     digest = F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]).cast("binary"), 256)
-    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
+    return F.conv(F.substring(digest, 1, 16), 16, 10).cast("decimal(20,0)").cast("double") / float(1 << 64)
 
 
 def style(matched: Column, similarity: Column, leaving: Column, entering: Column, draw: Column | None = None) -> Column:
@@ -68,7 +68,7 @@ def planned(v) -> DataFrame:
     return rows.select("src", "dst", matched.alias("matched"), "out_energy", kind.alias("style"))
 
 
-_U = "(CAST(concat('0x', substr(sha256(concat_ws('|', 'style', CAST(src AS VARCHAR), CAST(dst AS VARCHAR))), 1, 13)) AS BIGINT) / 4503599627370496e0)"
+_U = "(CAST(concat('0x', substr(sha256(concat_ws('|', 'style', CAST(src AS VARCHAR), CAST(dst AS VARCHAR))), 1, 16)) AS UBIGINT) / 18446744073709551616e0)"
 #: The style of a row (src, dst, matched, sim, eo, ei), and a row's similarity of exit x and entry n.
 STYLE = f"CASE WHEN NOT matched THEN 'cut' WHEN coalesce(sim >= 0.82e0, false) OR (eo < 0.45e0 AND ei < 0.45e0) THEN 'blend' WHEN eo > 0.7e0 AND ei > 0.7e0 THEN 'swap' WHEN CASE WHEN abs(eo - ei) < 0.08e0 THEN {_U} < 0.5e0 + (eo - ei) / 0.08e0 * 0.5e0 ELSE eo - ei >= 0e0 END THEN 'fade' ELSE 'build' END"
 SIMILARITY = "CASE WHEN x.embedding IS NULL OR n.embedding IS NULL THEN NULL ELSE round(greatest(-1e0, least(1e0, list_cosine_similarity(x.embedding::DOUBLE[], n.embedding::DOUBLE[]))), 4) END"

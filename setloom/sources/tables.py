@@ -7,12 +7,53 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from setloom.operators.ordered import positions
 from setloom.registry import query
 
+_POINT = "struct<t:double,type:string,confidence:double,energy:double,phrase_aligned:boolean,embedding:array<float>>"
+#: The stored tables: typed columns, nested where a row has lists. Keys are unique by ``upsert``.
+SCHEMAS = {
+    "tracks": f"id long, file_path string, file_hash string, title string, duration double, bpm double, bpm_confidence double, beats array<double>, downbeats array<double>, phrases array<double>, key string, key_name string, key_confidence double, energy_curve array<double>, sections array<struct<start:double,end:double,label:string>>, cue_points array<{_POINT}>, analyzed_at double, loudness double",
+    "meta": "key string, value string",
+    "mixes": "id long, file_path string, file_hash string, title string, artist string, duration double, n_tracks int, tracklist array<struct<t:double,artist:string,title:string,genre:string>>, tempo_segments array<struct<start:double,end:double,bpm:double,phase:double,confidence:double>>, energy_curve array<double>, source string, mined_at double, miner_version int",
+    "transitions": "mix_id long, idx int, announced_t double, status string, reject_reason string, track_a string, track_b string, t_start double, t_end double, t_center double, t_bass double, duration_sec double, duration_beats double, duration_bars double, is_cut int, bpm_before double, bpm_after double, tempo_step_pct double, key_before string, key_after string, camelot_score double, dwell_bars double, solo_bars double, genre string, confidence double, sub_scores map<string,double>",
+}
+
 AUDIO = (".mp3", ".flac", ".wav", ".ogg", ".m4a", ".aiff", ".aif", ".opus")
 SIDECARS = (".json", ".cue", ".txt")
 
 
+def open_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A stored table with the columns of its schema, made empty where there is none; columns it was written without are null."""
+    kind = spark.createDataFrame([], SCHEMAS[name]).schema
+    path = f"{folder}/{name}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        spark.createDataFrame([], kind).write.parquet(path)
+    return with_columns(spark.read.option("mergeSchema", "true").parquet(path), SCHEMAS[name])
+
+
+def with_columns(rows: DataFrame, schema: str) -> DataFrame:
+    """The rows with every column of a schema, the missing ones null; columns that it doesn't have stay behind."""
+    empty = rows.sparkSession.createDataFrame([], schema)
+    return empty.unionByName(rows.select(*[F.col(f.name).cast(f.dataType) for f in empty.schema if f.name in rows.columns]), allowMissingColumns=True).select(*empty.columns)
+
+
+def set_meta(meta: DataFrame, key: str, value: str) -> DataFrame:
+    """The table of settings with one value set."""
+    new = meta.sparkSession.createDataFrame([(key, value)], SCHEMAS["meta"])
+    return replace_group(meta, new, "key")
+
+
+def upsert_by_id(stored: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
+    """``upsert`` of rows without ids: a known key keeps its id, new ones go on from the largest, in order of the number ``order``."""
+    ids = stored.select(key, "id")
+    top = stored.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    known = new.drop("id").join(ids, key)
+    fresh = positions(new.drop("id").join(ids, key, "left_anti"), order, [key], name="_at").withColumn("id", F.col("_at") + top + 1).drop("_at")
+    return replace_group(stored, known.unionByName(fresh), key)
+
+
 def stale(found: DataFrame, stored: DataFrame, key: str = "file_path", mark: str = "file_hash") -> DataFrame:
     """The rows of ``found`` that are not stored, or stored with another mark."""
     known = stored.select(key, F.col(mark).alias("_mark"))
@@ -55,6 +96,16 @@ def read_provenance(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
+def append_provenance(rows: DataFrame, path: str) -> None:
+    """More JSON lines beside those that are there."""
+    rows.write.mode("append").json(path)
+
+
+def write_report(rows: DataFrame, path: str) -> None:
+    """A report's rows as JSON lines."""
+    rows.write.mode("overwrite").json(path)
+
+
 def write_timeline(clips: DataFrame, path: str) -> None:
     """One JSON line a set: its clips in order."""
     sets = clips.groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("pos", "clip_track", "title", "out_start", "out_end"))).alias("clips"))
@@ -87,3 +138,13 @@ def replace_mixes(v) -> DataFrame:
     """Every fourth mix mined again, with two transitions: its old rows go."""
     rows = v["transitions"].select("mix_id", "idx", "status")
     return replace_group(rows, rows.where("mix_id % 4 = 0 and idx <= 2").withColumn("status", F.lit("new")), "mix_id")
+
+
+@query("mix_ids", """SELECT f.mix_id, coalesce(s.id, CAST((SELECT max(mix_id) FROM v_transitions WHERE mix_id % 3 <> 0) + row_number() OVER (PARTITION BY s.id IS NULL ORDER BY f.mix_id) AS BIGINT)) AS id, f.n_tracks
+FROM (SELECT mix_id, CAST(count(*) AS INTEGER) AS n_tracks FROM v_transitions GROUP BY mix_id) f LEFT JOIN (SELECT DISTINCT mix_id, CAST(mix_id AS BIGINT) AS id FROM v_transitions WHERE mix_id % 3 <> 0) s ON f.mix_id = s.mix_id""")
+def mix_ids(v) -> DataFrame:
+    """All mixes mined again over a table that lacks every third: known ones keep their ids, and count their track lists."""
+    lists = v["transitions"].groupBy("mix_id").agg(F.collect_list("announced_t").alias("tracklist"))
+    new = lists.select("mix_id", F.size("tracklist").alias("n_tracks"))
+    stored = new.where("mix_id % 3 <> 0").withColumn("id", F.col("mix_id").cast("long"))
+    return upsert_by_id(stored, new, "mix_id", "mix_id").select("mix_id", "id", "n_tracks")

@@ -71,6 +71,13 @@ def test_short_titles(spark, name, title):
     assert one(spark, s=text.short_title(F.lit(name)))["s"] == title
 
 
+def test_names_fields_and_addresses(spark):
+    got = one(spark, s=text.safe_name(F.lit(' a<b>: "c"\t/d?. ')), d=text.destination(F.lit("Band"), F.lit(""), F.lit("Song"), F.lit("x.y.flac"), F.lit("id1")), e=text.destination(F.lit("?"), F.lit("A"), F.lit(None).cast("string"), F.lit("track"), F.lit("id1")), q=text.quoted(F.lit("a b/c+d~é*.mp3")), u=text.unquoted(text.quoted(F.lit("a b/c+d~é*%.mp3"))), one=text.first_value(F.lit('{"c": "x"}'), "$.c"), many=text.first_value(F.lit('{"c": ["y", "z"]}'), "$.c"), none=text.first_value(F.lit('{"c": []}'), "$.c"), gone=text.first_value(F.lit("{}"), "$.c"))
+    from urllib.parse import quote
+
+    assert got == {"s": "a b c d", "d": "Band/Band - Song.flac", "e": "id1/A - track.mp3", "q": quote("a b/c+d~é*.mp3"), "u": "a b/c+d~é*%.mp3", "one": "x", "many": "y", "none": "", "gone": ""}
+
+
 def test_curves_and_lanes(spark):
     lane = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0.2, 0.0), (0.6, 1.0))])
     got = one(spark, lo=curves.lane_value(lane, F.lit(0.1)), mid=curves.lane_value(lane, F.lit(0.4)), hi=curves.lane_value(lane, F.lit(0.9)), slam=curves.fade(F.lit("slam"), F.lit(0.5)), flat=curves.arc_target(F.lit("other"), F.lit(0.5)), fit=curves.energy_fit(F.lit(0.5), F.lit(None).cast("double")))

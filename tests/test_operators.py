@@ -188,6 +188,36 @@ def test_change_points_and_tempo_of_synthetic_series():
     assert features.autocorrelation_tempo(np.zeros(50), rate) == (0.0, 0.0)
 
 
+def test_band_spectra_find_tones_in_their_bands():
+    rate = 22050.0
+    t = np.arange(int(rate)) / rate
+    for band, tone in (("low", 90.0), ("mid", 800.0), ("high", 6000.0)):
+        power = {k: x.sum(1) for k, x in signal.band_spectra(np.sin(2 * np.pi * tone * t), rate).items()}
+        assert len({len(x) for x in power.values()}) == 1
+        assert all(power[band][5:-5].min() > 50 * power[k][5:-5].max() for k in power if k != band)
+
+
+def test_tables_open_empty_and_take_columns_and_settings(spark, tmp_path):
+    for name, schema in tables.SCHEMAS.items():
+        t = tables.open_table(spark, str(tmp_path), name)
+        assert t.count() == 0 and t.columns == spark.createDataFrame([], schema).columns
+        assert tables.open_table(spark, str(tmp_path), name).count() == 0
+    old = spark.createDataFrame([(1, "a.mp3", "x")], "id long, file_path string, gone string")
+    row = tables.with_columns(old, tables.SCHEMAS["tracks"]).first()
+    assert row.file_path == "a.mp3" and row.loudness is None and "gone" not in row.asDict()
+    meta = tables.set_meta(tables.set_meta(tables.open_table(spark, str(tmp_path), "meta"), "version", "2"), "version", "3")
+    assert [tuple(r) for r in meta.collect()] == [("version", "3")]
+    stored = spark.createDataFrame([(7, "b", 1.0), (9, "c", 1.0)], "id long, key string, n double")
+    new = spark.createDataFrame([("c", 2.0), ("z", 5.0), ("a", 4.0)], "key string, n double")
+    assert sorted((r.key, r.id, r.n) for r in tables.upsert_by_id(stored, new, "key", "n").collect()) == [("a", 10, 4.0), ("b", 7, 1.0), ("c", 9, 2.0), ("z", 11, 5.0)]
+    log = str(tmp_path / "log")
+    tables.append_provenance(new, log)
+    tables.append_provenance(new.limit(1), log)
+    assert tables.read_provenance(spark, log, "key string, n double").count() == 4
+    tables.write_report(new, str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report")).count() == 3
+
+
 def test_tempo_segments_of_a_synthetic_mix():
     rate = 50.0
     clock, beats = 0.3, []
