@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from setloom.llm.common import mix64, packed_rows, powers, prefix_hash, stage, text_blocks, with_row_id
+from setloom.llm.common import mix64, packed_rows, powers, prefix_hash, stage, text_blocks, trim, with_row_id
 
 LENGTH = 400
 #: Bytes of the strings that passages are joined from: fewer than PASSAGE_WORDS words of running text have.
@@ -50,7 +50,7 @@ PASSAGE_WORDS = 50
 SEGMENT = 512
 #: Bytes of one text that are cut into segments at once; below 2**24.
 PIECE = 1 << 22
-SHARD = 1 << 19
+SHARD = 1 << 18
 STOP = 0xFF  # never a byte of UTF-8
 _NONE = np.zeros(0, np.int64)
 
@@ -218,6 +218,7 @@ def _segment_rows(batches: Iterator[pa.RecordBatch], window: int, gram: int, rea
             row, start, size, length, h, c, again = segments(data, offsets, window, gram, reach)
             cols = [h.view(np.int64), c.view(np.int64), ids[a:to][row], start, size.astype(np.int32), length.astype(np.int32), 1 + again.astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["h", "c", "_sl_row", "start", "size", "len", "n"])
+    trim()
 
 
 def zipped(rows: DataFrame) -> DataFrame:
@@ -272,6 +273,7 @@ def _shards(batches: Iterator[pa.RecordBatch], length: int | None, passage: int
                 out += [(h, c, a, b + length - 1, None) for a, b in runs(elsewhere)]
             if passage and not far:
                 out += [(h, c, a, None, b + passage - 1) for a, b in runs(other)]
+        trim()
         return _marks(out)
 
     for b in batches:
@@ -310,7 +312,7 @@ def _window_digests(batches: Iterator[pa.RecordBatch], lengths: list[int]) -> It
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], [x.split()[0] for x in _DIGEST.split(", ")])
 
 
-def spans(rows: DataFrame, *, length: int | None = LENGTH, passage: int | None = None, gram: int | None = None, max_group: int = 4096) -> DataFrame:
+def spans(rows: DataFrame, *, length: int | None = LENGTH, passage: int | None = None, gram: int | None = None, max_group: int = 1024) -> DataFrame:
     """(_sl_row, start, any_end, far_end): byte spans, which may overlap. Reads _sl_row and text.
 
     The union of start .. any_end is what strings of ``length`` bytes that stand elsewhere too cover; the union of

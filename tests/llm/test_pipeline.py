@@ -5,6 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from setloom.llm import decontaminate, pieces, suffix_dedup
 from setloom.llm.common import stage, table
+from tests.llm.helpers import documents, edge_texts
 from tests.llm.test_near_copies import firsts
 
 SF = "/root/testdata/sf0.001"
@@ -40,3 +41,20 @@ def test_stages_equal_brute_force(spark):
         docs = out
     assert corpus_pipeline.run(spark, SF).count() == seen["tokens"]
     assert seen["near_dedup"] < seen["language_id"] and seen["decontamination"] < seen["passage_dedup"]
+
+
+def test_stages_at_the_edges(spark):
+    """Nulls in every column, empty and long texts, ties, repeated rows, clashing names; and no rows at all."""
+    texts = edge_texts()
+    docs = documents(spark, [*texts, texts[8]], [None, None, *range(2, len(texts)), 8])
+    empty = stage(docs.where("false"), "test-empty")
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        out = stage(step(spark, docs, SF), f"test-edge-{name}")
+        assert out.columns == docs.columns and {r._row for r in out.collect()} <= {-1}, name
+        assert step(spark, empty, SF).count() == 0 and step(spark, empty, SF).columns == docs.columns, name
+        if name == "near_dedup":
+            assert out.where("coalesce(trim(text), '') = ''").count() <= 1 and out.where("doc_id = 8").count() <= 1
+        elif name != "language_id":
+            assert out.count() == docs.count()
+    name, step = corpus_pipeline.STAGES[-1]
+    assert step(spark, docs, SF).count() == docs.count() and step(spark, empty, SF).count() == 0
