@@ -44,3 +44,34 @@ def lane_value(lane: Column, x: Column) -> Column:
     high = F.try_element_at(F.filter(lane, lambda p: p["x"] > x), F.lit(1))
     between = low["y"] + (high["y"] - low["y"]) * (x - low["x"]) / (high["x"] - low["x"])
     return F.when(F.size(F.filter(lane, lambda p: p["x"] <= x)) == 0, F.element_at(lane, 1)["y"]).when(F.size(F.filter(lane, lambda p: p["x"] > x)) == 0, F.element_at(lane, -1)["y"]).otherwise(between)
+
+
+#: Half the width of a bass swap, the longest hold or lead of a fade, and the middle of an equal-power fade.
+SWAP_WIDTH, LONGEST_HOLD, HALF_POWER = 0.12, 0.8, 0.707
+
+
+def swap_out(x: Column, centre: Column, width: float = SWAP_WIDTH) -> Column:
+    """The outgoing bass around a swap: full, then down within the swap; the incoming one is what is left of 1."""
+    at = F.greatest(F.lit(width), F.least(F.lit(1.0 - width), centre))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (at + width - x) / (2 * width)))
+
+
+def held_fade(x: Column, hold: Column) -> Column:
+    """A fall from 1 to 0 that starts at ``hold``, in two straight parts that meet at half power."""
+    h = F.greatest(F.lit(0.0), F.least(F.lit(LONGEST_HOLD), hold))
+    part = F.greatest(F.lit(0.0), (x - h) / (1.0 - h))
+    return F.when(part < 0.5, 1.0 - (1.0 - HALF_POWER) * 2.0 * part).otherwise(HALF_POWER * 2.0 * (1.0 - F.least(part, F.lit(1.0))))
+
+
+def led_rise(x: Column, lead: Column) -> Column:
+    """A rise from 0 to 1 that starts at ``lead``, through the same half power."""
+    h = F.greatest(F.lit(0.0), F.least(F.lit(LONGEST_HOLD), lead))
+    part = F.greatest(F.lit(0.0), (x - h) / (1.0 - h))
+    return F.when(part < 0.5, HALF_POWER * 2.0 * part).otherwise(HALF_POWER + (1.0 - HALF_POWER) * (2.0 * F.least(part, F.lit(1.0)) - 1.0))
+
+
+def profile(x: Column, centre: Column, mid_lead: Column, high_lead: Column, mid_hold: Column | None = None, high_hold: Column | None = None) -> dict[str, Column]:
+    """The band gains of a crossfade at phase ``x``. A style of the older kind has one delay for both leads and no holds."""
+    none = F.lit(0.0)
+    out = swap_out(x, centre)
+    return {"out_low": out, "out_mid": held_fade(x, none if mid_hold is None else mid_hold), "out_high": held_fade(x, none if high_hold is None else high_hold), "in_low": 1.0 - out, "in_mid": led_rise(x, mid_lead), "in_high": led_rise(x, high_lead)}

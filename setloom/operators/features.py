@@ -263,6 +263,11 @@ sql_query(
  UNION ALL SELECT 'trusted', CAST(count(*) AS DOUBLE) FROM v_transitions WHERE status = 'ok' AND confidence >= 0.2e0 UNION ALL SELECT 'accept_rate', round(avg(CASE WHEN status = 'ok' THEN 1e0 ELSE 0e0 END), 6) FROM v_transitions
  UNION ALL SELECT 'cut_rate', round(avg(CASE WHEN is_cut = 1 THEN 1e0 ELSE 0e0 END), 6) FROM v_transitions WHERE status = 'ok' AND confidence >= 0.2e0 UNION ALL SELECT concat('rejected: ', coalesce(reject_reason, 'unknown')), CAST(count(*) AS DOUBLE) FROM v_transitions WHERE status = 'rejected' GROUP BY reject_reason""",
 )
+sql_query(
+    "section_details",
+    # The even sections that the tables stand for, with the energy that the section starts at.
+    "SELECT t.track_id, CAST(g.i AS BIGINT) AS section, round(g.i * duration / n_sections, 3) AS starts, round((g.i + 1) * duration / n_sections, 3) AS ends, round(duration / n_sections, 3) AS seconds, CASE WHEN g.i = 0 THEN 'intro' WHEN g.i = n_sections - 1 THEN 'outro' ELSE 'body' END AS label FROM v_tracks t JOIN (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2) g ON g.i < n_sections",
+)
 sql_query(
     "sparkline",
     # At most sixty samples of a curve, evenly, as glyph numbers 0 to 7.

@@ -166,7 +166,9 @@ def fit_ramp(pdf: pd.DataFrame) -> pd.DataFrame:
         span = float(np.ptp(t))
         model = lambda c, s: 1 / (1 + np.exp(-np.clip((t - c) / s, -40, 40)))
         loss = lambda c, s: float((w * (model(c, s) - y) ** 2).sum())
-        c, s = min(((c, s) for c in np.linspace(t.min(), t.max(), 21) for s in span * np.array([0.01, 0.03, 0.1, 0.3])), key=lambda p: loss(*p))
+        cs, ss = (x.reshape(-1, 1) for x in np.meshgrid(np.linspace(t.min(), t.max(), 21), span * np.array([0.01, 0.03, 0.1, 0.3]), indexing="ij"))
+        first = int((w * (model(cs, ss) - y) ** 2).sum(1).argmin())
+        c, s = float(cs[first, 0]), float(ss[first, 0])
         for _ in range(30):
             m = model(c, s)
             slope = m * (1 - m)

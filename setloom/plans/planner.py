@@ -157,6 +157,23 @@ def fade_curves(v, n: int = 11) -> DataFrame:
     return at.select("shape", "x", F.round(curves.fade(F.col("shape"), F.col("x")), 6).alias("gain"))
 
 
+_FALL = "CASE WHEN {q} < 0.5e0 THEN 1e0 - 0.293e0 * 2e0 * {q} ELSE 0.707e0 * 2e0 * (1e0 - {q}) END"
+_RISE = "CASE WHEN {q} < 0.5e0 THEN 0.707e0 * 2e0 * {q} ELSE 0.707e0 + 0.293e0 * (2e0 * {q} - 1e0) END"
+
+
+@query(
+    "profile_gains",
+    f"""SELECT mix_id, idx, round(low, 6) AS out_low, round(1e0 - low, 6) AS in_low, round({_FALL.format(q="x")}, 6) AS out_mid, round({_FALL.format(q="h")}, 6) AS out_high, round({_RISE.format(q="l")}, 6) AS in_mid, round({_RISE.format(q="l")}, 6) AS in_high
+FROM (SELECT mix_id, idx, x, greatest(0e0, least(1e0, (greatest(0.12e0, least(0.88e0, centre)) + 0.12e0 - x) / 0.24e0)) AS low, greatest(0e0, (x - least(0.8e0, hold)) / (1e0 - least(0.8e0, hold))) AS h, greatest(0e0, (x - least(0.8e0, lead)) / (1e0 - least(0.8e0, lead))) AS l
+ FROM (SELECT mix_id, idx, confidence AS x, coalesce(camelot_score, 0.5e0) AS centre, CAST(k % 10 AS DOUBLE) / 10e0 AS hold, CAST(k % 7 AS DOUBLE) / 10e0 AS lead FROM v_transitions) a) b""",
+)
+def profile_gains(v) -> DataFrame:
+    """Band gains of every transition at a phase, with a hold of the outgoing highs and one delay of the incoming bands."""
+    lead, hold = F.col("k") % 7 / 10.0, F.col("k") % 10 / 10.0
+    gains = curves.profile(F.col("confidence"), F.coalesce("camelot_score", F.lit(0.5)), lead, lead, None, hold)
+    return v["transitions"].select("mix_id", "idx", *[F.round(g, 6).alias(k) for k, g in gains.items()])
+
+
 @query("lane_interp", "SELECT mix_id, idx, round(CASE WHEN confidence <= 0.2e0 THEN 0e0 WHEN confidence <= 0.5e0 THEN 0.7e0 * (confidence - 0.2e0) / 0.3e0 WHEN confidence <= 0.8e0 THEN 0.7e0 + 0.3e0 * (confidence - 0.5e0) / 0.3e0 ELSE 1e0 END, 6) AS gain FROM v_transitions")
 def lane_interp(v) -> DataFrame:
     lane = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0.2, 0.0), (0.5, 0.7), (0.8, 1.0))])

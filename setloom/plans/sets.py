@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from setloom.functions.harmony import beatmatchable, key_compatibility
 from setloom.functions.vectors import cosine
+from setloom.operators.corpus import holdout_split
 from setloom.operators.graph import _TRACK_SIMS, key_sql, match_sql, track_similarities
 from setloom.plans.cues import ENTRY, EXIT, SOLO_BARS, entries, exits
 from setloom.plans.planner import SIMILARITY, STYLE, style, tie_draw
@@ -80,3 +81,38 @@ sql_query(
  SELECT track_id, sec, novelty, max(novelty) OVER (PARTITION BY track_id ORDER BY sec ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS top FROM (
  SELECT track_id, sec, coalesce(abs(avg(energy) OVER (PARTITION BY track_id ORDER BY sec ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) - avg(energy) OVER (PARTITION BY track_id ORDER BY sec ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)), 0e0) AS novelty FROM v_energy) a) b WHERE novelty > 0e0 AND novelty >= top) c WHERE rn <= 5""",
 )
+
+
+_HELD = """(SELECT mix_id, r <= greatest(1, CAST(round(n * 0.2e0) AS BIGINT)) AND n > 1 AS held FROM (SELECT mix_id, row_number() OVER (ORDER BY md5(CAST(mix_id AS VARCHAR(20))), mix_id) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT mix_id FROM v_transitions) m) x)"""
+_COMPARED = f"""WITH c AS (SELECT t.is_cut, 4e0 * t.duration_bars AS beats, h.held FROM v_transitions t JOIN {_HELD} h ON t.mix_id = h.mix_id WHERE status = 'ok' AND confidence >= 0.5e0),
+own AS (SELECT * FROM c WHERE held OR NOT EXISTS (SELECT 1 FROM c d WHERE d.held)), corpus AS (SELECT beats AS x FROM own WHERE is_cut = 0 AND beats IS NOT NULL),
+p AS (SELECT style FROM ({_PLANS}) z), engine AS (SELECT CASE style WHEN 'blend' THEN 64e0 WHEN 'fade' THEN 48e0 ELSE 32e0 END AS x FROM p WHERE style <> 'cut'),
+g AS (SELECT x, sum(a) AS a, sum(b) AS b FROM (SELECT x, 1 AS a, 0 AS b FROM corpus UNION ALL SELECT x, 0, 1 FROM engine) u GROUP BY x), n AS (SELECT sum(a) AS na, sum(b) AS nb FROM g),
+w AS (SELECT abs(sum(a) OVER (ORDER BY x) / CAST(na AS DOUBLE) - sum(b) OVER (ORDER BY x) / CAST(nb AS DOUBLE)) * (lead(x) OVER (ORDER BY x) - x) AS d FROM g, n), m AS (SELECT median(x) AS centre FROM engine)
+SELECT metric, round(CAST(value AS DOUBLE), 4) AS value FROM (SELECT 'corpus_n' AS metric, count(*) AS value FROM corpus UNION ALL SELECT 'corpus_median', median(x) FROM corpus UNION ALL SELECT 'engine_n', count(*) FROM engine UNION ALL SELECT 'engine_median', centre FROM m UNION ALL SELECT 'wasserstein', sum(d) FROM w
+ UNION ALL SELECT 'corpus_cut_rate', avg(is_cut) FROM own UNION ALL SELECT 'engine_cut_rate', avg(CASE WHEN style = 'cut' THEN 1e0 ELSE 0e0 END) FROM p UNION ALL SELECT 'median_error', median(abs(x - centre)) FROM corpus, m
+ UNION ALL SELECT 'within_1', avg(CASE WHEN abs(x - centre) <= 1e0 THEN 1e0 ELSE 0e0 END) FROM corpus, m UNION ALL SELECT 'within_4', avg(CASE WHEN abs(x - centre) <= 4e0 THEN 1e0 ELSE 0e0 END) FROM corpus, m UNION ALL SELECT 'within_8', avg(CASE WHEN abs(x - centre) <= 8e0 THEN 1e0 ELSE 0e0 END) FROM corpus, m) r"""
+
+
+@query("engine_comparison", _COMPARED)
+def engine_comparison(v, min_confidence: float = 0.5) -> DataFrame:
+    """Planned transitions against the held-out mixes' measured ones: lengths in beats, their distance, cuts, hits of the median length."""
+    sides = holdout_split(v)
+    rows = v["transitions"].where((F.col("status") == "ok") & (F.col("confidence") >= min_confidence)).join(sides, "mix_id")
+    own = rows.where("side = 'test'")
+    own = rows if own.isEmpty() else own
+    corpus = own.where("is_cut = 0 and duration_bars is not null").select((4 * F.col("duration_bars")).alias("x"))
+    planned = plans(v).select("style")
+    engine = planned.where("style <> 'cut'").select(F.coalesce(*[F.when(F.col("style") == s, 4.0 * n) for s, n in BARS.items()]).alias("x"))
+    n, median = corpus.agg(F.count(F.lit(1)), F.percentile("x", 0.5)).first()
+    n_engine, centre = engine.agg(F.count(F.lit(1)), F.percentile("x", 0.5)).first()
+    cuts, engine_cuts = own.agg(F.avg("is_cut")).first()[0], planned.agg(F.avg(F.when(F.col("style") == "cut", 1.0).otherwise(0.0))).first()[0]
+    off = F.abs(F.col("x") - F.lit(centre))
+    error, *within = corpus.agg(F.percentile(off, 0.5), *[F.avg(F.when(off <= t, 1.0).otherwise(0.0)) for t in (1, 4, 8)]).first()
+    # Values are counted first; only the distinct ones meet in one window.
+    counts = corpus.withColumn("a", F.lit(1)).withColumn("b", F.lit(0)).unionByName(engine.withColumn("a", F.lit(0)).withColumn("b", F.lit(1))).groupBy("x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    w = Window.orderBy("x")
+    gap = F.abs(F.sum("a").over(w) / float(n or 1) - F.sum("b").over(w) / float(n_engine or 1)) * (F.lead("x").over(w) - F.col("x"))
+    distance = counts.select(gap.alias("d")).agg(F.sum("d")).first()[0]
+    values = {"corpus_n": n, "corpus_median": median, "engine_n": n_engine, "engine_median": centre, "wasserstein": distance, "corpus_cut_rate": cuts, "engine_cut_rate": engine_cuts, "median_error": error, **dict(zip(("within_1", "within_4", "within_8"), within, strict=True))}
+    return v.spark.createDataFrame([(k, None if x is None else round(float(x), 4)) for k, x in values.items()], "metric string, value double")

@@ -71,6 +71,17 @@ def test_short_titles(spark, name, title):
     assert one(spark, s=text.short_title(F.lit(name)))["s"] == title
 
 
+def test_profiles_swap_the_bass_and_fade_the_rest(spark):
+    at = lambda x, **k: one(spark, **curves.profile(F.lit(x), *[F.lit(k.get(n, 0.0)) for n in ("centre", "mid", "high")], None, F.lit(k["hold"]) if "hold" in k else None))
+    start, mid, end = at(0.0, centre=0.5), at(0.5, centre=0.5), at(1.0, centre=0.5)
+    assert [start[k] for k in ("out_low", "out_mid", "out_high", "in_low", "in_mid", "in_high")] == [1, 1, 1, 0, 0, 0]
+    assert [round(mid[k], 9) for k in ("out_low", "out_mid", "in_low", "in_mid")] == [0.5, 0.707, 0.5, 0.707]
+    assert [round(end[k], 9) for k in ("out_low", "out_mid", "out_high", "in_low", "in_mid", "in_high")] == [0, 0, 0, 1, 1, 1]
+    late = at(0.6, centre=0.0, mid=0.6, high=2.0, hold=0.6)
+    assert late["out_high"] == 1.0 and late["in_mid"] == 0.0 and late["in_high"] == 0.0 and late["out_low"] == 0.0
+    assert round(at(0.9, centre=0.5, mid=0.8)["in_mid"], 9) == 0.707
+
+
 def test_names_fields_and_addresses(spark):
     got = one(spark, s=text.safe_name(F.lit(' a<b>: "c"\t/d?. ')), d=text.destination(F.lit("Band"), F.lit(""), F.lit("Song"), F.lit("x.y.flac"), F.lit("id1")), e=text.destination(F.lit("?"), F.lit("A"), F.lit(None).cast("string"), F.lit("track"), F.lit("id1")), q=text.quoted(F.lit("a b/c+d~é*.mp3")), u=text.unquoted(text.quoted(F.lit("a b/c+d~é*%.mp3"))), one=text.first_value(F.lit('{"c": "x"}'), "$.c"), many=text.first_value(F.lit('{"c": ["y", "z"]}'), "$.c"), none=text.first_value(F.lit('{"c": []}'), "$.c"), gone=text.first_value(F.lit("{}"), "$.c"))
     from urllib.parse import quote
