@@ -68,6 +68,49 @@ def limiter(v) -> DataFrame:
     return v["energy"].select("track_id", "sec", "value").groupBy("track_id").applyInPandas(run, "track_id long, sec long, gain double")
 
 
+def butterworth(rate: float, corner: float, *, high: bool = False, order: int = 4) -> list[tuple[float, float, float, float, float]]:
+    """The second-order sections (b0, b1, b2, a1, a2) of a low or high pass, maximally flat."""
+    w = 2 * np.pi * corner / rate
+    c, sections = np.cos(w), []
+    for k in range(order // 2):
+        bend = np.sin(w) * np.cos(np.pi * (2 * k + 1) / (2 * order))  # sin(w) / (2 Q)
+        edge = (1 + c) / 2 if high else (1 - c) / 2
+        sections.append(tuple(float(x / (1 + bend)) for x in (edge, -2 * edge if high else 2 * edge, edge, -2 * c, 1 - bend)))
+    return sections
+
+
+def filtered(x: np.ndarray, sections: list[tuple], state: list[tuple[float, float]] | None = None) -> tuple[np.ndarray, list[tuple[float, float]]]:
+    """A series through sections one after the other, and the state to go on from with the next chunk."""
+    out, after = x.astype(float), []
+    for (b0, b1, b2, a1, a2), (u, v) in zip(sections, state or [(0.0, 0.0)] * len(sections), strict=True):
+        y = np.empty(len(out))
+        for i, value in enumerate(out.tolist()):
+            y[i] = now = b0 * value + u
+            u, v = b1 * value - a1 * now + v, b2 * value - a2 * now
+        out = y
+        after.append((u, v))
+    return out, after
+
+
+def zero_phase(x: np.ndarray, sections: list[tuple]) -> np.ndarray:
+    """Forward and back, so that nothing is delayed."""
+    return filtered(filtered(x, sections)[0][::-1], sections)[0][::-1]
+
+
+def three_bands(x: np.ndarray, rate: float, state: dict | None = None, *, delay_free: bool = False) -> tuple[dict[str, np.ndarray], dict]:
+    """Low, mid and high parts that add up to the series again; causal parts come with the state of the next chunk."""
+    after, parts = {}, []
+    for corner in CROSSOVERS:
+        sections = butterworth(rate, corner)
+        if delay_free:
+            parts.append(zero_phase(x, sections))
+        else:
+            y, after[corner] = filtered(x, sections, (state or {}).get(corner))
+            parts.append(y)
+    low, below = parts
+    return {"low": low, "mid": below - low, "high": x - below}, after
+
+
 #: Frames of the spectra, of the low band and of the others; crossovers and how far bands stay from them.
 SIZE_LOW, SIZE, HOP = 8192, 2048, 512
 CROSSOVERS, ABOVE, BELOW = (200.0, 2600.0), 1.5, 0.8

@@ -188,6 +188,26 @@ def test_change_points_and_tempo_of_synthetic_series():
     assert features.autocorrelation_tempo(np.zeros(50), rate) == (0.0, 0.0)
 
 
+def test_three_bands_add_up_and_go_on_from_chunk_to_chunk():
+    rate = 22050.0
+    t = np.arange(8000) / rate
+    tones = {"low": 60.0, "mid": 800.0, "high": 7000.0}
+    for band, f in tones.items():
+        x = np.sin(2 * np.pi * f * t)
+        parts, _ = signal.three_bands(x, rate)
+        free, _ = signal.three_bands(x, rate, delay_free=True)
+        for p in (parts, free):
+            assert np.allclose(sum(p.values()), x)
+            power = {k: float((v[2000:6000] ** 2).mean()) for k, v in p.items()}
+            assert power[band] > 0.3 and max(power, key=power.get) == band
+        assert float((free[band][2000:6000] * x[2000:6000]).mean()) > 0.45  # in phase
+        first, state = signal.three_bands(x[:3000], rate)
+        rest, _ = signal.three_bands(x[3000:], rate, state)
+        assert all(np.allclose(np.concatenate([first[k], rest[k]]), parts[k]) for k in parts)
+    y, _ = signal.filtered(np.sin(2 * np.pi * 100 * t), signal.butterworth(rate, 2000.0, high=True))
+    assert np.abs(y[4000:]).max() < 0.01
+
+
 def test_band_spectra_find_tones_in_their_bands():
     rate = 22050.0
     t = np.arange(int(rate)) / rate
