@@ -6,7 +6,7 @@ from setloom.operators import corpus, features, graph, library, probe, screening
 from setloom.plans import collage, paths, planner, sets  # noqa: F401
 from setloom.registry import ORACLES, QUERIES
 from setloom.sources import tables  # noqa: F401
-from setloom.streaming import sessions  # noqa: F401
+from setloom.streaming import player, sessions  # noqa: F401
 
 
 def queries():

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from setloom.operators import signal
-from setloom.streaming import sessions
+from setloom.streaming import player, sessions
 from setloom.sources.views import Views
 
 SF = "/root/testdata/sf0.001"
@@ -66,3 +66,24 @@ def test_scheduler_keeps_its_state_between_batches(spark, tmp_path):
     stream = sessions.read_events(spark, str(tmp_path / "ticks"), spark.createDataFrame([], schema).schema)
     got = _run(spark, signal.schedule(stream), "decisions", "append").sort_values("pos")
     assert list(zip(got.pos, got.fires, strict=True)) == [(0.0, False), (8.0, False), (16.0, True), (90.0, True)]
+
+
+def test_player_sessions_step_by_step():
+    s, log = player.Session(), []
+    for event in [("tick", 1.0), ("post", None, 7, 10.0), ("post", None, 8, 20.0), ("tick", 9.0), ("end", None, None), ("tick", 10.0), ("post", None, 9, 30.0), ("skip",), ("done",), ("done",), ("post", None, 9, 30.0), ("skip",), ("tick", 40.0), ("done",), ("end", None, 3), ("post", None, 5, None), ("tick", 99.0), ("stop",), ("skip",)]:
+        s, action = player.advance(s, *event)
+        log.append(action)
+    assert log == ["ignored", "queued", "refused", "ignored", "ignored", "mixes", "refused", "ignored", "plays", "ignored", "queued", "mixes", "ignored", "plays", "jumps", "queued", "ignored", "stopped", "ignored"]
+    assert (s.track, s.next, s.played, s.recent) == (3, 5, 3, (7, 9, 3))
+
+
+def test_player_streams_equal_the_batch(spark, tmp_path):
+    columns = "session long, seq long, kind string, pos double, track long, start double"
+    rows = [(k, i, kind, float(i), 10 * k + i, float(i)) for k in (1, 2, 3) for i, kind in enumerate(["post", "tick", "done", "post", "post", "skip", "done", "end", "post", "tick", "stop", "done"][: 9 + k])]
+    for part in (rows[:7], rows[7:20], rows[20:]):
+        spark.createDataFrame(part, columns).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(spark.createDataFrame([], columns).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    normal = lambda pdf: sorted((r.session, r.seq, r.action, None if pd.isna(r.track) else int(r.track), int(r.played), list(r.recent)) for r in pdf.itertuples())
+    want = player.play(spark.createDataFrame(rows, columns)).toPandas()
+    assert normal(_run(spark, player.play_stream(stream), "player", "append")) == normal(want) and len(want) == len(rows)
+    assert player.play(spark.createDataFrame([], columns)).count() == 0
