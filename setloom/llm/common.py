@@ -45,6 +45,7 @@ def small_batches(spark: SparkSession) -> None:
 
 def trim() -> None:
     """Gives freed memory back to the system, where the C library can: Python workers live on after a task."""
+    pa.default_memory_pool().release_unused()
     if _TRIM is not None:
         _TRIM(0)
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from setloom.llm.common import ALNUM_SEP, LOWER, gram_hash, packed_rows, text_blocks, words_of
+from setloom.llm.common import ALNUM_SEP, LOWER, gram_hash, packed_rows, text_blocks, trim, words_of
 from setloom.shipping import ship
 
 GATE_WORDS = 3
@@ -222,6 +222,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, block_by
                         items[i], longest[i] = sorted({*items[i], *x}), max(longest[i], most)
                 new = [pa.array(n_words, pa.int64()), pa.array([[{"start": x, "end": y} for x, y in join_spans(s)] for s in spans], _SPANS), pa.array(items, pa.list_(pa.string())), pa.array(longest, pa.int64())]
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *new], [*names, *_ADDED.names])
+            trim()
 
         out = out.mapInArrow(run, schema)
     return out

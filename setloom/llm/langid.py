@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from setloom.llm.common import bucket_of, packed_rows, per_row, separators, text_blocks
+from setloom.llm.common import bucket_of, packed_rows, per_row, separators, text_blocks, trim
 from setloom.shipping import ship
 
 BUCKET_BITS = 15
@@ -212,6 +212,7 @@ def identify(docs: DataFrame, model: LangModel | None, *, text: str = "text") ->
         for b in batches:
             lang, score, rejected = predict_texts(b.column(text), shared.value)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], [*b.schema.names, *added])
+        trim()
 
     return docs.mapInArrow(run, schema)
 

@@ -28,6 +28,7 @@ import re
 import struct
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from setloom.llm.common import stage, with_row_id
+from setloom.llm.common import stage, trim, with_row_id
 from setloom.shipping import ship
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -44,7 +45,7 @@ NEVER = -1e18
 #: Chunks whose matrices are multiplied in one group.
 GROUP = 256
 #: Words remembered, twice: those in use and those used before.
-CACHE = 150_000
+CACHE = 60_000
 
 
 class Memo(dict):
@@ -94,7 +95,6 @@ class Pieces:
                 self.bytes_of[i] = own.encode()
         self.longest = max(map(len, self.vocab))
         self.unknown = min(s for _, s in self.vocab.values()) - 10_000.0
-        self.begins = {w[:k] for w in self.vocab for k in range(1, len(w) + 1)}
         #: A tree of characters; "" leads to a piece's id and score.
         self.tree: dict = {}
         for w, hit in self.vocab.items():
@@ -102,15 +102,22 @@ class Pieces:
             for c in w:
                 node = node.setdefault(c, {})
             node[""] = hit
-        # A message field that comes again is merged: normalizer_spec (3) with add_dummy_prefix (3) off.
-        words = sentencepiece.SentencePieceProcessor()
-        words.LoadFromSerializedProto(model + bytes([3 << 3 | 2, 2, 3 << 3, 0]))
+        self.model = model
         if any(" " in p.lstrip(" ") or "\n" in p for p in self.vocab):
             raise ValueError("pieces that go over a space or a line break aren't supported")
         self.units = Memo(lambda u: self.solve(u)[0])
-        self.merged = Memo(lambda u: array("i", words.encode(u)).tobytes())
+        self.merged = Memo(lambda u: array("i", self.library.encode(u)).tobytes())
         self.scores = Memo(lambda u: self.solve(u)[1])
 
+    @cached_property
+    def library(self):
+        """The file's own merges, of words with their space. A message field that comes again is merged: normalizer_spec (3) with add_dummy_prefix (3) off."""
+        import sentencepiece
+
+        words = sentencepiece.SentencePieceProcessor()
+        words.LoadFromSerializedProto(self.model + bytes([3 << 3 | 2, 2, 3 << 3, 0]))
+        return words
+
     _UNITS = re.compile(r" +[^ \n]*|\n+|[^ \n]+")
 
     def best(self, t: str, starts: dict[int, float], end: int, first_to: int = 0) -> tuple[list[float], list[int]]:
@@ -121,7 +128,7 @@ class Pieces:
         score, back = [NEVER] * (end + 1), [-1] * (end + 1)
         for s, x in starts.items():
             score[s] = x
-        vocab, longest, begins = self.vocab, self.longest, self.begins
+        vocab, longest = self.vocab, self.longest
         for i in range(end):
             x = score[i]
             if x <= NEVER:
@@ -129,12 +136,14 @@ class Pieces:
             least = first_to + 1 if i < first_to else i + 1
             if least == i + 1 and t[i] not in vocab and x + self.unknown > score[i + 1]:
                 score[i + 1], back[i + 1] = x + self.unknown, i
-            for j in range(least, min(end, i + longest) + 1):
-                u = t[i:j]
-                if u not in begins:
+            node, j = self.tree, i
+            for c in t[i : min(end, i + longest)]:
+                node = node.get(c)
+                if node is None:
                     break
-                hit = vocab.get(u)
-                if hit and x + hit[1] > score[j]:
+                j += 1
+                hit = node.get("")
+                if j >= least and hit and x + hit[1] > score[j]:
                     score[j], back[j] = x + hit[1], i
         return score, back
 
@@ -310,6 +319,7 @@ def _encode_rows(batches: Iterator[pa.RecordBatch], shared: Shared, keep: list[s
         own = [_id_lists([p.merge(t) for t in texts])] if file_ids else []
         more = _digests(p, rows) if digest else []
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), _id_lists(rows), *own, *more], [*keep, "ids", *["file_ids"] * file_ids, *(_DIGESTS if digest else [])])
+    trim()
 
 
 def _merge_rows(batches: Iterator[pa.RecordBatch], shared: Shared) -> Iterator[pa.RecordBatch]:

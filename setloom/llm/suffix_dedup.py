@@ -230,6 +230,7 @@ def zipped(rows: DataFrame) -> DataFrame:
         for b in batches:
             blobs = [z.compress(x.as_buffer()) if x.is_valid else None for x in b.column("text")]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(blobs, pa.binary())], [*names, "_sl_blob"])
+        trim()
 
     return rows.mapInArrow(run, T.StructType([*(rows.schema[c] for c in names), T.StructField("_sl_blob", T.BinaryType())]))
 
@@ -249,6 +250,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out["_sl_row"].append(row)
                 out["bytes"].append(raw[w["start"] : w["start"] + w["len"]])
         yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in zip(names, kinds, strict=True)], names)
+    trim()
 
 
 def _owner(row: int, far: bool) -> tuple[int, int]:
@@ -434,6 +436,7 @@ def dedup(docs: DataFrame, *, words: int = PASSAGE_WORDS, **options) -> DataFram
         for b in batches:
             texts = [None if raw is None else _kept(raw, merge([*s, *passages(raw, far, words)])).decode("utf-8", "ignore") for raw, s, far in _texts(b)]
             yield pa.RecordBatch.from_arrays([b.column("_sl_doc"), pa.array(texts, pa.string())], ["_sl_doc", "text"])
+        trim()
 
     out = _with_spans(packed, **options).select("_sl_doc", "_sl_blob", "_sl_gone").mapInArrow(run, schema).select(*unpack)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
