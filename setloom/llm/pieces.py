@@ -72,6 +72,13 @@ def zipf(rank: float) -> float:
     return -float(round(1000 * (math.log(rank + 2.7) + math.log(10.4))))
 
 
+def _frozen(node: dict) -> tuple:
+    return ({c: _frozen(x) for c, x in node.items() if c} or _NOTHING, *node.get("", (-1, None)))
+
+
+_NOTHING: dict = {}
+
+
 class Pieces:
     """A vocabulary with scores, read from a SentencePiece model file's bytes."""
 
@@ -95,18 +102,19 @@ class Pieces:
                 self.bytes_of[i] = own.encode()
         self.longest = max(map(len, self.vocab))
         self.unknown = min(s for _, s in self.vocab.values()) - 10_000.0
-        #: A tree of characters; "" leads to a piece's id and score.
-        self.tree: dict = {}
+        tree: dict = {}
         for w, hit in self.vocab.items():
-            node = self.tree
+            node = tree
             for c in w:
                 node = node.setdefault(c, {})
             node[""] = hit
+        #: The vocabulary's tree: from a character to (tree below, piece's id, its score), the score None where no piece ends.
+        self.tree = _frozen(tree)[0]
         self.model = model
         if any(" " in p.lstrip(" ") or "\n" in p for p in self.vocab):
             raise ValueError("pieces that go over a space or a line break aren't supported")
         self.units = Memo(lambda u: self.solve(u)[0])
-        self.merged = Memo(lambda u: array("i", self.library.encode(u)).tobytes())
+        self.both = Memo(lambda u: (self.solve(u)[0], array("i", self.library.encode(u)).tobytes()))
         self.scores = Memo(lambda u: self.solve(u)[1])
 
     @cached_property
@@ -136,35 +144,36 @@ class Pieces:
             least = first_to + 1 if i < first_to else i + 1
             if least == i + 1 and t[i] not in vocab and x + self.unknown > score[i + 1]:
                 score[i + 1], back[i + 1] = x + self.unknown, i
-            node, j = self.tree, i
+            below, j = self.tree, i
             for c in t[i : min(end, i + longest)]:
-                node = node.get(c)
+                node = below.get(c)
                 if node is None:
                     break
+                below, _, own = node
                 j += 1
-                hit = node.get("")
-                if j >= least and hit and x + hit[1] > score[j]:
-                    score[j], back[j] = x + hit[1], i
+                if j >= least and own is not None and x + own > score[j]:
+                    score[j], back[j] = x + own, i
         return score, back
 
     def solve(self, u: str) -> tuple[bytes, float]:
         """Ids (32-bit integers) and score of a stretch that no piece leaves."""
         n, tree, longest = len(u), self.tree, self.longest
         score, back, last = [0.0] + [NEVER] * n, [0] * (n + 1), [-1] * (n + 1)
+        vocab, unknown = self.vocab, self.unknown
         for i in range(n):
-            x, node, j, alone = score[i], tree, i, False
+            x, below, j = score[i], tree, i
+            if u[i] not in vocab and x + unknown > score[i + 1]:
+                score[i + 1], back[i + 1], last[i + 1] = x + unknown, i, -1
             for c in u[i : i + longest]:
-                node = node.get(c)
+                node = below.get(c)
                 if node is None:
                     break
+                below, piece, own = node
                 j += 1
-                hit = node.get("")
-                if hit is not None:
-                    alone |= j == i + 1
-                    if x + hit[1] > score[j]:
-                        score[j], back[j], last[j] = x + hit[1], i, hit[0]
-            if not alone and x + self.unknown > score[i + 1]:
-                score[i + 1], back[i + 1], last[i + 1] = x + self.unknown, i, -1
+                if own is not None:
+                    own += x
+                    if own > score[j]:
+                        score[j], back[j], last[j] = own, i, piece
         ids, j = array("i"), n
         while j:
             if last[j] >= 0:
@@ -184,7 +193,14 @@ class Pieces:
 
     def merge(self, text: str | None) -> bytes:
         """The ids that the file's own merges give, as 32-bit integers in a row."""
-        return b"".join(map(self.merged.__getitem__, self._UNITS.findall(" " + text))) if text else b""
+        return self.encode_and_merge(text)[1]
+
+    def encode_and_merge(self, text: str | None) -> tuple[bytes, bytes]:
+        """``encode`` and ``merge``, of each word at once."""
+        if not text:
+            return b"", b""
+        ids, merged = zip(*map(self.both.__getitem__, self._UNITS.findall(" " + text)), strict=True)
+        return b"".join(ids), b"".join(merged)
 
     def decode(self, ids: bytes | list[int]) -> str:
         ids = np.frombuffer(ids, np.int32).tolist() if isinstance(ids, bytes) else ids
@@ -315,8 +331,11 @@ def _encode_rows(batches: Iterator[pa.RecordBatch], shared: Shared, keep: list[s
     p = shared.get()
     for b in (x.slice(at, SLICE) for x in batches for at in range(0, x.num_rows, SLICE)):
         texts = b.column("text").to_pylist()
-        rows = [p.encode(t) for t in texts]
-        own = [_id_lists([p.merge(t) for t in texts])] if file_ids else []
+        if file_ids:
+            both = [p.encode_and_merge(t) for t in texts]
+            rows, own = [x for x, _ in both], [_id_lists([x for _, x in both])]
+        else:
+            rows, own = [p.encode(t) for t in texts], []
         more = _digests(p, rows) if digest else []
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), _id_lists(rows), *own, *more], [*keep, "ids", *["file_ids"] * file_ids, *(_DIGESTS if digest else [])])
     trim()
