@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -16,7 +18,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_setloom_shipped", False):
         return
     package = Path(__file__).resolve().parent
-    to = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="setloom-")), "setloom.zip")
+    folder = os.path.realpath(tempfile.mkdtemp(prefix="setloom-"))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    to = os.path.join(folder, "setloom.zip")
     with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(package.rglob("*.py")):
             z.write(p, p.relative_to(package.parent))
