@@ -92,11 +92,11 @@ def _run(emit: np.ndarray, step: np.ndarray) -> np.ndarray:
 
 def marginals(emit: np.ndarray, counts: np.ndarray, trans: np.ndarray) -> np.ndarray:
     """The probability of the toxic state of each word; ``emit`` are log odds, chains are counts[i] .. counts[i + 1]."""
-    return forward_backward(emit, counts, trans)[0]
+    return forward_backward(emit, counts, trans, pairs=False)[0]
 
 
-def forward_backward(emit: np.ndarray, counts: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of the words, and (n, 2, 2) of the pairs of states of each word and the one before (zero at a chain's first)."""
+def forward_backward(emit: np.ndarray, counts: np.ndarray, trans: np.ndarray, *, pairs: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of the words, and with ``pairs`` (n, 2, 2) of the pairs of states of each word and the one before (zero at a chain's first)."""
     n = len(emit)
     if not n:
         return np.zeros(0), np.zeros((0, 2, 2))
@@ -111,6 +111,8 @@ def forward_backward(emit: np.ndarray, counts: np.ndarray, trans: np.ndarray) ->
     back = _run(phi[::-1], np.where(begin[1:][::-1, None, None], free, a.T))[::-1]
     beta = back / phi
     m = alpha * beta
+    if not pairs:
+        return m[:, 1] / m.sum(1), np.zeros((0, 2, 2))
     pair = np.zeros((n, 2, 2))
     pair[1:] = alpha[:-1, :, None] * a * back[1:, None, :]
     pair[begin[:n]] = 0.0
