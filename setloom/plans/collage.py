@@ -109,21 +109,29 @@ def choose(drawn: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["seed", "pos", "track_id", "section", "out_start", "out_end", "mode"])
 
 
-def collage(pool: DataFrame, seeds: list[int], **options) -> DataFrame:
-    """Placements of every seed; ``pool`` has track_id, section, sub, key_num, mode_key and vector."""
+def collage(pool: DataFrame, seeds: list[int], *, about: DataFrame | None = None, **options) -> DataFrame:
+    """Placements of every seed; ``pool`` has track_id, section, sub, and it or ``about`` (by track_id) key_num, mode_key and vector.
+
+    The draws, a bounded number, are what is broadcast: numbered segments are found by them first, and only what was found
+    is joined with the properties of its tracks.
+    """
     placed = positions(pool, "track_id", ["section", "sub"], name="place")
     spark, n = pool.sparkSession, pool.count()
     plans = spark.createDataFrame([r for s in seeds for r in schedule(n, s, **options)], "seed long, pos long, mode string, out_start double, out_end double, places array<long>")
-    drawn = plans.select("seed", "pos", "mode", "out_start", "out_end", F.posexplode("places").alias("nth", "place")).join(placed, "place")
+    drawn = placed.join(F.broadcast(plans.select("seed", "pos", "mode", "out_start", "out_end", F.posexplode("places").alias("nth", "place"))), "place")
+    if about is not None:
+        drawn = about.join(F.broadcast(drawn), "track_id")
     return drawn.groupBy("seed").applyInPandas(choose, "seed long, pos long, track_id long, section long, out_start double, out_end double, mode string")
 
 
 @query("collage_plan")
 def collage_plan(v) -> DataFrame:
     """Segments of all tracks, with their keys and the vectors of their entries."""
-    keys = v["tracks"].select("track_id", "key_num", F.col("mode").alias("mode_key"))
-    vectors = entries(v["cues"], v["tracks"]).select("track_id", F.col("in_vector").alias("vector"))
-    return collage(segment_pool(v).join(keys, "track_id").join(vectors, "track_id", "left"), [1, 2, 3, 4])
+    # Tracks look small to the planner, by compressed files and two columns of them, and would be broadcast.
+    tracks = v["tracks"].hint("merge")
+    vectors = entries(v["cues"], tracks).select("track_id", F.col("in_vector").alias("vector"))
+    keys = tracks.select("track_id", "key_num", F.col("mode").alias("mode_key")).join(vectors, "track_id", "left")
+    return collage(segment_pool(v).select("track_id", "section", "sub"), [1, 2, 3, 4], about=keys)
 
 
 def fade_shapes(mode: Column, u: Column, w: Column, bold: float = 0.21) -> Column:
