@@ -15,9 +15,10 @@ An event that means nothing in its state is ignored. Null positions never start
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field, replace
+from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -29,19 +30,22 @@ RECENT = 4
 COLUMNS = "session long, seq long, action string, track long, next long, played long, recent array<long>"
 
 
-@dataclass(frozen=True)
-class Session:
+class Session(NamedTuple):
     track: int | None = None
     next: int | None = None
     start: float | None = None
     mixing: bool = False
     stopped: bool = False
     played: int = 0
-    recent: tuple[int, ...] = field(default=())
+    recent: tuple[int, ...] = ()
 
 
 def on_air(s: Session, track: int) -> Session:
-    return replace(s, track=track, next=None, start=None, mixing=False, played=s.played + 1, recent=(*s.recent, track)[-RECENT:])
+    return Session(track, None, None, False, s.stopped, s.played + 1, (*s.recent, track)[-RECENT:])
+
+
+def mixes(s: Session) -> Session:
+    return Session(s.track, s.next, s.start, True, s.stopped, s.played, s.recent)
 
 
 def advance(s: Session, kind: str, pos: float | None = None, track: int | None = None, start: float | None = None) -> tuple[Session, str]:
@@ -49,13 +53,13 @@ def advance(s: Session, kind: str, pos: float | None = None, track: int | None =
     if s.stopped:
         return s, "ignored"
     if kind == "stop":
-        return replace(s, stopped=True), "stopped"
+        return s._replace(stopped=True), "stopped"
     if kind == "post" and track is not None:
-        return (s, "refused") if s.mixing or s.next is not None else (replace(s, next=track, start=start), "queued")
+        return (s, "refused") if s.mixing or s.next is not None else (Session(s.track, track, start, s.mixing, s.stopped, s.played, s.recent), "queued")
     if kind == "tick" and s.next is not None and not s.mixing and pos is not None and s.start is not None and pos >= s.start:
-        return replace(s, mixing=True), "mixes"
+        return mixes(s), "mixes"
     if kind == "skip" and s.next is not None and not s.mixing:
-        return replace(s, mixing=True), "mixes"
+        return mixes(s), "mixes"
     if kind == "done" and s.mixing:
         return on_air(s, s.next), "plays"
     if kind == "end" and not s.mixing and track is not None:
@@ -73,9 +77,29 @@ def _steps(s: Session, events: pd.DataFrame) -> tuple[Session, pd.DataFrame]:
     return s, out.astype({"track": "Int64", "next": "Int64"})
 
 
+def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``advance`` over rows in order of session and seq; a session goes on from batch to batch."""
+    s, now = Session(), None
+    for b in batches:
+        sessions, seqs = b.column("session").to_pylist(), b.column("seq").to_pylist()
+        actions, tracks, nexts, played, recent = [], [], [], [], []
+        for session, kind, pos, track, start in zip(sessions, *(b.column(c).to_pylist() for c in ("kind", "pos", "track", "start")), strict=True):
+            if session != now:
+                s, now = Session(), session
+            s, action = advance(s, kind, pos if pos == pos else None, track, start if start == start else None)
+            actions.append(action)
+            tracks.append(s.track)
+            nexts.append(s.next)
+            played.append(s.played)
+            recent.append(s.recent)
+        long = pa.int64()
+        yield pa.RecordBatch.from_arrays([pa.array(sessions, long), pa.array(seqs, long), pa.array(actions, pa.string()), pa.array(tracks, long), pa.array(nexts, long), pa.array(played, long), pa.array(recent, pa.list_(long))], [c.split()[0] for c in COLUMNS.split(", ")])
+
+
 def play(events: DataFrame) -> DataFrame:
-    """What every event of every session did, and the state after it."""
-    return events.groupBy("session").applyInPandas(lambda pdf: _steps(Session(), pdf)[1], COLUMNS)
+    """What every event of every session did, and the state after it: sorted runs of sessions, of which one state is held."""
+    rows = events.select(F.col("session").cast("long"), F.col("seq").cast("long"), "kind", F.col("pos").cast("double"), F.col("track").cast("long"), F.col("start").cast("double"))
+    return rows.repartition("session").sortWithinPartitions("session", "seq").mapInArrow(_follow, COLUMNS)
 
 
 _STATE = "track long, next long, start double, mixing boolean, stopped boolean, played long, recent array<long>"

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import random
+
 from setloom.plans import collage
 from setloom.sources.views import Views
+from setloom.streaming import player
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,3 +26,24 @@ def broadcasts(df) -> list[str]:
 def test_collages_broadcast_draws_and_totals_only(spark):
     sent = broadcasts(collage.collage_plan(Views(spark, SF)))
     assert sent and all("ExistingRDD" in x or "_sl_sum" in x for x in sent)
+
+
+def test_sessions_go_on_from_batch_to_batch(spark):
+    """Sorted runs hold one state, not a group: no session is gathered, and a batch's end is not a session's."""
+    rng = random.Random(9)
+    kinds = ["post", "tick", "skip", "done", "end", "stop", "other", None]
+    rows = [(k, i, rng.choices(kinds, [6, 6, 2, 6, 2, 0.1, 1, 1])[0], rng.choice([None, float("nan"), float(i)]), rng.choice([None, 100 * k + i]), rng.choice([None, float(i - 3)])) for k in range(40) for i in range(30)]
+    want = {}
+    for k, i, kind, pos, track, start in rows:
+        s = player.Session() if i == 0 else s
+        s, action = player.advance(s, kind, None if pos != pos else pos, track, start)
+        want[k, i] = (action, s.track, s.next, s.played, list(s.recent))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        shuffled = spark.createDataFrame(rng.sample(rows, len(rows)), "session long, seq long, kind string, pos double, track long, start double")
+        played = player.play(shuffled)
+        got = {(r.session, r.seq): (r.action, r.track, r.next, r.played, r.recent) for r in played.collect()}
+        assert got == want and "GroupsInPandas" not in played._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
