@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import random
 
-from setloom.plans import collage
+from pyspark.sql import functions as F
+
+from setloom.operators import graph, signal
+from setloom.plans import collage, paths
 from setloom.sources.views import Views
 from setloom.streaming import player
 
@@ -47,3 +50,46 @@ def test_sessions_go_on_from_batch_to_batch(spark):
         assert got == want and "GroupsInPandas" not in played._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def sides(monkeypatch) -> list[int]:
+    """Collects how many pairs every call of ``graph.cells`` makes."""
+    made, cells = [], graph.cells
+    monkeypatch.setattr(graph, "cells", lambda a, b: made.append(a.count() * b.count()) or cells(a, b))
+    return made
+
+
+def few_classes(spark, n: int = 300):
+    """Tracks of few tempos and keys, some ids on several rows, one without an id."""
+    rng = random.Random(10)
+    rows = [(i, rng.choice([60.0, 61.5, 90.0, 120.0, 121.0, 123.0, 180.0, 240.0]), rng.choice([1, 2, 8]), rng.choice("AB")) for i in range(n)]
+    return spark.createDataFrame([*rows, rows[40], rows[40], rows[20], rows[21], (None, 120.0, 1, "A")], "track_id long, bpm double, key_num long, mode string").cache()
+
+
+def every_pair(tracks):
+    a, b = tracks.where(graph.SOURCES).select(F.struct("*").alias("a")), tracks.select(F.struct("*").alias("b"))
+    return a.crossJoin(b).where("a.track_id <> b.track_id")
+
+
+def test_edges_by_classes_equal_those_of_all_pairs(spark, monkeypatch):
+    tracks, made = few_classes(spark), sides(monkeypatch)
+    sims = spark.createDataFrame([(s, d, x) for s, d, x in ((0, 5, 0.9), (0, 40, -0.2), (0, 77, None), (40, 5, 1.0), (40, 77, 0.3), (999, 5, 1.0))], "src long, dst long, similarity double")
+    out, into = [r.src for r in sims.select("src").distinct().collect()], [r.dst for r in sims.select("dst").distinct().collect()]
+    sims = sims.unionByName(spark.createDataFrame([(40, 40, 1.0)], sims.schema)).where("src <> dst")
+    sources = tracks.where(graph.SOURCES).withColumn("has_out", F.col("track_id").isin(out))
+    got = graph.best_edges(sources, tracks.withColumn("has_in", F.coalesce(F.col("track_id").isin(into), F.lit(False))), sims, 10).collect()
+    cued = F.col("src").isin(out) & F.col("dst").isin(into)
+    both = every_pair(tracks).select(F.col("a.track_id").alias("src"), F.col("b.track_id").alias("dst"), graph.tempo_score().alias("rhythm"), graph.key_score().alias("base"), graph.best_shift(F.col("a.key_num"), F.col("a.mode"), F.col("b.key_num"), F.col("b.mode")).alias("s"))
+    paid = F.col("s.score") - graph.SHIFT_PENALTY * F.abs("s.n")
+    scored = both.join(sims, ["src", "dst"], "left").where(~cued | F.struct("src", "dst").isin([F.struct(F.lit(s).cast("long").alias("src"), F.lit(d).cast("long").alias("dst")) for s in out for d in into])).withColumn("h", F.round(F.when(F.coalesce(paid > F.col("base"), F.lit(False)), paid).otherwise(F.col("base")), 3))
+    scored = scored.withColumn("score", F.round(graph.edge_score(F.col("h"), F.col("rhythm"), F.col("similarity")), 3))
+    pool = {(s, d) for s in out for d in into} - {(r.src, r.dst) for r in sims.collect()}
+    want: dict[int, list] = {}
+    for r in sorted(scored.collect(), key=lambda r: (r.src, -r.score, r.dst)):
+        if (r.src, r.dst) not in pool:
+            want.setdefault(r.src, []).append((r.dst, r.score))
+    have: dict[int, list] = {}
+    for r in sorted(got, key=lambda r: (r.src, r["rank"])):
+        have.setdefault(r.src, []).append((r.dst, r.score))
+    assert have == {s: x[:10] for s, x in want.items()} and len(have) == 15
+    assert max(made) < 48 * 2 * 48 * 2
