@@ -93,3 +93,8 @@ def test_edges_by_classes_equal_those_of_all_pairs(spark, monkeypatch):
         have.setdefault(r.src, []).append((r.dst, r.score))
     assert have == {s: x[:10] for s, x in want.items()} and len(have) == 15
     assert max(made) < 48 * 2 * 48 * 2
+
+
+def test_next_tracks_work_the_edges_out_once(spark):
+    plan = signal.next_track(Views(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("InMemoryRelation") == 3 and "CoGroup" not in plan.split("InMemoryRelation")[0]
