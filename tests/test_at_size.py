@@ -98,3 +98,12 @@ def test_edges_by_classes_equal_those_of_all_pairs(spark, monkeypatch):
 def test_next_tracks_work_the_edges_out_once(spark):
     plan = signal.next_track(Views(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("InMemoryRelation") == 3 and "CoGroup" not in plan.split("InMemoryRelation")[0]
+
+
+def test_beatmatch_partners_equal_those_of_all_pairs(spark):
+    tracks = few_classes(spark)
+    plain = every_pair(tracks).where(graph.beatmatchable(F.col("a.bpm"), F.col("b.bpm"))).groupBy("a.track_id").agg(F.count(F.lit(1)).alias("n_partners"), F.min("b.track_id").alias("first_partner"), F.max(graph.key_score()).alias("best_harm"))
+    got = graph.beatmatch_partners(tracks.where(graph.SOURCES), tracks)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect())) and got.count() == 15
+    lone = spark.createDataFrame([(20, 100.0, 1, "A"), (40, 130.0, 1, "A"), (41, 130.0, 1, "A")], tracks.schema)
+    assert [tuple(r) for r in graph.beatmatch_partners(lone.where(graph.SOURCES), lone).collect()] == [(40, 1, 41, 1.0)]
