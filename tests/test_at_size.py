@@ -6,7 +6,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from setloom.operators import graph, signal
+from setloom.functions.vectors import cosine
+from setloom.operators import graph, signal, vectors
 from setloom.plans import collage, paths
 from setloom.sources.views import Views
 from setloom.streaming import player
@@ -107,3 +108,36 @@ def test_beatmatch_partners_equal_those_of_all_pairs(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect())) and got.count() == 15
     lone = spark.createDataFrame([(20, 100.0, 1, "A"), (40, 130.0, 1, "A"), (41, 130.0, 1, "A")], tracks.schema)
     assert [tuple(r) for r in graph.beatmatch_partners(lone.where(graph.SOURCES), lone).collect()] == [(40, 1, 41, 1.0)]
+
+
+def some_cues(spark, n: int = 400):
+    """Cues of few tracks with equal, opposite, zero and missing vectors."""
+    rng = random.Random(11)
+    base = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(12)]
+    rows = []
+    for i in range(n):
+        x = rng.choice(base)
+        kind = rng.random()
+        vector = None if kind < 0.1 else [0.0] * 8 if kind < 0.2 else [-y for y in x] if kind < 0.4 else x if kind < 0.7 else [rng.gauss(0, 1) for _ in range(8)]
+        rows.append((i, i % 9, i // 9, "out" if rng.random() < 0.5 else "in", float(i), rng.random() < 0.5, rng.choice([0.25, 0.5]), vector))
+    return spark.createDataFrame(rows, "cue_id long, track_id long, pos long, type string, ts double, phrase_aligned boolean, confidence double, embedding array<float>").cache()
+
+
+def cue_pairs(cues):
+    o, i = cues.where("type = 'out'").select(F.struct("*").alias("o")), cues.where("type = 'in'").select(F.struct("*").alias("i"))
+    return o.crossJoin(i).where("o.track_id <> i.track_id").withColumn("sim", cosine(F.col("o.embedding"), F.col("i.embedding")))
+
+
+def test_best_pairs_of_blocks_equal_those_of_all_pairs(spark, monkeypatch):
+    cues = some_cues(spark)
+    trust, aligned = (F.col("o.confidence") + F.col("i.confidence")) / 2.0, F.col("o.phrase_aligned") & F.col("i.phrase_aligned")
+    score = F.when(F.col("sim").isNull(), 0.7 * trust + F.when(aligned, 0.3).otherwise(0.0)).otherwise(0.6 * F.col("sim") + 0.2 * trust + F.when(aligned, 0.2).otherwise(0.0))
+    best = cue_pairs(cues).groupBy(F.col("o.track_id").alias("src"), F.col("i.track_id").alias("dst")).agg(F.max(F.struct(F.round(score, 9).alias("s"), (-F.col("o.pos")).alias("p"), (-F.col("i.pos")).alias("q"), F.col("o.ts").alias("x"), F.col("i.ts").alias("y"), "sim")).alias("m"))
+    want = sorted((r.src, r.dst, r.m.x, r.m.y, round(r.m.s, 6), r.m.sim if r.m.sim is None else r.m.sim + 0) for r in best.collect())
+    for block in (7, 16_000):
+        monkeypatch.setattr(graph, "VECTOR_BLOCK", block)
+        monkeypatch.setattr(vectors, "PART", 50 if block == 7 else 1 << 18)
+        out, into = cues.where("type = 'out'"), cues.where("type = 'in'")
+        got = graph.paired_cues(out, into)
+        assert sorted((r.src, r.dst, r.out_ts, r.in_ts, round(r.score, 6), r.similarity) for r in got.collect()) == want and len(want) == 72
+    assert graph.paired_cues(out.where("false"), into).count() == graph.paired_cues(out, into.where("false")).count() == 0
