@@ -141,3 +141,12 @@ def test_best_pairs_of_blocks_equal_those_of_all_pairs(spark, monkeypatch):
         got = graph.paired_cues(out, into)
         assert sorted((r.src, r.dst, r.out_ts, r.in_ts, round(r.score, 6), r.similarity) for r in got.collect()) == want and len(want) == 72
     assert graph.paired_cues(out.where("false"), into).count() == graph.paired_cues(out, into.where("false")).count() == 0
+
+
+def test_tempo_partners_equal_those_of_all_pairs(spark, monkeypatch):
+    tracks, made = few_classes(spark), sides(monkeypatch)
+    plain = every_pair(tracks).select("a.track_id", graph.tempo_score().alias("s")).groupBy("track_id").agg(F.count(F.lit(1)), F.count_if(F.col("s") > 0), F.max("s"), F.round(F.avg("s"), 6))
+    got = graph.tempo_partners(tracks.where(graph.SOURCES), tracks)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect())) and max(made) <= 64
+    lone = tracks.where("track_id = 60")
+    assert graph.tempo_partners(lone, lone).count() == 0
