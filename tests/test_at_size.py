@@ -150,3 +150,13 @@ def test_tempo_partners_equal_those_of_all_pairs(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect())) and max(made) <= 64
     lone = tracks.where("track_id = 60")
     assert graph.tempo_partners(lone, lone).count() == 0
+
+
+def test_nearest_cues_of_blocks_equal_those_of_all_pairs(spark, monkeypatch):
+    cues = some_cues(spark).where("embedding is not null")
+    best = cue_pairs(cues).groupBy("o.cue_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("sim", (-F.col("i.cue_id")).alias("c"))).alias("m"))
+    want = sorted((r.cue_id, r.n, -r.m.c, -9.0 if r.m.sim is None else r.m.sim + 0) for r in best.collect())
+    for block in (11, 16_000):
+        monkeypatch.setattr(graph, "VECTOR_BLOCK", block)
+        got = graph.nearest_cues(cues.where("type = 'out'"), cues.where("type = 'in'"))
+        assert sorted((r.cue_id, r.n_pairs, r.best_cue, -9.0 if r.best_sim is None else r.best_sim) for r in got.collect()) == want and any(r[3] == -9.0 for r in want)
