@@ -160,3 +160,13 @@ def test_nearest_cues_of_blocks_equal_those_of_all_pairs(spark, monkeypatch):
         monkeypatch.setattr(graph, "VECTOR_BLOCK", block)
         got = graph.nearest_cues(cues.where("type = 'out'"), cues.where("type = 'in'"))
         assert sorted((r.cue_id, r.n_pairs, r.best_cue, -9.0 if r.best_sim is None else r.best_sim) for r in got.collect()) == want and any(r[3] == -9.0 for r in want)
+
+
+def test_a_step_makes_no_rows_of_pairs_of_cues(spark):
+    """The cues of the current track meet the others in blocks; a track without cues has no such join at all."""
+    edges = paths.Edges(Views(spark, SF))
+    cued = edges.out.join(edges.tracks, "track_id").orderBy("track_id").select("track_id").first().track_id
+    now = lambda i: edges.tracks.where(F.col("track_id") == i).first().asDict()
+    plan = lambda i: edges(now(i))._jdf.queryExecution().optimizedPlan().toString()
+    lone = edges.tracks.join(edges.out, "track_id", "left_anti").orderBy("track_id").first().track_id
+    assert "CoGroup" in plan(cued) and "Join" not in plan(lone)
