@@ -1,10 +1,11 @@
 """Near-dedup of the pipeline: documents whose five-word shingle sets have a Jaccard similarity of 0.8 or more.
 
-At that similarity 64-bit fingerprints differ in far more bits than an index over them can bridge, so candidates come
-from min-hash bands: BANDS keys of ROWS min-hashes each. A pair of similarity s shares no key with probability
-(1 - s ** ROWS) ** BANDS, 1.5e-5 at 0.8 and less above. Every link is then checked exactly on the shingle sets.
+SimHash comes first: each set has a 64-bit fingerprint, and operator 9's index links those within two bits. At 0.8
+fingerprints differ in more bits than an index over them can bridge, so for the rest candidates come from min-hash
+bands too: BANDS keys of ROWS min-hashes each. A pair of similarity s shares no key with probability
+(1 - s ** ROWS) ** BANDS, 1.5e-5 at 0.8 and less above. Every link of either kind is checked exactly on the shingle sets.
 
-Documents of equal sets are one node from the start. Each node is checked against one head of a bucket first, then
+Documents of equal sets are one node from the start. Each node is checked against what its fingerprint links it with and one head of a bucket first, then
 against the heads of its other buckets that it isn't united with; then, components known, the pairs of a bucket that lie
 in different components are. So every pair that shares a bucket is checked, already united, or has too few shingles that
 others have too, or too many that the other's bitmap lacks: then it can't reach 0.8, which is exact. A group of copies of any
@@ -22,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from setloom.llm import simhash
 from setloom.llm.common import LOWER, SPACE_SEP, gram_hash, mix64, stage, text_blocks, trim, with_row_id, words_of
 from setloom.llm.graph import components
 
@@ -68,6 +70,16 @@ def digest(hashes: np.ndarray) -> int:
     return int(mix64(np.array([mix64(hashes).sum(dtype=np.uint64) + np.uint64(len(hashes))], np.uint64)).view(np.int64)[0])
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """The SimHash of a set as a signed long: a bit is 1 if it is in over half the hashes."""
+    if not len(hashes):
+        return 0
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), 1 << 16):
+        ones += np.unpackbits(mix64(hashes[k : k + (1 << 16)]).view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes)).view(np.int64)[0])
+
+
 def band_keys(hashes: np.ndarray) -> np.ndarray:
     """One key a band; the empty set has none."""
     if not len(hashes):
@@ -79,20 +91,21 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, _sl_row, node, n (shingles) and keys of every row."""
+    """doc_id, _sl_row, node, n (shingles), fp and keys of every row."""
     slim = with_row_id(docs.select("doc_id", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node, n, keys = [], [], []
+            node, n, fp, keys = [], [], [], []
             for s in shingle_sets(b.column("text")):
                 node.append(digest(s))
                 n.append(len(s))
+                fp.append(fingerprint(s))
                 keys.append(band_keys(s))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_sl_row"), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "_sl_row", "node", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_sl_row"), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "_sl_row", "node", "n", "fp", "keys"])
         trim()
 
-    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, _sl_row long, node long, n long, keys array<long>")
+    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, _sl_row long, node long, n long, fp long, keys array<long>")
 
 
 def bitmap(hashes: np.ndarray) -> np.ndarray:
@@ -126,6 +139,15 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(9 * F.size(F.array_intersect("hu", "hv")) >= 4 * (F.size("hu") + F.size("hv"))).select("u", "v")
 
 
+def _printed(nodes: DataFrame) -> DataFrame:
+    """Pairs (u, v) of nodes (node, fp) that SimHash links: equal fingerprints by the least node, others through operator 9's index."""
+    firsts = nodes.groupBy("fp").agg(F.min("node").alias("first"))
+    same = nodes.join(firsts, "fp").where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    found = simhash.links(firsts.select("fp")).distinct()
+    side = lambda c: firsts.select(F.col("fp").alias(f"f{c}"), F.col("first").alias(c))
+    return same.unionByName(found.toDF("fu", "fv").join(side("u"), "fu").join(side("v"), "fv").select("u", "v"))
+
+
 def clusters(docs: DataFrame, prints: DataFrame) -> DataFrame:
     """(node, root) of every node that is linked with another; ``prints`` are the staged signatures of ``docs``."""
     nodes = prints.groupBy("node").agg(F.min("n").alias("n"), F.min("_sl_row").alias("_sl_row"), F.min("keys").alias("keys"))
@@ -136,13 +158,16 @@ def clusters(docs: DataFrame, prints: DataFrame) -> DataFrame:
     shared = shared.join(crowd, "node").select("node", "n", "_sl_row", "key", "crowd")
     heads = shared.groupBy("key").agg(F.max(F.struct("crowd", "node", "n")).alias("head"))
     buckets = stage(shared.join(heads, "key").select("node", "n", "_sl_row", "key", "head"), "near-buckets")
-    sets = stage(_sets(docs, buckets.select("_sl_row").distinct()), "near-sets")
+    slim = prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min("_sl_row").alias("_sl_row"))
+    printed = stage(_printed(slim.select("node", "fp")), "near-printed")
+    ends = printed.select(F.col("u").alias("node")).unionByName(printed.select(F.col("v").alias("node")))
+    sets = stage(_sets(docs, buckets.select("_sl_row").unionByName(slim.join(ends, "node", "left_semi").select("_sl_row")).distinct()), "near-sets")
     sized = "5 * least(a, b) >= 4 * greatest(a, b)"
     # Shingles that no other candidate has can't be common to two: of n, n - lone at most are.
     lone = sets.select("node", F.explode("hashes").alias("h")).groupBy("h").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("df")).where("df = 1").groupBy("node").agg(F.count(F.lit(1)).alias("lone"))
-    # First each node with the head of most neighbours, one pair a node; then with its other heads where they are still apart.
+    # First what SimHash links, and each node with the head of most neighbours, one pair a node; then with its other heads where they are still apart.
     one = buckets.groupBy("node").agg(F.max("n").alias("a"), F.max("head").alias("head")).where("head.node <> node")
-    linked = stage(components(_similar(one.select(F.col("node").alias("u"), F.col("head.node").alias("v"), "a", F.col("head.n").alias("b")).where(sized).select("u", "v"), sets)), "near-linked")
+    linked = stage(components(_similar(one.select(F.col("node").alias("u"), F.col("head.node").alias("v"), "a", F.col("head.n").alias("b")).where(sized).select("u", "v").unionByName(printed).distinct(), sets)), "near-linked")
     root = lambda c: linked.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
     stars = buckets.where("node <> head.node").select(F.col("node").alias("u"), F.col("head.node").alias("v"), F.col("n").alias("a"), F.col("head.n").alias("b")).where(sized).select("u", "v").distinct()
     apart = stars.join(root("u"), "u", "left").join(root("v"), "v", "left").where("coalesce(ru, u) <> coalesce(rv, v)").select("u", "v")

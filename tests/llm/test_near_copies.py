@@ -110,3 +110,21 @@ def test_groups_alike_by_less_than_the_threshold_stay(spark):
         texts.append(" ".join("x" + w + str(rng.random()) if i in at else w for i, w in enumerate(base)))
     kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, documents(spark, texts), "").collect()}
     assert kept == firsts(texts) and len(kept) > 30
+
+
+def test_fingerprints_link_near_copies_without_any_band(spark, monkeypatch):
+    """SimHash is a step of its own: within two bits, and of 0.8 or more, documents are one though they share no bucket."""
+    rng = random.Random(8)
+    texts = []
+    for _ in range(30):
+        base = words(rng, 1500)
+        texts += [" ".join(base), " ".join([*base[:700], "other", *base[701:]]), " ".join(words(rng, 3))]
+    keys = near_copies.band_keys
+    prints = [near_copies.fingerprint(next(iter(near_copies.shingle_sets(near_copies.pa.array([t]))))) for t in texts]
+    near = [(prints[i] ^ prints[i + 1]) & ((1 << 64) - 1) for i in range(0, len(texts), 3)]
+    linked = sum(x.bit_count() <= 2 for x in near)
+    monkeypatch.setattr(near_copies, "band_keys", lambda h: keys(h)[:0])
+    docs = documents(spark, texts)
+    signs = near_copies.stage(near_copies.signatures(docs).withColumn("keys", near_copies.F.array().cast("array<long>")), "test-prints")
+    found = near_copies.clusters(docs, signs).collect()
+    assert linked > 10 and len({r.root for r in found}) == linked and len(found) == 2 * linked
