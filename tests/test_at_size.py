@@ -170,3 +170,10 @@ def test_a_step_makes_no_rows_of_pairs_of_cues(spark):
     plan = lambda i: edges(now(i))._jdf.queryExecution().optimizedPlan().toString()
     lone = edges.tracks.join(edges.out, "track_id", "left_anti").orderBy("track_id").first().track_id
     assert "CoGroup" in plan(cued) and "Join" not in plan(lone)
+
+
+def test_blocks_that_one_side_lacks_give_nothing(spark):
+    cues = some_cues(spark).where("embedding is not null")
+    one = cues.where("type = 'out'").limit(1)
+    assert graph.nearest_cues(one, cues.where("type = 'in'").limit(3)).count() <= 1
+    assert graph.paired_cues(one, cues.where("type = 'in'").limit(3)).count() <= 3
