@@ -6,7 +6,8 @@ needs scores that add up: a piece's score is the logarithm of its Zipf-Mandelbro
 so that sums are exact. These ids are therefore not those of the file's own merges. With ``file_ids`` a second column
 holds those, as the sentencepiece library gives them with the file; words are merged on their own, since no piece goes
 over a cut. A character of no piece is written as its bytes' pieces, so that decoding gives every text back exactly. No piece goes over a cut: a space after something else, or
-a side of a line break. Words between cuts are therefore independent, and their pieces are kept in a bounded cache.
+a side of a line break. Words between cuts are therefore independent, and their pieces are kept in a bounded table; the
+words that are new in a slice of texts are solved together, each step of the recurrence for all of them at once.
 
 Giant texts, over ``giant`` characters, are split into chunks, whose rows spread over the cluster. A chunk yields a
 transfer matrix: entry [s, t] is the best score of going from a piece boundary s characters before the chunk to one
@@ -27,12 +28,15 @@ import math
 import re
 import struct
 from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import cached_property
+from itertools import chain, count, islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,6 +50,10 @@ NEVER = -1e18
 GROUP = 256
 #: Words remembered, twice: those in use and those used before.
 CACHE = 60_000
+#: Words in a table of words before it's cut to the half that came most.
+WORDS = 120_000
+#: Characters of the longest words that are remembered, and that are solved together.
+SHORT = 64
 
 
 class Memo(dict):
@@ -59,7 +67,7 @@ class Memo(dict):
         out = self.old.get(u)
         if out is None:
             out = self.f(u)
-        if len(u) <= 64:
+        if len(u) <= SHORT:
             if len(self) >= CACHE:
                 self.old = dict(self)
                 self.clear()
@@ -67,6 +75,45 @@ class Memo(dict):
         return out
 
 
+class Words:
+    """Ids of words by functions of many words, each distinct word once, in a table that is cut to the words that came most when it's full."""
+
+    def __init__(self, *solvers) -> None:
+        self.solvers = solvers
+        self.slots = defaultdict(count().__next__)  # a new word takes the next slot
+        self.uses = np.zeros(0, np.int64)
+        self.flat = [(np.zeros(0, np.int32), np.zeros(1, np.int64)) for _ in solvers]
+
+    def ids_of(self, words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each function the ids of the words in a row, and the n + 1 places where words begin and end."""
+        if len(self.slots) > WORDS or any(len(ids) > 16 * WORDS for ids, _ in self.flat):
+            self._shrink()
+        at = np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
+        new = list(islice(self.slots, len(self.uses), None))
+        if new:
+            self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
+            for k, solve in enumerate(self.solvers):
+                (ids, ends), (more, to) = self.flat[k], solve(new)
+                self.flat[k] = np.concatenate([ids, more]), np.concatenate([ends, to[1:] + ends[-1]])
+        self.uses += np.bincount(at, minlength=len(self.uses))
+        return [_taken(ids, ends, at) for ids, ends in self.flat]
+
+    def _shrink(self) -> None:
+        names = list(self.slots)
+        short = np.flatnonzero(np.fromiter(map(len, names), np.int64, len(names)) <= SHORT)
+        keep = np.sort(short[np.argsort(-self.uses[short], kind="stable")[: WORDS // 2]])
+        self.slots = defaultdict(count(len(keep)).__next__, {names[i]: k for k, i in enumerate(keep.tolist())})
+        self.uses = self.uses[keep] // 2
+        self.flat = [_taken(ids, ends, keep) for ids, ends in self.flat]
+
+
+def _taken(ids: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the words at these slots, in this order, and the places where they begin and end."""
+    size = ends[at + 1] - ends[at]
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    return ids[np.repeat(ends[at] - bounds[:-1], size) + np.arange(bounds[-1])], bounds
+
+
 def zipf(rank: float) -> float:
     """Thousandths of the log frequency of the piece at a rank, 0 first: 1 / (10.4 * (rank + 2.7))."""
     return -float(round(1000 * (math.log(rank + 2.7) + math.log(10.4))))
@@ -114,7 +161,7 @@ class Pieces:
         if any(" " in p.lstrip(" ") or "\n" in p for p in self.vocab):
             raise ValueError("pieces that go over a space or a line break aren't supported")
         self.units = Memo(lambda u: self.solve(u)[0])
-        self.both = Memo(lambda u: (self.solve(u)[0], array("i", self.library.encode(u)).tobytes()))
+        self.merged = Memo(lambda u: array("i", self.library.encode(u)).tobytes())
         self.scores = Memo(lambda u: self.solve(u)[1])
 
     @cached_property
@@ -184,6 +231,118 @@ class Pieces:
         ids.reverse()
         return ids.tobytes(), score[n]
 
+    @cached_property
+    def steps(self) -> tuple[np.ndarray, ...]:
+        """The tree in arrays: by character (one more for all others) the node it leads to from the root, 0 where it is no piece, and its
+        column, 0 where no piece has it after its first; by node times columns plus column the next node, 0 where there is none; by
+        node its score (-inf where no piece ends) and piece; the last node that has others below. These come first."""
+        inner: list[tuple] = []
+        leaves: list[tuple] = []
+        below = [(-1, c, node) for c, node in self.tree.items()]
+        while below:
+            after = []
+            for up, c, node in below:
+                if node[0]:
+                    inner.append((up, c, node))
+                    after.extend((len(inner), d, x) for d, x in node[0].items())
+                else:
+                    leaves.append((up, c, node))
+            below = after
+        nodes = [*inner, *leaves]
+        columns = {c: k for k, c in enumerate(sorted({c for up, c, _ in nodes if up > 0}), 1)}
+        n = max(map(ord, {c for _, c, _ in nodes})) + 2
+        first, column = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        column[[ord(c) for c in columns]] = list(columns.values())
+        step = np.zeros((len(inner) + 1, len(columns) + 1), np.min_scalar_type(len(nodes)))
+        score, piece = np.full(len(nodes) + 1, -np.inf), np.full(len(nodes) + 1, -1, np.int32)
+        for k, (up, c, (_, i, own)) in enumerate(nodes, 1):
+            if up > 0:
+                step[up, columns[c]] = k
+            elif own is not None:
+                first[ord(c)] = k
+            if own is not None:
+                score[k], piece[k] = own, i
+        return first, column, step.ravel(), score, piece, len(inner)
+
+    def solve_all(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of ``solve`` of each word, in a row, and the n + 1 places where words begin and end.
+
+        Words go side by side through the steps of ``solve``, in its order, so ties fall alike. Long words and those with characters
+        of no piece go through ``solve``.
+        """
+        n = len(words)
+        first, column, step, own, piece_of, inner = self.steps
+        size = np.fromiter(map(len, words), np.int64, n)
+        code = np.minimum(np.frombuffer("".join(words).encode("utf-32-le"), np.uint32), len(first) - 1)
+        begin = np.cumsum(size) - size
+        node_of = first[code]
+        odd = np.zeros(n, bool)
+        odd[np.repeat(np.arange(n), size)[node_of == 0]] = True
+        odd |= (size > SHORT) | (size == 0)
+        alone = {i: np.frombuffer(self.solve(words[i])[0], np.int32) for i in np.flatnonzero(odd).tolist()}
+        order = np.flatnonzero(~odd)
+        order = order[np.argsort(-size[order], kind="stable")]
+        length = size[order]
+        at = np.cumsum(length + 1) - (length + 1)  # each word has a place for every boundary; the last has no character
+        ends = at + length
+        place = np.arange(length.sum()) + np.repeat(np.arange(len(order)), length)
+        own_code = code[np.repeat(begin[order] - (np.cumsum(length) - length), length) + np.arange(len(place))]
+        total = int(length.sum()) + len(order)
+        start_node, kind = np.zeros(total, np.int64), np.zeros(total, np.int64)
+        start_node[place], kind[place] = first[own_code], column[own_code]
+        score, back, last = np.full(total, -np.inf), np.zeros(total, np.int64), np.zeros(total, np.int32)
+        score[at] = 0.0
+        columns = len(step) // (inner + 1)
+        for i in range(int(length[0]) if len(length) else 0):
+            here = at[: np.searchsorted(-length, -i)] + i
+            x, node, to = score[here], start_node[here], here + 1
+            while len(here):
+                sums = x + own[node]
+                better = np.flatnonzero(sums > score[to])
+                hit = to[better]
+                score[hit], back[hit], last[hit] = sums[better], here[better], piece_of[node[better]]
+                node = step[np.where(node <= inner, node, 0) * columns + kind[to]]
+                go = np.flatnonzero(node)
+                here, x, node, to = here[go], x[go], node[go].astype(np.int64), to[go] + 1
+        found, w, j = [], np.arange(len(order)), ends
+        while len(w):
+            found.append((order[w], last[j]))
+            j = back[j]
+            go = np.flatnonzero(j > at[w])
+            w, j = w[go], j[go]
+        many = np.zeros(n + 1, np.int64)
+        for k, _ in found:
+            many[k + 1] += 1
+        for i, x in alone.items():
+            many[i + 1] = len(x)
+        bounds = np.cumsum(many)
+        out = np.empty(bounds[-1], np.int32)
+        for r, (k, piece) in enumerate(found, 1):
+            out[bounds[k + 1] - r] = piece
+        for i, x in alone.items():
+            out[bounds[i] : bounds[i + 1]] = x
+        return out, bounds
+
+    def merge_all(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The file's own merges of each word, in a row, and the n + 1 places where words begin and end."""
+        rows = self.library.encode(words, num_threads=1)
+        bounds = np.cumsum([0, *map(len, rows)])
+        return np.fromiter(chain.from_iterable(rows), np.int32, bounds[-1]), bounds
+
+    @cached_property
+    def words(self) -> Words:
+        return Words(self.solve_all)
+
+    @cached_property
+    def words_merged(self) -> Words:
+        return Words(self.solve_all, self.merge_all)
+
+    def encode_texts(self, texts: list[str | None], file_ids: bool = False) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The ids of texts in a row, with the n + 1 places where texts begin and end; with ``file_ids`` also those of the file's own merges."""
+        rows = [self._UNITS.findall(" " + t) if t else [] for t in texts]
+        bounds = np.cumsum([0, *map(len, rows)])
+        return [(ids, ends[bounds]) for ids, ends in (self.words_merged if file_ids else self.words).ids_of([*chain.from_iterable(rows)])]
+
     def encode_part(self, t: str) -> bytes:
         return b"".join(map(self.units.__getitem__, self._UNITS.findall(t)))
 
@@ -193,14 +352,7 @@ class Pieces:
 
     def merge(self, text: str | None) -> bytes:
         """The ids that the file's own merges give, as 32-bit integers in a row."""
-        return self.encode_and_merge(text)[1]
-
-    def encode_and_merge(self, text: str | None) -> tuple[bytes, bytes]:
-        """``encode`` and ``merge``, of each word at once."""
-        if not text:
-            return b"", b""
-        ids, merged = zip(*map(self.both.__getitem__, self._UNITS.findall(" " + text)), strict=True)
-        return b"".join(ids), b"".join(merged)
+        return b"".join(map(self.merged.__getitem__, self._UNITS.findall(" " + text))) if text else b""
 
     def decode(self, ids: bytes | list[int]) -> str:
         ids = np.frombuffer(ids, np.int32).tolist() if isinstance(ids, bytes) else ids
@@ -327,17 +479,25 @@ def _id_lists(rows: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(rows), np.int32)))
 
 
+def _slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of bounded rows and characters (a longer text is a slice of its own)."""
+    size = pc.fill_null(pc.utf8_length(b.column("text").cast(pa.large_string())), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(size), 0
+    while at < b.num_rows:
+        to = int(np.searchsorted(ends, ends[at] - size[at] + SLICE_CHARS, side="right"))
+        to = min(max(to, at + 1), at + SLICE, b.num_rows)
+        yield b.slice(at, to - at)
+        at = to
+
+
 def _encode_rows(batches: Iterator[pa.RecordBatch], shared: Shared, keep: list[str], digest: bool, file_ids: bool) -> Iterator[pa.RecordBatch]:
     p = shared.get()
-    for b in (x.slice(at, SLICE) for x in batches for at in range(0, x.num_rows, SLICE)):
-        texts = b.column("text").to_pylist()
-        if file_ids:
-            both = [p.encode_and_merge(t) for t in texts]
-            rows, own = [x for x, _ in both], [_id_lists([x for _, x in both])]
-        else:
-            rows, own = [p.encode(t) for t in texts], []
-        more = _digests(p, rows) if digest else []
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), _id_lists(rows), *own, *more], [*keep, "ids", *["file_ids"] * file_ids, *(_DIGESTS if digest else [])])
+    for b in (x for y in batches for x in _slices(y)):
+        found = p.encode_texts(b.column("text").to_pylist(), file_ids)
+        lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)) for ids, ends in found]
+        ids, ends = found[0]
+        more = _digests(p, [ids[i:j].tobytes() for i, j in zip(ends, ends[1:], strict=False)]) if digest else []
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *lists, *more], [*keep, "ids", *["file_ids"] * file_ids, *(_DIGESTS if digest else [])])
     trim()
 
 
@@ -347,8 +507,9 @@ def _merge_rows(batches: Iterator[pa.RecordBatch], shared: Shared) -> Iterator[p
         yield pa.RecordBatch.from_arrays([b.column(_ROW), _id_lists([p.merge(t.as_py()) for t in b.column("text")])], [_ROW, "file_ids"])
 
 
-#: Rows of an Arrow batch that are encoded at once.
+#: Rows of an Arrow batch, and characters of their texts, that are encoded at once.
 SLICE = 1000
+SLICE_CHARS = 1_000_000
 _DIGESTS = ("n_pieces", "n_chars", "decoded_sha256")
 
 

@@ -158,6 +158,60 @@ def test_words_equal_the_general_recurrence(vocabulary):
         assert numbers(vocabulary.solve(u)[0]) == want and vocabulary.solve(u)[1] == score[-1]
 
 
+def test_words_together_equal_words_alone(vocabulary):
+    rng = random.Random(5)
+    parts = ["the", "ing", "é", "x", "tion", "你", "of", "▁", "\x01", "zz", " ", "\n", "aab", "\U0001f600", "\ue000", ".", "%%"]
+    words = ["".join(rng.choice(parts) for _ in range(rng.choice([1, 2, 5, 9, 40]))) for _ in range(2000)]
+    for some in (words, words[:1], ["\ue000"], ["x" * 64, "x" * 65, "a" * 500], [" "], ["", "ab", ""]):
+        ids, ends = vocabulary.solve_all(some)
+        assert [ids[i:j].tobytes() for i, j in zip(ends, ends[1:], strict=False)] == [vocabulary.solve(u)[0] for u in some]
+        ids, ends = vocabulary.merge_all(some)
+        assert [ids[i:j].tolist() for i, j in zip(ends, ends[1:], strict=False)] == [vocabulary.library.encode(u) for u in some]
+
+
+class Held:
+    def __init__(self, p):
+        self.p = p
+
+    def get(self):
+        return self.p
+
+
+def test_new_words_are_solved_together(spark, monkeypatch):
+    """Words that come once are the dear part: they may not be solved one by one."""
+    docs = table(spark, SF, "documents").select("text").toArrow().combine_chunks()
+    with open(pieces.MODEL, "rb") as f:
+        p = pieces.Pieces(f.read())
+    alone, solve = [], p.solve
+    monkeypatch.setattr(p, "solve", lambda u: alone.append(u) or solve(u))
+    got = [x for b in pieces._encode_rows(iter(docs.to_batches()), Held(p), [], True, True) for x in b.column("ids").to_pylist()]
+    distinct = {u for t in docs.column("text").to_pylist() for u in p._UNITS.findall(" " + (t or ""))}
+    assert len(distinct) > 10_000 and len(alone) < len(distinct) / 50
+    monkeypatch.undo()
+    assert got == [numbers(p.encode(t)) for t in docs.column("text").to_pylist()]
+
+
+def test_tables_of_words_that_are_cut_give_the_same_ids(spark, vocabulary, monkeypatch):
+    texts = [*edge_texts(), *(r.text for r in table(spark, SF, "documents").select("text").limit(60).collect()), None, "x" * 100, "x" * 100]
+    monkeypatch.setattr(pieces, "WORDS", 40)
+    monkeypatch.setattr(pieces, "SLICE_CHARS", 3000)
+    monkeypatch.setattr(pieces, "SLICE", 3)
+    p = pieces.Pieces(vocabulary.model)
+    import pyarrow as pa
+
+    found = list(pieces._encode_rows(iter([pa.record_batch({"text": pa.array(texts, pa.string())})] * 2), Held(p), ["text"], True, True))
+    rows = [r for b in found for r in b.to_pylist()]
+    assert [r["text"] for r in rows] == texts * 2 and max(b.num_rows for b in found) <= 3
+    assert [(r["ids"], r["file_ids"]) for r in rows] == [(numbers(vocabulary.encode(t)), numbers(vocabulary.merge(t))) for t in texts] * 2
+    assert all(r["decoded_sha256"] == hashlib.sha256((r["text"] or "").encode()).hexdigest() for r in rows)
+    p.encode_texts([" ".join(map(str, range(100, 200)))] * 2, True)
+    assert len(p.words_merged.slots) >= 100
+    p.encode_texts(["never"], True)
+    assert len(p.words_merged.slots) == pieces.WORDS // 2 + 1
+    assert all(x.num_rows == 0 for x in pieces._encode_rows(iter([pa.record_batch({"text": pa.array([], pa.string())})]), Held(p), [], True, True))
+    assert [r["ids"] for b in pieces._encode_rows(iter([pa.record_batch({"text": pa.nulls(2)})]), Held(p), [], False, False) for r in b.to_pylist()] == [[], []]
+
+
 def test_chunks_give_the_best_way_of_the_whole(vocabulary):
     rng, k = random.Random(3), vocabulary.longest
     for trial in range(120):
